@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from datetime import date, datetime, timezone
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -68,5 +68,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def stage(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Add columns that are computed once, whoever filters or joins on them later.
+
+    The optimizer pushes a filter below a projection by writing the projected
+    expressions out in full, and through a chain of projections that grows with
+    every reference to every step. A one-row generator keeps the values as
+    values: later filters see a column, and nothing is computed twice.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select(*[F.col(f"`{c}`") for c in kept], F.inline(F.array(row)))
+
+
 def blank(value: Column) -> Column:
     return value.isNull() | (F.trim(value) == "")

@@ -16,7 +16,8 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.config import LANES, LEXICON, PINNED_LANE, WEIGHTS, Lexicon, Term, Weights  # noqa: F401
+from tidemark.config import LEXICON, WEIGHTS, Lexicon, Term, Weights
+from tidemark.functions.common import stage
 
 WORD = "[A-Za-z0-9]+"
 BODY_WINDOW = 1200
@@ -100,12 +101,15 @@ def with_term_hits(df, title: str = "title", body: str = "scorable", lexicon: Le
             "_body_acronyms": whole_word_hits(F.coalesce(text, F.lit("")), acronyms),
         }
     )
-    return df.withColumns(
+    return stage(
+        df,
         {
+            "_title_terms": F.col("_title_terms"),
+            "_title_acronyms": F.col("_title_acronyms"),
             "_all_terms": F.concat("_title_terms", "_body_terms"),
             "_all_acronyms": F.concat("_title_acronyms", "_body_acronyms"),
-        }
-    )
+        },
+    ).drop("_body_terms", "_body_acronyms")
 
 
 def lane_scores(df, lexicon: Lexicon = LEXICON, weights: Weights = WEIGHTS):
@@ -140,6 +144,6 @@ def lane_scores(df, lexicon: Lexicon = LEXICON, weights: Weights = WEIGHTS):
         else:
             total, hits = F.lit(0.0), F.array().cast("array<string>")
         entries.append(F.struct(F.lit(lane).alias("lane"), (total / (total + k)).alias("raw"), hits.alias("hits")))
-    df = df.withColumn("lane_scores", F.array(*entries))
+    df = stage(df, {"lane_scores": F.array(*entries)})
     scratch = [c for c in df.columns if c.startswith("_points_") or c.startswith("_hits_")]
     return df.drop(*scratch, "_acronym_points", "_acronym_hits")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.config import EVENT_HORIZON_DAYS, MARKET_ZONE, NOT_TICKERS, WATCHED_TICKERS
-from tidemark.functions.common import let
+from tidemark.functions.common import let, stage
 from tidemark.functions.dates import days_until, local_date, wall_clock_to_utc
 
 # Patterns and caps.
@@ -67,16 +67,19 @@ def resolve_events(entries: DataFrame, now: Column, horizon: int = EVENT_HORIZON
     ``entries``: feed_id, feed_name, feed_rank, feed_kind, uid, summary,
     dtstart, all_day, status.
     """
-    df = entries.withColumns(
+    df = stage(
+        entries,
         {
             "event": describe(F.coalesce("summary", F.lit("")), F.col("feed_kind")),
             "day": calendar_day(F.col("all_day"), F.col("dtstart"), zone),
-        }
+        },
     )
     noon = wall_clock_to_utc(F.col("day"), 12, 0, F.lit(zone))
     df = df.withColumn("days_until", days_until(noon, F.lit(zone), now))
-    return df.withColumns(
+    return stage(
+        df,
         {
+            "days_until": F.col("days_until"),
             "ticker": F.col("event.ticker"),
             "company": F.col("event.company"),
             "label": F.col("event.label"),
@@ -86,7 +89,7 @@ def resolve_events(entries: DataFrame, now: Column, horizon: int = EVENT_HORIZON
             .when(F.trim(F.coalesce("summary", F.lit(""))) == "", "untitled")
             .when(F.col("day").isNull(), "undated")
             .when(~F.col("days_until").between(0, horizon), "outside-horizon"),
-        }
+        },
     ).drop("event")
 
 

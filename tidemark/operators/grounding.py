@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.common import stage
 from tidemark.functions.grounding import verdict
 
 
@@ -39,4 +40,4 @@ def input_blocks(items: DataFrame, top: int = 12) -> DataFrame:
 
 def check(candidates: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
     """Candidates with ``reason``: null when every number and name comes from the block."""
-    return candidates.join(blocks, keys, "inner").withColumn("reason", verdict(F.col("candidate"), F.col("block")))
+    return stage(candidates.join(blocks, keys), {"reason": verdict(F.col("candidate"), F.col("block"))})

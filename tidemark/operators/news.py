@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from tidemark.config import DEFAULT_NEWS_LANE, JOB_LANE, LEXICON, VETO_PATTERNS, WEIGHTS, Lexicon, Weights
 from tidemark.functions import scoring as S
-from tidemark.functions.common import any_match, blank, case_of
+from tidemark.functions.common import any_match, blank, case_of, stage
 from tidemark.functions.lexicon import BODY_WINDOW, lane_scores, whole_word_hits, with_term_hits
 from tidemark.functions.pubdates import age_hours
 from tidemark.functions.text import first_sentences, title_key
@@ -145,14 +145,15 @@ def classify(items: DataFrame, lexicon: Lexicon = LEXICON) -> DataFrame:
     job = F.col("source_kind") == "jobs"
     no_hits = F.array().cast("array<string>")
     job_raw = F.greatest(F.coalesce("_job.raw", F.lit(0.0)), F.coalesce("_gen.raw", F.lit(0.0)) * JOB_GENETICS_SHARE)
-    return df.withColumns(
+    return stage(
+        df,
         {
             "primary_lane": F.when(job, JOB_LANE).otherwise(F.col("_best.lane")),
             "topic_raw": F.when(job, job_raw).otherwise(F.col("_best.raw")),
             "topic_hits": F.when(
                 job, F.array_union(F.coalesce("_job.hits", no_hits), F.coalesce("_gen.hits", no_hits))
             ).otherwise(F.col("_best.hits")),
-        }
+        },
     ).drop("_best", "_job", "_gen")
 
 
@@ -173,8 +174,8 @@ def detect_events(window: int | None = EVENT_WINDOW) -> Column:
 def score_news(items: DataFrame, now: Column, w: Weights = WEIGHTS, events_window: int | None = EVENT_WINDOW) -> DataFrame:
     """Add ``age_hours``, ``events``, ``factors``, ``penalties``, ``score`` for classified items."""
     lane = F.col("primary_lane")
-    df = items.withColumns(
-        {"age_hours": age_hours(F.col("published_at"), now), "events": detect_events(events_window)}
+    df = stage(
+        items, {"age_hours": age_hours(F.col("published_at"), now), "events": detect_events(events_window)}
     )
     half_life = case_of(lane, w.recency_half_life_hours, w.default_half_life_hours)
     recency = F.pow(F.lit(2.0), -F.col("age_hours") / half_life)
@@ -206,9 +207,10 @@ def score_news(items: DataFrame, now: Column, w: Weights = WEIGHTS, events_windo
             F.when(F.col("topic_raw") < OFF_TOPIC_BELOW, flat("offTopic", "Off topic")),
         )
     )
-    df = df.withColumns({"factors": factors, "penalties": penalties})
-    return df.withColumns(
-        {"score": S.total_score(F.col("factors"), F.col("penalties")), "weights_version": F.lit(w.fingerprint())}
+    df = stage(df, {"factors": factors, "penalties": penalties})
+    return stage(
+        df,
+        {"score": S.total_score(F.col("factors"), F.col("penalties")), "weights_version": F.lit(w.fingerprint())},
     )
 
 
@@ -250,7 +252,7 @@ def rank_news(
     hits = with_term_hits(scorable(stripped, **limits), lexicon=lexicon, window=None if whole_texts else BODY_WINDOW)
     classified = classify(lane_scores(hits, lexicon, w), lexicon)
     scored = score_news(classified, now, w, None if whole_texts else EVENT_WINDOW)
-    return scored.withColumn("drop_reason", news_drop(w, lexicon))
+    return stage(scored, {"drop_reason": news_drop(w, lexicon)})
 
 
 def drop_accounting(*parts: DataFrame) -> DataFrame:

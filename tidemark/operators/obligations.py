@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.config import READER_ZONE, WEIGHTS, Weights
 from tidemark.functions import dates as D
 from tidemark.functions import scoring as S
-from tidemark.functions.common import instant
+from tidemark.functions.common import instant, stage
 from tidemark.functions.ids import obligation_id
 from tidemark.sources.schemas import STEP
 
@@ -85,11 +85,12 @@ def active_cycle(programs: DataFrame, clock: Clock, grace_days: int = WEIGHTS.gr
             )
         ),
     )
-    return df.withColumns(
+    return stage(
+        df,
         {
             "rolled": F.col("_pick.tier") == 2,
             "cycle": F.get("cycles", F.abs(F.col("_pick.pos"))),
-        }
+        },
     ).drop("_ends", "_pick")
 
 
@@ -157,13 +158,14 @@ def resolve_deadline(df: DataFrame, clock: Clock) -> DataFrame:
         steps,
         lambda s: s.withField("due", none).withField("time_of_day", none).withField("status", F.lit("pending")),
     )
-    return df.withColumns(
+    return stage(
+        df,
         {
             "deadline": F.when(F.col("rolled"), F.when(F.col("_next").isNotNull(), projected).otherwise(lost)).otherwise(
                 own
             ),
             "steps": F.when(F.col("rolled"), blank_steps).otherwise(steps),
-        }
+        },
     ).drop("_parsed", "_next")
 
 
@@ -248,7 +250,8 @@ def effective_target(df: DataFrame, clock: Clock) -> DataFrame:
     )
     moved = F.col("_at.instant").isNotNull() & ~F.col("target.date").eqNullSafe(F.col("deadline.date"))
     deadline = F.col("deadline")
-    df = df.withColumns(
+    df = stage(
+        df,
         {
             "deadline": F.when(
                 moved,
@@ -258,9 +261,10 @@ def effective_target(df: DataFrame, clock: Clock) -> DataFrame:
             ).otherwise(deadline),
             "instant": F.col("_at.instant"),
             "next_index": next_step(F.col("steps")),
-        }
+            "days_until": D.days_until(F.col("_at.instant"), zone, now),
+        },
     )
-    return df.withColumn("days_until", D.days_until(F.col("instant"), zone, now)).drop("_pending", "_dated", "_at")
+    return df.drop("_pending", "_dated", "_at")
 
 
 def verify_reason(df: DataFrame, clock: Clock) -> DataFrame:
@@ -284,7 +288,7 @@ def verify_reason(df: DataFrame, clock: Clock) -> DataFrame:
         )
     )
     df = df.withColumn("stale_days", D.stale_days(F.col("verified_on"), clock.today))
-    df = df.withColumn("verify_reason", reason)
+    df = stage(df, {"verify_reason": reason})
     return df.withColumn("needs_verification", F.col("verify_reason").isNotNull())
 
 
@@ -299,8 +303,8 @@ def resolve(programs: DataFrame, clock: Clock, w: Weights = WEIGHTS) -> DataFram
 
 def add_urgency(df: DataFrame, w: Weights = WEIGHTS) -> DataFrame:
     d = F.col("deadline")
-    return df.withColumn(
-        "urgency", S.urgency(d["kind"], d["precision"], F.col("days_until"), F.col("lane"), d["date"], w)
+    return stage(
+        df, {"urgency": S.urgency(d["kind"], d["precision"], F.col("days_until"), F.col("lane"), d["date"], w)}
     )
 
 
@@ -309,17 +313,13 @@ def add_events(df: DataFrame, clock: Clock, rung_window: int = 7, step_window: i
     days = F.col("days_until")
     step = F.get("steps", F.when(F.col("next_index") >= 0, F.col("next_index")))
     step_at = D.parse_deadline(step["due"], F.col("time_zone"), clock.at)["instant"]
-    return df.withColumn(
-        "events",
-        F.array_compact(
-            F.array(
-                F.when(days.between(0, rung_window), "deadline-imminent"),
-                F.when(days < 0, "deadline-passed"),
-                F.when(F.col("deadline.verify_by") <= clock.today, "verify-deadline"),
-                F.when(D.days_until(step_at, F.col("time_zone"), clock.at) <= step_window, "step-due"),
-            )
-        ),
+    flags = F.array(
+        F.when(days.between(0, rung_window), "deadline-imminent"),
+        F.when(days < 0, "deadline-passed"),
+        F.when(F.col("deadline.verify_by") <= clock.today, "verify-deadline"),
+        F.when(D.days_until(step_at, F.col("time_zone"), clock.at) <= step_window, "step-due"),
     )
+    return stage(df, {"events": F.array_compact(flags)})
 
 
 def score(df: DataFrame, w: Weights = WEIGHTS) -> DataFrame:
@@ -370,11 +370,14 @@ def score(df: DataFrame, w: Weights = WEIGHTS) -> DataFrame:
         )
     )
     df = df.withColumns({"factors": factors, "penalties": penalties})
-    return df.withColumns(
+    return stage(
+        df,
         {
+            "factors": F.col("factors"),
+            "penalties": F.col("penalties"),
             "score": S.total_score(F.col("factors"), F.col("penalties")),
             "weights_version": F.lit(w.fingerprint()),
-        }
+        },
     )
 
 
@@ -420,13 +423,14 @@ def decide(df: DataFrame, w: Weights = WEIGHTS) -> DataFrame:
         | F.array_contains("events", "deadline-imminent")
         | F.array_contains("events", "verify-deadline")
     )
-    return df.withColumn("must_show", must_show).withColumn(
-        "drop_reason",
+    reason = (
         F.when(rolling & (since < w.rolling_redelivery_days), "rolling-cooldown")
         .when(F.col("days_until") < -w.grace_days, "deadline-passed")
         .when(~F.col("must_show") & (F.col("score") < w.keep_threshold), "below-threshold")
-        .when(~F.col("must_show") & ~rolling, "no-rung"),
+        .when(~F.col("must_show") & ~rolling, "no-rung")
     )
+    df = df.withColumn("must_show", must_show)
+    return stage(df, {"must_show": F.col("must_show"), "drop_reason": reason})
 
 
 def build(
@@ -442,17 +446,18 @@ def build(
     them by ``program_id`` like the registry and neither side is shuffled.
     """
     df = score(add_events(add_urgency(resolve(programs, clock, w), w), clock), w)
-    df = df.withColumns(
+    df = stage(
+        df,
         {
             "cycle_year": F.col("deadline.cycle_year"),
             "today": clock.today,
             "obligation_id": obligation_id(F.col("program_id"), F.col("deadline.cycle_year")),
-        }
+        },
     )
     ledger = rungs.select("program_id", "cycle_year", F.col("rung").alias("last_rung"))
     df = df.join(ledger, ["program_id", "cycle_year"], "left")
     df = df.join(rolling.select("program_id", F.col("last_delivered").alias("last_rolling")), "program_id", "left")
-    df = df.withColumn("rung", S.rung_for(F.col("days_until"), F.col("last_rung"), w.rungs, w.rung_floor_days))
+    df = stage(df, {"rung": S.rung_for(F.col("days_until"), F.col("last_rung"), w.rungs, w.rung_floor_days)})
     return decide(df, w)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.common import stage
 from tidemark.functions.reader import quote_appears_in, read_deadline
 
 MIN_PAGE_CHARS = 200
@@ -27,7 +28,7 @@ def propose(quotes: DataFrame, pages: DataFrame, registry: DataFrame, now: Colum
         .alias("page_reason"),
     )
     df = checked.join(registry, "program_id", "left")
-    df = df.withColumn("read", read_deadline(F.col("quote"), F.col("time_zone"), now, F.col("cycle_year")))
+    df = stage(df, {"read": read_deadline(F.col("quote"), F.col("time_zone"), now, F.col("cycle_year"))})
     reason = F.coalesce("page_reason", "read.reason")
     return df.select(
         "program_id",

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import CADENCES, KINDS, LANES, PRECISIONS, STATUSES
-from tidemark.functions.common import blank
+from tidemark.functions.common import blank, stage
 from tidemark.functions.dates import parse_deadline
 from tidemark.operators.lanes import reference_problems
 
@@ -73,8 +73,8 @@ def program_problems(programs: DataFrame) -> DataFrame:
 
 def cycle_problems(programs: DataFrame, now: Column) -> DataFrame:
     df = programs.select("program_id", "time_zone", "event_start", F.posexplode("cycles").alias("ci", "c"))
-    df = df.withColumn(
-        "parsed", parse_deadline(F.col("c.deadline"), F.col("time_zone"), now, F.col("c.time_of_day"))
+    df = stage(
+        df, {"parsed": parse_deadline(F.col("c.deadline"), F.col("time_zone"), now, F.col("c.time_of_day"))}
     )
     deadline, kind = F.col("c.deadline"), F.col("c.kind")
     day = F.try_to_date(deadline, "yyyy-MM-dd")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.common import blank, squish
+from tidemark.functions.common import blank, squish, stage
 from tidemark.functions.html import html_to_text
 from tidemark.functions.ids import item_id
 from tidemark.functions.text import decode_entities
@@ -114,7 +114,7 @@ def parse_boards(bodies: DataFrame, body_cap: int | None = BODY_CAP) -> DataFram
         .otherwise("kept")
     )
     body = F.col("body") if body_cap is None else F.left("body", F.lit(body_cap))
-    df = df.withColumns({"outcome": outcome, "canonical_url": canonical_url(F.col("url")), "body": body})
+    df = stage(df, {"outcome": outcome, "canonical_url": canonical_url(F.col("url")), "body": body})
     return df.select(
         "source_id", "vendor", "pos", "title", "url", "canonical_url", item_id(F.col("canonical_url")).alias("item_id"),
         "body", F.when(F.col("body") != "", "api").otherwise("none").alias("body_provenance"), "published_at",

@@ -7,7 +7,7 @@ import zoneinfo
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.common import let
+from tidemark.functions.common import let, stage
 
 VEVENT = r"(?s)BEGIN:VEVENT\r?\n(.*?)END:VEVENT"
 NESTED = r"(?s)BEGIN:(V[A-Z]+)\n.*?END:\1\n?"
@@ -62,14 +62,12 @@ def parse_calendars(bodies: DataFrame, keep: list[str]) -> DataFrame:
     events = F.regexp_extract_all(unfold(F.col("body")), F.lit(VEVENT), F.lit(1))
     df = bodies.select(*keep, F.posexplode(events).alias("pos", "raw"))
     # alarms and other nested components carry properties of their own
-    df = df.withColumn("event", F.regexp_replace("raw", NESTED, ""))
+    df = stage(df, {"event": F.regexp_replace("raw", NESTED, "")})
     e = F.col("event")
-    df = df.withColumn(
-        "start",
-        let(
-            F.trim(_property(e, "DTSTART", 2)), lambda v: let(_property(e, "DTSTART", 1), lambda p: normal_start(v, p))
-        ),
+    start = let(
+        F.trim(_property(e, "DTSTART", 2)), lambda v: let(_property(e, "DTSTART", 1), lambda p: normal_start(v, p))
     )
+    df = stage(df, {"start": start})
     optional = lambda c: F.when(c != "", c)
     return df.filter(F.col("start").isNotNull()).select(
         *keep,

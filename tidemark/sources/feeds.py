@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.common import blank, let, squish
+from tidemark.functions.common import blank, let, squish, stage
 from tidemark.functions.html import clean_title, html_to_text, strip_journal_prefix
 from tidemark.functions.ids import item_id
 from tidemark.functions.pubdates import parse_feed_date, parse_press_date
@@ -75,21 +75,29 @@ def parse_feeds(bodies: DataFrame, now: Column, body_cap: int | None = BODY_CAP)
         F.posexplode_outer(F.slice(entries, F.lit(1), F.col("max_items"))).alias("pos", "e"),
     )
     journal = F.col("source_kind").isin("journal", "preprint")
-    df = df.withColumns(
+    df = stage(
+        df,
         {
             "full_title": squish(clean_title(_text(F.col("e.title")))),
             "url": _text(F.col("e.link")),
             "picked": _pick_body(F.col("e"), journal),
             "date": _pick_date(F.col("e"), F.col("date_style"), F.col("time_zone"), now),
-        }
+        },
     )
-    df = df.withColumns({"title": strip_paywall_prefix(F.col("full_title")), "canonical_url": canonical_url(F.col("url"))})
     outcome = (
         F.when(F.col("entries_parsed") < 0, "unparseable")
         .when(F.col("pos").isNull(), "empty")
         .when((F.col("full_title") == "") | (F.col("url") == ""), "incomplete")
         .otherwise("kept")
     )
+    df = stage(
+        df,
+        {
+            "title": strip_paywall_prefix(F.col("full_title")),
+            "canonical_url": canonical_url(F.col("url")),
+            "outcome": outcome,
+        },
+    )
     text = F.col("picked.text")
     doi = _text(F.col("e")["prism:doi"])
     return df.select(
@@ -112,6 +120,6 @@ def parse_feeds(bodies: DataFrame, now: Column, body_cap: int | None = BODY_CAP)
         .alias("authors"),
         F.when(doi != "", doi).otherwise(extract_doi(F.concat_ws(" ", "url", text))).alias("doi"),
         extract_trial_ids(F.concat_ws(" ", "title", text)).alias("trial_ids"),
-        outcome.alias("outcome"),
+        "outcome",
         F.col("date.warning").alias("warning"),
     )
