@@ -53,6 +53,8 @@ def compare(df, con, sql: str, show: int = 5) -> tuple[bool, str]:
         return False, f"rows {len(got)} != {len(want)}\n  only spark {extra}\n  only sql {missing}"
     bad = [(g, w) for g, w in zip(got, want) if not all(same(x, y) for x, y in zip(g, w))]
     if bad:
-        text = "\n".join(f"  {g}\n  {w}\n" for g, w in bad[:show])
+        extra = sorted({g for g, _ in bad} - set(want), key=str)[:show]
+        missing = sorted({w for _, w in bad} - set(got), key=str)[:show]
+        text = "\n".join(str(r)[:300] for r in ["  only spark", *extra, "  only sql", *missing])
         return False, f"{len(bad)} of {len(got)} rows differ ({got_cols}):\n{text}"
     return True, f"{len(got)} rows"

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.config import ZONE_NAMES
-from tidemark.functions.common import col
+from tidemark.functions.common import col, let
 
 FULL_DATE = r"^\d{4}-\d{2}-\d{2}$"
 MONTH_DATE = r"^\d{4}-\d{2}$"
@@ -23,8 +23,8 @@ def wall_clock_to_utc(date: Column, hour: Column | int, minute: Column | int, zo
     """The instant at which clocks in ``zone`` show this day and time."""
     hour = hour if isinstance(hour, Column) else F.lit(hour)
     minute = minute if isinstance(minute, Column) else F.lit(minute)
-    local = date.cast("timestamp") + F.make_dt_interval(F.lit(0), hour, minute)
-    return F.to_utc_timestamp(local, zone)
+    minutes = F.unix_date(date).cast("long") * 1440 + hour * 60 + minute
+    return F.to_utc_timestamp(F.timestamp_micros(minutes * 60_000_000), zone)
 
 
 def local_date(at: Column, zone: Column) -> Column:
@@ -53,38 +53,50 @@ def parse_deadline(
     a date that does not exist or lies over eight years out is unknown.
     """
     none = F.lit(None).cast("string")
-    raw = F.trim(value)
     tod = F.trim(time_of_day) if time_of_day is not None else none
     hint = precision_hint if precision_hint is not None else none
+    return let(F.trim(value), lambda raw: let(_written_date(raw), lambda date: _resolve(raw, date, tod, hint, zone, now)))
 
-    is_month = raw.rlike(MONTH_DATE)
-    date = F.when(raw.rlike(FULL_DATE), F.try_to_date(raw, "yyyy-MM-dd")).when(
-        is_month, F.try_to_date(F.concat(raw, F.lit("-01")), "yyyy-MM-dd")
-    )
-    has_time = tod.isNotNull() & (tod != "")
+
+def _written_date(raw: Column) -> Column:
+    """A strict calendar date; the first day for a month."""
+    full = F.when(raw.rlike(MONTH_DATE), F.concat(raw, F.lit("-01"))).otherwise(raw)
+    return F.when(full.rlike(FULL_DATE), full.try_cast("date"))
+
+
+def _clock(tod: Column, part: int, default: int) -> Column:
+    return F.when(tod.rlike(CLOCK), F.split_part(tod, F.lit(":"), F.lit(part)).try_cast("int")).otherwise(default)
+
+
+def _resolve(raw: Column, date: Column, tod: Column, hint: Column, zone: Column, now: Column) -> Column:
+    has_time = F.coalesce(tod != "", F.lit(False))
     time_ok = ~has_time | tod.rlike(CLOCK)
-    hour = F.when(has_time & tod.rlike(CLOCK), F.split_part(tod, F.lit(":"), F.lit(1)).try_cast("int")).otherwise(23)
-    minute = F.when(has_time & tod.rlike(CLOCK), F.split_part(tod, F.lit(":"), F.lit(2)).try_cast("int")).otherwise(59)
-    at = F.when(date.isNotNull() & time_ok, wall_clock_to_utc(date, hour, minute, zone))
-    near = at <= now + F.make_dt_interval(F.lit(MAX_YEARS_OUT * 365))
-    ok = at.isNotNull() & near
+    instant = F.when(
+        date.isNotNull() & time_ok, wall_clock_to_utc(date, _clock(tod, 1, 23), _clock(tod, 2, 59), zone)
+    )
+    limit = now + F.make_dt_interval(F.lit(MAX_YEARS_OUT * 365))
+    return let(instant, lambda at: _parsed(raw, date, F.when(at <= limit, at), at.isNotNull(), has_time, time_ok, hint))
+
 
+def _parsed(
+    raw: Column, date: Column, at: Column, exists: Column, has_time: Column, time_ok: Column, hint: Column
+) -> Column:
+    is_month = raw.rlike(MONTH_DATE)
     precision = (
-        F.when(~F.coalesce(ok, F.lit(False)), "unknown")
-        .when(hint == "unknown", "unknown")
+        F.when(at.isNull() | (hint == "unknown"), "unknown")
         .when((hint == "month") | is_month, "month")
         .when(has_time, "minute")
         .otherwise("day")
     )
     warning = (
-        F.when(raw.isNull() | (raw == ""), none)
+        F.when(at.isNotNull() | raw.isNull() | (raw == ""), F.lit(None).cast("string"))
         .when(~(raw.rlike(FULL_DATE) | is_month), F.concat(F.lit("unrecognised deadline format: "), raw))
         .when(date.isNull(), F.concat(F.lit("out of range: "), raw))
-        .when(~time_ok, F.concat(F.lit("unrecognised timeOfDay: "), tod))
-        .when(~near, F.concat(F.lit("deadline more than 8 years out ("), raw, F.lit(") — likely a year typo")))
+        .when(~time_ok, F.lit("unrecognised timeOfDay"))
+        .when(exists, F.concat(F.lit("deadline more than 8 years out ("), raw, F.lit(") — likely a year typo")))
     )
     return F.struct(
-        F.when(ok, at).alias("instant"),
+        at.alias("instant"),
         precision.alias("precision"),
         precision.isin("day", "minute").alias("confident"),
         warning.alias("warning"),
@@ -101,7 +113,7 @@ def next_anchor(anchor: Column, after: Column, zone: Column) -> Column:
     candidates = F.transform(
         F.sequence(year, year + 2),
         lambda y: wall_clock_to_utc(
-            F.try_to_date(F.concat(y.cast("string"), F.lit("-"), mmdd), "yyyy-MM-dd"), 23, 59, zone
+            F.concat(y.cast("string"), F.lit("-"), mmdd).try_cast("date"), 23, 59, zone
         ),
     )
     return F.when(mmdd.rlike(ANCHOR), F.array_min(F.filter(candidates, lambda t: t > after)))

@@ -116,7 +116,7 @@ def _dated(text: Column, found: Column, limit: Column) -> Column:
 def age_hours(published: Column, now: Column, undated: float = 720.0) -> Column:
     """Hours since publication, never negative; an undated item counts as thirty days old."""
     age = (F.unix_micros(now) - F.unix_micros(published)) / F.lit(3_600_000_000.0)
-    return F.coalesce(F.greatest(F.lit(0.0), age), F.lit(undated))
+    return F.when(published.isNull(), F.lit(undated)).otherwise(F.greatest(F.lit(0.0), age))
 
 
 def iso_day(at: Column, zone: Column | None = None) -> Column:

@@ -121,7 +121,8 @@ def sentence_key(sentence: Column) -> Column:
 
 def first_sentences(text: Column, n: int, min_chars: int = 40, fallback_chars: int = 240) -> Column:
     """The first sentences, verbatim; the start of the text when there are none."""
-    found = F.regexp_extract_all(text, F.lit(r"[^.!?]+[.!?]+(?=\s|$)"), F.lit(0))
+    # a match can only begin where a run between stops begins; saying so keeps long unstopped text linear
+    found = F.regexp_extract_all(text, F.lit(r"(?<![^.!?])[^.!?]++[.!?]+(?=\s|$)"), F.lit(0))
     found = F.filter(F.transform(found, lambda s: F.btrim(s, F.lit(" \n\r\t"))), lambda s: F.length(s) >= min_chars)
     body = F.btrim(text, F.lit(" \n\r\t"))
     return let(

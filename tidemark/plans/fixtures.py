@@ -33,7 +33,19 @@ ZONE_OF_REGION = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    df = prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return df if name in ("nation", "region") else spread(df)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small one-file table to every core.
+
+    A scan of many files or row groups already has more partitions than cores
+    and is left as it is, so nothing is shuffled where the data is large.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    partitions = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if partitions >= cores else df.repartition(cores)
 
 
 def _case(expr: str, mapping: dict) -> str:
@@ -148,6 +160,35 @@ def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """News items from documents: every document, its whole text, its whole first line as title."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    q = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return d.join(q, "doc_id", "left").selectExpr(
+        "doc_id", "source AS source_id",
+        "concat('group', CAST(CAST(regexp_extract(source, '([0-9]+)', 1) AS INT) % 7 AS STRING)) AS publisher_group",
+        "CASE WHEN doc_id % 5 = 0 THEN 'jobs' WHEN doc_id % 5 = 1 THEN 'journal' WHEN doc_id % 5 = 2 THEN 'preprint' ELSE 'news' END AS source_kind",
+        "0.5D + 0.25D * coalesce(quality, 0) AS authority",
+        "map('tools-platforms', 0.2D, 'causal-genetics', 0.1D) AS lane_hints",
+        "split_part(text, '\n', 1) AS title", "text AS body",
+        "concat('https://news.example.org/', source, '/', CAST(doc_id AS STRING)) AS url",
+        "CASE WHEN doc_id % 29 <> 0 THEN timestampadd(DAY, CAST(-(doc_id % 45) AS INT), TIMESTAMP '" + AS_OF + "') END AS published_at",
+    )
+
+
+SQL_ITEMS = f"""
+items AS (
+  SELECT d.doc_id, source AS source_id,
+    'group' || CAST(CAST(regexp_extract(source, '([0-9]+)', 1) AS INTEGER) % 7 AS VARCHAR) AS publisher_group,
+    CASE d.doc_id % 5 WHEN 0 THEN 'jobs' WHEN 1 THEN 'journal' WHEN 2 THEN 'preprint' ELSE 'news' END AS source_kind,
+    0.5 + 0.25 * coalesce(quality, 0) AS authority, split_part(text, chr(10), 1) AS title, text AS body,
+    'https://news.example.org/' || source || '/' || CAST(d.doc_id AS VARCHAR) AS url,
+    CASE WHEN d.doc_id % 29 <> 0 THEN TIMESTAMP '{AS_OF}' - INTERVAL (d.doc_id % 45) DAY END AS published_at
+  FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id
+)
+"""
+
+
 # ---- the same in SQL: long form, joins and windows instead of nested arrays ----
 
 SQL_OBLIGATIONS = f"""
