@@ -121,13 +121,14 @@ def event_detection(spark, sf):
 
 
 RULES = (
-    "array('/src1/') AS exclude_url, array('^the ') AS exclude_title, "
-    "CASE WHEN doc_id % 2 = 0 THEN array('\\\\bwhich\\\\b.{0,30}\\\\bthe\\\\b', '\\\\bdans\\\\b') ELSE array() END AS require_any"
+    "array('/src1/') AS exclude_url",
+    "array('^the ') AS exclude_title",
+    "CASE WHEN doc_id % 2 = 0 THEN array('\\\\bwhich\\\\b.{0,30}\\\\bthe\\\\b', '\\\\bdans\\\\b') ELSE array() END AS require_any",
 )
 
 
 def source_filters(spark, sf):
-    df = X.items(spark, sf).selectExpr("*", RULES)
+    df = X.items(spark, sf).selectExpr("*", *RULES)
     outcome = F.coalesce(N.source_rule(body_window=None), F.lit("kept"))
     return df.groupBy("source_id", outcome.alias("outcome")).agg(F.count("*").alias("items"))
 
