@@ -215,9 +215,9 @@ fed AS (
 ),
 r AS (
   SELECT *, CASE WHEN key % 3 = 1 THEN od - 1 ELSE od END AS day,
-    CASE WHEN tk IN ('VRTX', 'ILMN', 'ZZZZ', 'NTRA') THEN tk END AS ticker,
-    CASE WHEN tk IN ('VRTX', 'ILMN', 'ZZZZ', 'NTRA') THEN p_name ELSE tk || ' ' || p_name END AS company,
-    CASE WHEN tk IN ('VRTX', 'ILMN', 'ZZZZ', 'NTRA') THEN p_name || phrase ELSE tk || ' ' || p_name || phrase END AS label,
+    CASE WHEN tk IN ('VRTX', 'ILMN', 'ZZZZ', 'NTRA', 'BRK.B') THEN tk END AS ticker,
+    CASE WHEN tk IN ('VRTX', 'ILMN', 'ZZZZ', 'NTRA', 'BRK.B') THEN p_name ELSE tk || ' ' || p_name END AS company,
+    CASE WHEN tk IN ('VRTX', 'ILMN', 'ZZZZ', 'NTRA', 'BRK.B') THEN p_name || phrase ELSE tk || ' ' || p_name || phrase END AS label,
     CASE WHEN key % 5 IN (1, 2) THEN 'adcomm' WHEN key % 5 IN (0, 3) THEN 'pdufa' ELSE feed_id END AS kind,
     tk IN ('VRTX', 'ILMN', 'NTRA') AS watched
   FROM fed

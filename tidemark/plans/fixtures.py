@@ -157,6 +157,7 @@ def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"array({cycle(-12)}, {cycle(0)}, {cycle(12)}) AS cycles",
         "named_struct('cadence', cadence, 'anchor', date_format(due, 'MM-dd'), "
         "'anchors', array('04-08', '08-08', '12-08')) AS recurrence",
+        "CAST(NULL AS STRUCT<notes: STRING>) AS eligibility", "CAST(NULL AS STRING) AS note",
     )
 
 

@@ -11,7 +11,9 @@ from tidemark.operators import reports as R
 from tidemark.plans import fixtures as X
 from tidemark.plans.text_queries import PAGE_TEXT
 
-TODAY = day(X.TODAY)
+
+def _today():
+    return day(X.TODAY)
 
 
 def _pages(spark, sf):
@@ -42,7 +44,7 @@ def _previous(spark, sf):
 
 
 def _compared(spark, sf):
-    return M.compare_pages(_current(spark, sf), _previous(spark, sf), TODAY)
+    return M.compare_pages(_current(spark, sf), _previous(spark, sf), _today())
 
 
 def page_changes(spark, sf):
@@ -138,7 +140,7 @@ def source_health(spark, sf):
         "source_id", F.lit("1998-06-01").cast("date").alias("last_success"), (n % 4).alias("streak"),
         F.when(n % 3 == 0, F.array(F.lit(100000), F.lit(200000), F.lit(4))).when(n % 3 == 1, F.array(F.lit(6), F.lit(8))).otherwise(F.array().cast("array<int>")).alias("recent_counts"),
     )
-    out = M.source_health(parsed, sources, history, TODAY)
+    out = M.source_health(parsed, sources, history, _today())
     return out.select(
         "source_id", "status", "items_parsed", "items_kept", "items_filtered", "warnings",
         F.coalesce("error", F.lit("")).alias("error"), F.col("last_success").cast("string").alias("last_success"),

@@ -4,7 +4,14 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("obligation_queries", "text_queries", "news_queries", "monitoring_queries", "event_queries")
+AREAS = (
+    "obligation_queries",
+    "text_queries",
+    "news_queries",
+    "monitoring_queries",
+    "event_queries",
+    "quality_queries",
+)
 
 
 def _collect(attribute: str) -> dict:
