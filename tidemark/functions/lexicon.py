@@ -17,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.config import LEXICON, WEIGHTS, Lexicon, Term, Weights
-from tidemark.functions.common import stage
+from tidemark.functions.common import let, stage
 
 WORD = "[A-Za-z0-9]+"
 BODY_WINDOW = 1200
@@ -35,18 +35,21 @@ def whole_word_hits(text: Column, terms: Iterable[str]) -> Column:
     by_length: dict[int, list[str]] = {}
     for term in dict.fromkeys(terms):
         by_length.setdefault(len(_words_in(term)), []).append(term)
-    words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
-    found = []
-    if 1 in by_length:
-        singles = by_length.pop(1)
-        found.append(F.filter(words, lambda w: w.isin(*singles)))
-    if by_length:
-        spaced = F.regexp_extract_all(text, F.lit(f"({WORD}[^A-Za-z0-9]*)"), F.lit(1))
-        for n, group in sorted(by_length.items()):
-            found.append(_runs(words, spaced, n, group))
-    if not found:
+    if not by_length:
         return F.array().cast("array<string>")
-    return found[0] if len(found) == 1 else F.concat(*found)
+    singles = by_length.pop(1, [])
+    words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
+    if not by_length:
+        return F.filter(words, lambda w: w.isin(*singles))
+    spaced = F.regexp_extract_all(text, F.lit(f"({WORD}[^A-Za-z0-9]*)"), F.lit(1))
+
+    def search(cut: Column) -> Column:
+        found = [F.filter(cut["words"], lambda w: w.isin(*singles))] if singles else []
+        found += [_runs(cut["words"], cut["spaced"], n, group) for n, group in sorted(by_length.items())]
+        return F.concat(*found)
+
+    # both cuts are bound once: inside the search they are indexed per position
+    return let(F.struct(words.alias("words"), spaced.alias("spaced")), search)
 
 
 def _runs(words: Column, spaced: Column, n: int, group: list[str]) -> Column:

@@ -6,6 +6,8 @@ lane_hints, title, url, canonical_url, body, published_at``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -240,13 +242,19 @@ def rank_news(
     min_items: int = MIN_ITEMS,
     min_sentence: int = MIN_SENTENCE_CHARS,
     whole_texts: bool = False,
+    materialize: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> DataFrame:
     """Every distinct item with its score and ``drop_reason``.
 
     ``whole_texts`` lifts the character windows that bound scoring by default.
+    The deduplicated items feed five steps; ``materialize`` writes them out
+    once instead of deduplicating for each, worth it on large inputs.
     """
     survivors = items.filter(intake_drop().isNull())
-    unique = with_publishers(dedupe_by_url(survivors))
+    unique = dedupe_by_url(survivors)
+    if materialize is not None:
+        unique = materialize(unique, "unique-items")
+    unique = with_publishers(unique)
     stripped = strip_boilerplate(with_sentences(unique, "body", min_sentence), fraction, min_items).drop("sentences")
     limits = {"raw_fallback": None, "job_chars": None} if whole_texts else {}
     hits = with_term_hits(scorable(stripped, **limits), lexicon=lexicon, window=None if whole_texts else BODY_WINDOW)

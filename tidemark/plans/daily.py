@@ -10,6 +10,7 @@ from tidemark.operators import lanes as L
 from tidemark.operators import news as N
 from tidemark.operators import obligations as O
 from tidemark.operators.reports import obligation_stats
+from tidemark.session import materialize
 
 
 def assemble(
@@ -61,6 +62,9 @@ def digest_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     from tidemark.plans import fixtures as X
     from tidemark.plans import news_queries, obligation_queries
 
-    built = obligation_queries._built(spark, sf)
+    built = materialize(obligation_queries._built(spark, sf).drop("cycles", "cycle"), "obligations")
     gated = O.status_gate(X.programs(spark, sf), X.CLOCK)
-    return assemble(built, gated, news_queries._ranked(spark, sf), X.CLOCK)
+    ranked = news_queries._ranked(spark, sf)
+    scratch = [c for c in ranked.columns if c.startswith("_")]
+    news = materialize(ranked.drop(*scratch, "lane_scores", "scorable", "stripped"), "news")
+    return assemble(built, gated, news, X.CLOCK)

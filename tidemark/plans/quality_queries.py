@@ -79,9 +79,9 @@ def quote_containment(spark, sf):
     """Each benchmark passage looked for in a page assembled around it, quoted and spaced as pages do."""
     b = X.table(spark, sf, "benchmark").select("item_id", "text")
     page = F.when(F.col("item_id") % 3 == 0, F.reverse("text")).otherwise(
-        F.concat(F.lit("“Intro” – "), F.regexp_replace("text", " ", "  "), F.lit("\nend"))
+        F.concat(F.lit("“Intro” – "), F.regexp_replace("text", "([ \n])", "$1 "), F.lit("\nend"))
     )
-    quote = F.when(F.col("item_id") % 4 == 1, "tiny").otherwise(F.upper("text"))
+    quote = F.when(F.col("item_id") % 4 == 1, "tiny").otherwise(F.regexp_replace("text", " ", "   "))
     return b.select("item_id", quote_appears_in(quote, page).alias("found"))
 
 
@@ -280,11 +280,11 @@ ORACLES = {
     "number_grounding": """
       WITH c AS (SELECT a.conv_id, a.turn, (a.conv_id + a.turn) % 5 AS m, lower(a.text) AS t, '12 items. ' || b.text AS block
         FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1 WHERE a.role = 'assistant'),
-      x AS (SELECT *, t || [' see 12 items.', ' in seven days.', ' only 99 left.', ' visit www.example.org now.', ''][m + 1] AS full FROM c),
-      y AS (SELECT *, list_transform(regexp_extract_all(full, '\\d+'), lambda n: CAST(n AS HUGEINT)) AS nums,
+      x AS (SELECT *, t || [' see 12 items.', ' in seven days.', ' only 99 left.', ' visit www.example.org now.', ''][m + 1] AS "full" FROM c),
+      y AS (SELECT *, list_transform(regexp_extract_all("full", '\\d+'), lambda n: CAST(n AS HUGEINT)) AS nums,
           list_transform(regexp_extract_all(block, '\\d+'), lambda n: CAST(n AS HUGEINT)) AS allowed FROM x)
-      SELECT conv_id, turn, CASE WHEN length(trim(full, ' ' || chr(10))) > 700 THEN 'over'
-        WHEN regexp_matches(full, '(?i)(https?://|www\\.|\\b[a-z0-9-]{2,}\\.(com|org|net|edu|gov|io|ai|co)\\b)') THEN 'contains a URL'
+      SELECT conv_id, turn, CASE WHEN length(trim("full", ' ' || chr(10))) > 700 THEN 'over'
+        WHEN regexp_matches("full", '(?i)(https?://|www\\.|\\b[a-z0-9-]{2,}\\.(com|org|net|edu|gov|io|ai|co)\\b)') THEN 'contains a URL'
         WHEN length(list_filter(nums, lambda n: NOT list_contains(allowed, n))) > 0 THEN 'contains the number'
         WHEN m = 1 AND NOT list_contains(allowed, 7) THEN 'says' ELSE 'grounded' END AS verdict FROM y""",
     "name_grounding": """

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # The instants here are UTC; every zone shift is explicit, per row.
 REQUIRED = {"spark.sql.session.timeZone": "UTC"}
@@ -41,3 +42,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     return root or os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several later steps read to the shared folder, and read it back.
+
+    It is columnar, so each reader fetches only its columns; it survives lost
+    executors; and the steps behind it run once instead of once per reader.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
