@@ -73,11 +73,15 @@ def can_alert(kind: Column, precision: Column, provenance: Column) -> Column:
 
 def rung_for(days: Column, last: Column, rungs: tuple[int, ...] = WEIGHTS.rungs, floor: int = WEIGHTS.rung_floor_days) -> Column:
     """The rung crossed today, or null. A missed rung still fires, once."""
-    crossed = F.array_min(F.filter(F.array(*[F.lit(r) for r in sorted(rungs)]), lambda r: r >= days))
+    above = F.lit(None).cast("int") if not any(r > floor for r in rungs) else None
+    for r in sorted(r for r in rungs if r > floor):
+        unfired = last.isNull() | (last > r)
+        hit = F.when(unfired, r)
+        above = F.when(days <= r, hit) if above is None else above.when(days <= r, hit)
     return (
         F.when(days < 0, F.lit(None).cast("int"))
         .when(days <= floor, F.when(last.isNull() | (last > days), days))
-        .otherwise(F.when(last.isNull() | (last > crossed), crossed))
+        .otherwise(above)
         .cast("int")
     )
 

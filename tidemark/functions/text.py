@@ -100,13 +100,9 @@ def title_key(title: Column, words: int = 8) -> Column:
 
 
 def shingles(text: Column, n: int = 3) -> Column:
-    """Distinct character n-grams of the content tokens."""
-    return let(F.array_join(tokens(text), " "), lambda flat: _grams(flat, n))
-
-
-def _grams(flat: Column, n: int) -> Column:
-    grams = F.transform(F.sequence(F.lit(1), F.length(flat) - (n - 1)), lambda i: F.substr(flat, i, F.lit(n)))
-    return F.when(F.length(flat) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    """Distinct character n-grams of the content tokens, overlapping, in one pass over the text."""
+    flat = F.array_join(tokens(text), " ")
+    return F.array_distinct(F.regexp_extract_all(flat, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
 def sentences(text: Column, min_chars: int = 40) -> Column:

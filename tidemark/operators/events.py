@@ -110,13 +110,12 @@ def display_order() -> list[Column]:
 def shown_events(events: DataFrame, watched_cap: int = WATCHED_CAP, unwatched_cap: int = UNWATCHED_CAP) -> DataFrame:
     """The first watched and unwatched rows, each with its own cap.
 
-    Two groups only, so each is cut by an ordered limit, which keeps the best
-    few of every task; a window would sort each half in one place.
+    The limit on ``rank`` reaches into the tasks: each sends on its best few
+    rows per group, and only those are ranked together.
     """
-    part = lambda flag, cap: events.filter(F.col("watched") == flag).orderBy(*display_order()).limit(cap)
-    few = part(True, watched_cap).unionByName(part(False, unwatched_cap))
-    rank = W.partitionBy("watched").orderBy(*display_order())
-    return few.withColumn("rank", F.row_number().over(rank))
+    rank = F.row_number().over(W.partitionBy("watched").orderBy(*display_order()))
+    few = events.withColumn("rank", rank).filter(F.col("rank") <= max(watched_cap, unwatched_cap))
+    return few.filter(F.col("rank") <= F.when(F.col("watched"), watched_cap).otherwise(unwatched_cap))
 
 
 def hidden_events(events: DataFrame, watched_cap: int = WATCHED_CAP, unwatched_cap: int = UNWATCHED_CAP) -> DataFrame:

@@ -19,17 +19,18 @@ def lane_rank(lane: Column) -> Column:
 def top_per_lane(items: DataFrame, k: int = WEIGHTS.max_items_per_lane, pinned: str = PINNED_LANE) -> DataFrame:
     """The best ``k`` per lane; the pinned lane is whole.
 
-    The pinned rows never enter the window, so a ranking keeps ``k`` rows per
-    lane and task before its shuffle and no lane is sorted in one place.
+    ``rank <= k`` is applied inside each task before the shuffle, so no lane is
+    sorted in one place. Every pinned row is a group of its own: all are kept
+    and none of them meet.
     """
-    by_score = W.partitionBy("primary_lane").orderBy(F.col("score").desc(), F.col("item_id"))
-    capped = (
-        items.filter(F.col("primary_lane") != pinned)
-        .withColumn("rank", F.row_number().over(by_score))
-        .filter(F.col("rank") <= k)
+    is_pinned = F.col("primary_lane") == pinned
+    by_score = W.partitionBy("primary_lane", F.when(is_pinned, F.col("item_id"))).orderBy(
+        F.col("score").desc(), F.col("item_id")
     )
-    whole = items.filter(F.col("primary_lane") == pinned).withColumn("rank", F.lit(None).cast("int"))
-    return whole.unionByName(capped).withColumn("lane_rank", lane_rank(F.col("primary_lane")))
+    best = items.withColumn("_rank", F.row_number().over(by_score)).filter(F.col("_rank") <= k)
+    return best.withColumns(
+        {"rank": F.when(~is_pinned, F.col("_rank")), "lane_rank": lane_rank(F.col("primary_lane"))}
+    ).drop("_rank")
 
 
 def over_cap(items: DataFrame, k: int = WEIGHTS.max_items_per_lane, pinned: str = PINNED_LANE) -> DataFrame:

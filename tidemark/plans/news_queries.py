@@ -14,6 +14,7 @@ from tidemark.operators import lanes as L
 from tidemark.operators import news as N
 from tidemark.plans import fixtures as X
 from tidemark.plans.text_queries import ITEMS, KEY, SENTENCE_KEY, SENTENCES
+from tidemark.session import materialize
 from tidemark.sources.dims import lane_from_hints
 
 # documents share few sentences, so a low share counts as boilerplate here
@@ -146,7 +147,7 @@ def intake_drops(spark, sf):
 
 def _ranked(spark, sf):
     return N.rank_news(
-        _items(spark, sf), X.CLOCK.at, lexicon=FIXTURE_LEXICON, fraction=FRACTION, whole_texts=True
+        _items(spark, sf), X.CLOCK.at, lexicon=FIXTURE_LEXICON, fraction=FRACTION, whole_texts=True, materialize=materialize
     )
 
 
