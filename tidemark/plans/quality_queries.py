@@ -14,6 +14,7 @@ from tidemark.operators import quality as Q
 from tidemark.operators import reports as R
 from tidemark.plans import fixtures as X
 from tidemark.plans.daily import digest_tables
+from tidemark.sources.digests import previous_rows
 
 READER_NOW = "2009-01-01 00:00:00"
 
@@ -218,12 +219,39 @@ def digest_problems(spark, sf):
     return Q.digest_problems(dated("items"), dated("lane_items"), countdown, dated("stats"), ruled_out)
 
 
+def previous_digests(spark, sf):
+    """The three newest order dates strictly before the fixture day."""
+    o = X.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("date"))
+    return previous_rows(o, day(X.TODAY), 3).select(F.col("date").cast("string").alias("date"))
+
+
+def faulty_items(spark, sf):
+    """Delivered rows with faults planted by key, against the delivery rules."""
+    o = X.obligations(spark, sf).withColumn("k", F.col("key"))
+    k = F.col("k")
+    key_name = F.when(k % 71 == 0, "llm.rank").when(k % 73 == 0, "ClaudeScore").otherwise("fit")
+    items = o.select(
+        F.lit(X.TODAY).cast("date").alias("date"), F.col("program_id").alias("item_id"), "program_id", "status",
+        F.when(k % 61 == 0, "").otherwise(F.col("label")).alias("title"),
+        F.when(k % 67 == 0, "advert").otherwise("opportunity").alias("kind"),
+        F.when(k % 59 == 0, F.lit(None)).otherwise("w1").cast("string").alias("weights_version"),
+        F.struct(
+            F.when(k % 53 == 0, "").otherwise("yaml").alias("provenance"),
+            F.when(F.col("kind").isNull(), F.when(k % 47 == 0, "1998-02-31").when(k % 43 != 0, F.col("due").cast("string"))).alias("date"),
+            F.coalesce("kind", F.lit("confirmed")).alias("kind"),
+        ).alias("deadline"),
+        F.array(F.struct(key_name.alias("key"))).alias("factors"), F.array(F.struct(F.lit("x").alias("key"))).alias("penalties"),
+    )
+    ruled_out = o.filter("status = 'ruled-out'").select("program_id")
+    return Q.item_problems(items, ruled_out).groupBy("rule").agg(F.count("*").alias("problems"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         deadline_reader, proposal_outcomes, proposal_report, quote_containment, number_grounding, name_grounding,
         input_blocks, registry_problems, cycle_problems, step_problems, move_problems, lane_references, silence_guard,
-        digest_stats, digest_drops, digest_lanes, digest_problems,
+        previous_digests, faulty_items, digest_stats, digest_drops, digest_lanes, digest_problems,
     )
 }
 
@@ -268,6 +296,18 @@ _CYC = f"""WITH {_ALL}, c AS (
 )"""
 
 ORACLES = {
+    "previous_digests": f"""SELECT DISTINCT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date FROM orders
+      WHERE CAST(o_orderdate AS DATE) < DATE '{X.TODAY}' ORDER BY 1 DESC LIMIT 3""",
+    "faulty_items": f"""WITH {_ALL} SELECT rule, count(*) AS problems FROM (
+        SELECT 'item-title' AS rule FROM obligations WHERE key % 61 = 0
+        UNION ALL SELECT 'item-kind' FROM obligations WHERE key % 67 = 0
+        UNION ALL SELECT 'item-weights' FROM obligations WHERE key % 59 = 0
+        UNION ALL SELECT 'item-status' FROM obligations WHERE status = 'ruled-out' AND key % 67 <> 0
+        UNION ALL SELECT 'ruled-out' FROM obligations WHERE status = 'ruled-out'
+        UNION ALL SELECT 'item-provenance' FROM obligations WHERE key % 53 = 0 AND key % 67 <> 0
+        UNION ALL SELECT 'item-date' FROM obligations WHERE key % 47 = 0 AND kind IS NULL AND key % 67 <> 0
+        UNION ALL SELECT 'item-undated' FROM obligations WHERE key % 43 = 0 AND key % 47 <> 0 AND kind IS NULL AND key % 67 <> 0
+        UNION ALL SELECT 'factor-key' FROM obligations WHERE key % 71 = 0 OR key % 73 = 0) GROUP BY rule""",
     "deadline_reader": _S
     + """ SELECT program_id, reason IS NULL AS ok, CASE WHEN reason IS NULL THEN CAST(d AS VARCHAR) ELSE '' END AS date,
         coalesce(reason, '') AS reason FROM read""",
