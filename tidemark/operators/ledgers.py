@@ -48,7 +48,9 @@ def rolling_delivered(items: DataFrame, today: Column) -> DataFrame:
 def replay_rungs(days_from: Column, w: Weights = WEIGHTS) -> Column:
     """Cards fired by one obligation over a daily run from ``days_from`` down to the day itself.
 
-    The ledger is a fold over the days, inside the row.
+    The ledger is a fold over the days, inside the row. Between two rungs the
+    crossed rung stays the same and has already fired, so the first day and the
+    days of the ladder are the only ones that can matter.
     """
     state = lambda last, fired: F.struct(last.cast("int").alias("last"), fired.cast("int").alias("fired"))
 
@@ -56,7 +58,9 @@ def replay_rungs(days_from: Column, w: Weights = WEIGHTS) -> Column:
         rung = rung_for(day, acc["last"], w.rungs, w.rung_floor_days)
         return state(F.coalesce(rung, acc["last"]), acc["fired"] + rung.isNotNull().cast("int"))
 
-    days = F.sequence(days_from.cast("int"), F.lit(0), F.lit(-1))
+    ladder = sorted({*w.rungs, *range(w.rung_floor_days + 1)}, reverse=True)
+    later = F.filter(F.array(*[F.lit(d) for d in ladder]), lambda d: d < days_from)
+    days = F.concat(F.array(days_from.cast("int")), later)
     return F.when(
         days_from >= 0, F.aggregate(days, state(F.lit(None), F.lit(0)), step, lambda acc: acc["fired"])
     ).otherwise(F.lit(0))
