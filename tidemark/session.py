@@ -39,9 +39,18 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a session whose driver is its only machine may go without one; it gets
+    a temporary folder. On a cluster the executors would each write to their own.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return root or os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
+    if root:
+        return root
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
