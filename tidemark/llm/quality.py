@@ -27,6 +27,9 @@ RULES = (
     ("n_words", 80, math.inf, 50, math.inf),
     ("chars_per_word", 3.0, 9.0, 2.0, 12.0),
     ("symbols_per_word", 0.0, 0.02, 0.0, 0.1),
+    ("symbol_share", 0.0, 0.004, 0.0, 0.02),
+    ("symbol_end_share", 0.0, 0.02, 0.0, 0.1),
+    ("symbol_line_share", 0.0, 0.1, 0.0, 0.3),
     ("dup_line_share", 0.0, 0.1, 0.0, 0.3),
     ("repeat_word_share", 0.0, 0.1, 0.0, 0.3),
     ("upper_share", 0.0, 0.15, 0.0, 0.4),
@@ -56,6 +59,7 @@ def features(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
             "_chars": F.length(F.translate(value, " \t\n\x0b\x0c\r", "")),
             "_symbols": F.length(value) - F.length(F.translate(value, SYMBOLS, "")),
             "_upper": F.regexp_count(value, F.lit(r"\p{Lu}")),
+            "_ends": F.regexp_count(value, F.lit(r"[#*$%&|<>](?:[\x20\x09-\x0D]|$)")),
             "_exclaims": F.length(value) - F.length(F.translate(value, "!", "")),
             "_stops": F.length(value) - F.length(F.translate(value, ".?!", "")),
         },
@@ -68,6 +72,7 @@ def features(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
         {
             "n_words": n.cast("long"),
             "n_lines": F.size("_l").cast("long"),
+            "_marked": F.size(F.filter("_l", lambda x: x.rlike("[#*$%&|<>]"))),
             "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
             "_g": grams,
         },
@@ -95,6 +100,9 @@ def features(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
         "n_repeat_words",
         per_word("_chars").alias("chars_per_word"),
         per_word("_symbols").alias("symbols_per_word"),
+        (F.col("_symbols") / F.greatest(F.col("_chars"), F.lit(1))).alias("symbol_share"),
+        per_word("_ends").alias("symbol_end_share"),
+        (F.col("_marked") / F.greatest(F.col("n_lines"), F.lit(1))).alias("symbol_line_share"),
         (F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))).alias("dup_line_share"),
         per_word("n_repeat_words").alias("repeat_word_share"),
         (F.col("_upper") / F.greatest(F.col("_chars"), F.lit(1))).alias("upper_share"),
@@ -119,7 +127,8 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 25) -> LabelM
 
     Starts from rules that are mostly right; the start also counts as a few
     pseudo-votes, so a rule that hardly votes stays near it, and a rule is never
-    worse than chance. No rows: the start itself.
+    worse than chance. What is bad comes in kinds, so each kind needs two rules or more:
+    a vote that no other one ever agrees with is taken for a mistake. No rows: the start itself.
     """
     n_rules = len(RULES)
     model = LabelModel(0.8, (0.95,) * n_rules, (0.5,) * n_rules)
