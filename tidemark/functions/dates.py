@@ -6,6 +6,10 @@ Publication dates need the opposite treatment of the future and live in
 
 from __future__ import annotations
 
+import zoneinfo
+from functools import cache
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +23,25 @@ ANCHOR = r"^\d{2}-\d{2}$"
 MAX_YEARS_OUT = 8
 
 
+@cache
+def known_zones() -> tuple[str, ...]:
+    """Time zones that this machine's tz files and the JVM both know: about 600 names, folded into the plan."""
+    here = zoneinfo.available_timezones()
+    context = SparkContext._active_spark_context
+    if context is None:
+        return tuple(sorted(here))
+    return tuple(sorted(here & set(context._jvm.java.time.ZoneId.getAvailableZoneIds())))
+
+
+def known_zone(zone: Column) -> Column:
+    return zone.isin(*known_zones())
+
+
+def usable_zone(zone: Column) -> Column:
+    """The zone, or null if nobody knows it: a shift by an unknown zone would end the job."""
+    return F.when(known_zone(zone), zone)
+
+
 def wall_clock_to_utc(date: Column, hour: Column | int, minute: Column | int, zone: Column) -> Column:
     """The instant at which clocks in ``zone`` show this day and time."""
     hour = hour if isinstance(hour, Column) else F.lit(hour)

@@ -87,7 +87,7 @@ def _sum_hits(hits: Column, in_title: Column, terms: tuple[Term, ...], fold: boo
     return total, mine
 
 
-def with_term_hits(df, title: str = "title", body: str = "scorable", lexicon: Lexicon = LEXICON, window: int | None = BODY_WINDOW):
+def with_term_hits(df, title: str = "title", body: str = "scorable", lexicon: Lexicon = LEXICON, window: int | None = None):
     """Add ``_title_terms``/``_all_terms`` and their case-sensitive twins to a table of texts.
 
     ``window`` is the number of body characters that count towards the score;

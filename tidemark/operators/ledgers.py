@@ -9,14 +9,16 @@ from tidemark.config import WEIGHTS, Weights
 from tidemark.functions.scoring import rung_for
 
 
-def upsert(previous: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
+def upsert(previous: DataFrame, current: DataFrame, keys: list[str], version: str | None = None) -> DataFrame:
     """New values over old ones; keys seen on one side only are kept.
 
-    One full join on the key: write both snapshots bucketed by it and the join
-    needs no shuffle.
+    Of several new rows of a key the one of the highest ``version`` counts, or
+    of the highest values where none is named, so the result has one row per key.
     """
     values = [c for c in previous.columns if c not in keys]
-    new = current.select(*keys, F.struct(*values).alias("_new"))
+    row = F.struct(*values)
+    best = F.max(row) if version is None else F.max(F.struct(F.col(version).alias("version"), row.alias("row")))["row"]
+    new = current.groupBy(*keys).agg(best.alias("_new"))
     old = previous.select(*keys, F.struct(*values).alias("_old"))
     joined = old.join(new, keys, "full")
     return joined.select(

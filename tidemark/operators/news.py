@@ -53,7 +53,7 @@ def intake_drop(vetoes: tuple[str, ...] = VETO_PATTERNS) -> Column:
     )
 
 
-def source_rule(body_window: int | None = BODY_WINDOW) -> Column:
+def source_rule(body_window: int | None = None) -> Column:
     """``excluded`` or ``filtered`` by the item's own source rules; null when kept.
 
     Patterns arrive with the source columns ``exclude_url``, ``exclude_title``
@@ -109,7 +109,7 @@ def with_publishers(items: DataFrame) -> DataFrame:
     return lookup_join(keyed, corroboration(items), ["title_key"], "titles", F.col("item_id"))
 
 
-def scorable(items: DataFrame, raw_fallback: int | None = RAW_FALLBACK, job_chars: int | None = JOB_CHARS) -> DataFrame:
+def scorable(items: DataFrame, raw_fallback: int | None = None, job_chars: int | None = None) -> DataFrame:
     """Add ``scorable``: what the item itself says.
 
     ``None`` for a limit means no limit: the whole text is scored.
@@ -159,7 +159,7 @@ def classify(items: DataFrame, lexicon: Lexicon = LEXICON) -> DataFrame:
     ).drop("_best", "_job", "_gen")
 
 
-def detect_events(window: int | None = EVENT_WINDOW) -> Column:
+def detect_events(window: int | None = None) -> Column:
     """What kind of news an item is, by its source and its opening words."""
     body = F.coalesce(F.col("body"), F.lit(""))
     text = F.concat(F.col("title"), F.lit(" "), body if window is None else F.left(body, F.lit(window)))
@@ -173,7 +173,7 @@ def detect_events(window: int | None = EVENT_WINDOW) -> Column:
     )
 
 
-def score_news(items: DataFrame, now: Column, w: Weights = WEIGHTS, events_window: int | None = EVENT_WINDOW) -> DataFrame:
+def score_news(items: DataFrame, now: Column, w: Weights = WEIGHTS, events_window: int | None = None) -> DataFrame:
     """Add ``age_hours``, ``events``, ``factors``, ``penalties``, ``score`` for classified items."""
     lane = F.col("primary_lane")
     df = stage(

@@ -48,8 +48,9 @@ def status_gate(programs: DataFrame, clock: Clock) -> DataFrame:
         F.when(F.col("status") == "ruled-out", "ruled-out")
         .when(waiting, "not-yet-watched")
         .when(F.col("status").isin("closed", "won"), "closed")
-        .when(F.coalesce(F.size("cycles"), F.lit(0)) <= 0, "no-cycle"),
-    )
+        .when(F.coalesce(F.size("cycles"), F.lit(0)) <= 0, "no-cycle")
+        .when(~F.coalesce(D.known_zone(F.col("time_zone")), F.lit(False)), "unknown-zone"),
+    ).withColumn("time_zone", D.usable_zone(F.col("time_zone")))
 
 
 def active_cycle(programs: DataFrame, clock: Clock, grace_days: int = WEIGHTS.grace_days) -> DataFrame:

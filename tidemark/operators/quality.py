@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zoneinfo
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import CADENCES, KINDS, LANES, PRECISIONS, STATUSES
 from tidemark.functions.common import blank, stage
-from tidemark.functions.dates import parse_deadline
+from tidemark.functions.dates import known_zone, parse_deadline, usable_zone
 from tidemark.operators.lanes import reference_problems
 
 RESERVED_FACTOR_PREFIXES = ("llm", "claude")  # fixed values: a model never contributes a point
@@ -32,11 +31,6 @@ def _show(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit("null"))
 
 
-def known_zone(zone: Column) -> Column:
-    """Membership in the tz database: about 600 names, a fixed list folded into the plan."""
-    return zone.isin(*sorted(zoneinfo.available_timezones()))
-
-
 def program_problems(programs: DataFrame) -> DataFrame:
     rules = [
         _problem("missing-id", blank(F.col("program_id")), "missing id"),
@@ -74,7 +68,7 @@ def program_problems(programs: DataFrame) -> DataFrame:
 def cycle_problems(programs: DataFrame, now: Column) -> DataFrame:
     df = programs.select("program_id", "time_zone", "event_start", F.posexplode("cycles").alias("ci", "c"))
     df = stage(
-        df, {"parsed": parse_deadline(F.col("c.deadline"), F.col("time_zone"), now, F.col("c.time_of_day"))}
+        df, {"parsed": parse_deadline(F.col("c.deadline"), F.coalesce(usable_zone(F.col("time_zone")), F.lit("UTC")), now, F.col("c.time_of_day"))}
     )
     deadline, kind = F.col("c.deadline"), F.col("c.kind")
     day = F.try_to_date(deadline, "yyyy-MM-dd")

@@ -140,7 +140,7 @@ BOARD = (
     "element_at(array('greenhouse', 'lever', 'ashby'), CAST(doc_id % 3 + 1 AS INT)) AS vendor", "'Acme' AS company", "200 AS max_items",
     """CASE WHEN doc_id % 31 = 30 THEN 'not json' WHEN doc_id % 3 = 0 THEN to_json(named_struct('jobs', array(named_struct('id', doc_id,
         'title', concat(' Role  ', CAST(doc_id AS STRING)), 'absolute_url', concat('https://jobs.example.org/', CAST(doc_id AS STRING), '/?utm_source=x'),
-        'content', concat('&lt;p&gt;', replace(replace(replace(text, '&', 'and'), '<', ' '), '>', ' '), '&lt;/p&gt;'),
+        'content', concat('&lt;p&gt;', replace(replace(replace(text, '&', '&amp;amp;'), '<', '&amp;lt;'), '>', '&amp;gt;'), '&lt;/p&gt;'),
         'updated_at', '2024-03-01T10:00:00Z', 'location', named_struct('name', concat('City ', lang))))))
       WHEN doc_id % 3 = 1 THEN to_json(array(named_struct('id', CAST(doc_id AS STRING), 'text', concat('Role ', CAST(doc_id AS STRING)),
         'hostedUrl', concat('https://jobs.example.org/', CAST(doc_id AS STRING)), 'createdAt', CASE WHEN doc_id % 2 = 0 THEN 0D ELSE 1709287200000D END,
@@ -163,7 +163,9 @@ def board_items(spark, sf):
     )
 
 
-CLEAN = "regexp_replace(text, '[^\\\\p{L}\\\\p{N}.,!? \\n]', '')"
+# as HTML, and that as XML
+_HTML = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+ESCAPED = f"replace(replace(replace({_HTML}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 FEED_XML = (
     "doc_id", "source AS source_id", "'news' AS source_kind", "false AS paywalled",
     "CASE WHEN doc_id % 2 = 0 THEN 'fierce' END AS date_style", "'UTC' AS time_zone", "40 AS max_items",
@@ -171,7 +173,7 @@ FEED_XML = (
       '<title>', CASE WHEN doc_id % 3 = 0 THEN 'STAT+: ' ELSE '' END, '&lt;b&gt;Story&lt;/b&gt; ', CAST(doc_id AS STRING), '</title>',
       '<link>https://feed.example.org/', CAST(doc_id AS STRING), '/?rss=1</link><guid>g', CAST(doc_id AS STRING), '</guid>',
       '<pubDate>', CASE WHEN doc_id % 2 = 0 THEN 'Jan 15, 2024 8:30am' ELSE 'Mon, 15 Jan 2024 08:30:00 GMT' END, '</pubDate>',
-      '<description>', {CLEAN}, '</description></item></channel></rss>') END AS body""",
+      '<description>', {ESCAPED}, '</description></item></channel></rss>') END AS body""",
 )
 
 
@@ -304,7 +306,7 @@ ORACLES = {
       UNION ALL SELECT k, 'e' || k, 'Floating', CAST(d AS VARCHAR) || 'T08:00:00', FALSE, '' FROM o""",
     "board_items": f"""
       WITH d AS (SELECT doc_id, lang, doc_id % 3 AS m, ['greenhouse', 'lever', 'ashby'][doc_id % 3 + 1] AS vendor, doc_id % 31 = 30 AS bad, CAST(doc_id AS VARCHAR) AS k,
-          CASE WHEN doc_id % 31 = 30 THEN '' WHEN doc_id % 3 = 0 THEN {SQUISH("replace(replace(replace(text, '&', 'and'), '<', ' '), '>', ' ')")}
+          CASE WHEN doc_id % 31 = 30 THEN '' WHEN doc_id % 3 = 0 THEN {SQUISH("text")}
                WHEN doc_id % 3 = 1 THEN text ELSE {SQUISH("text")} END AS body FROM documents)
       SELECT vendor, CASE WHEN bad THEN 'unparseable' WHEN m = 2 AND doc_id % 2 = 1 THEN 'unlisted' ELSE 'kept' END AS outcome,
         CASE WHEN bad THEN '' ELSE 'Role ' || k END AS title, CASE WHEN bad THEN '' ELSE 'https://jobs.example.org/' || k END AS url,
@@ -314,7 +316,7 @@ ORACLES = {
         length(body) AS chars, left(sha256(body), 16) AS digest FROM d""",
     "feed_items": f"""
       WITH d AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS k, doc_id % 37 = 36 AS bad,
-          CASE WHEN doc_id % 37 = 36 THEN '' ELSE {SQUISH("regexp_replace(text, '[^\\pL\\pN.,!? ' || chr(10) || ']', '', 'g')")} END AS body FROM documents)
+          CASE WHEN doc_id % 37 = 36 THEN '' ELSE {SQUISH("text")} END AS body FROM documents)
       SELECT CASE WHEN bad THEN 'unparseable' ELSE 'kept' END AS outcome, CASE WHEN bad THEN '' ELSE 'Story ' || k END AS title,
         CASE WHEN bad THEN '' ELSE 'https://feed.example.org/' || k END AS url,
         CASE WHEN bad THEN '' WHEN doc_id % 2 = 0 THEN '2024-01-15 13:30:00' ELSE '2024-01-15 08:30:00' END AS published,

@@ -240,21 +240,23 @@ def rung_crossing(spark, sf):
 
 def rung_ledger_upsert(spark, sf):
     rungs, _ = _ledgers(spark, sf)
-    merged = L.upsert(rungs, L.rungs_delivered(_built(spark, sf)), ["program_id", "cycle_year"])
+    now = L.rungs_delivered(_built(spark, sf))
+    # a retried run reports twice, and once with a rung that has since been passed
+    again = now.unionByName(now).unionByName(now.withColumn("rung", F.col("rung") - 1000))
+    merged = L.upsert(rungs, again, ["program_id", "cycle_year"])
     return merged.select(
         "program_id", F.col("cycle_year").cast("long").alias("cycle_year"), F.col("rung").cast("long").alias("rung")
     )
 
 
 def rung_replay(spark, sf):
-    """Cards fired if every dated obligation ran daily to its end, horizons up to 400 days."""
+    """Cards fired if every dated obligation ran daily to its end."""
     o = X.obligations(spark, sf).select(
         "program_id", D.days_until(
             D.wall_clock_to_utc(F.col("due"), 23, 59, F.col("time_zone")), F.col("time_zone"), CLOCK.at
         ).alias("d")
     )
-    start = F.when(F.col("d") < 0, F.col("d")).otherwise(F.least("d", F.lit(400)))
-    return o.select("program_id", L.replay_rungs(start).cast("long").alias("cards"))
+    return o.select("program_id", L.replay_rungs(F.col("d")).cast("long").alias("cards"))
 
 
 def rolling_cooldown(spark, sf):
@@ -475,7 +477,7 @@ ORACLES = {
       FULL JOIN rungs r ON r.program_id = d.program_id AND r.cycle_year = d.cycle_year""",
     "rung_replay": _OBL
     + f""", ladder AS (SELECT unnest([365, 180, 90, 60, 45, 30, 21, 14, 10, 7, 6, 5, 4, 3, 2, 1, 0]) AS r),
-      starts AS (SELECT program_id, least(date_diff('day', {_TODAY_IN_ZONE}, due), 400) AS d FROM obligations),
+      starts AS (SELECT program_id, date_diff('day', {_TODAY_IN_ZONE}, due) AS d FROM obligations),
       bands AS (SELECT r, coalesce(lead(r) OVER (ORDER BY r DESC) + 1, 0) AS low FROM ladder)
       SELECT program_id, count(r) AS cards FROM starts LEFT JOIN bands ON d >= low AND d >= 0 GROUP BY program_id""",
     "rolling_cooldown": _OBL

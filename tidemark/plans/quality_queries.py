@@ -148,7 +148,16 @@ def _faulty(spark, sf):
 
 
 def registry_problems(spark, sf):
-    return Q.program_problems(_faulty(spark, sf)).groupBy("rule").agg(F.count("*").alias("problems"))
+    """Programme, cycle and step rules over a registry with planted faults, unknown zones among them."""
+    return Q.registry_problems(_faulty(spark, sf), X.CLOCK.at).groupBy("rule").agg(F.count("*").alias("problems"))
+
+
+def resolve_bad_zones(spark, sf):
+    """A programme in an unknown zone is dropped with its reason; all others are resolved."""
+    df = _faulty(spark, sf)
+    dropped = O.status_gate(df, X.CLOCK).filter("drop_reason IS NOT NULL").select(F.col("drop_reason").alias("outcome"))
+    done = O.resolve(df, X.CLOCK).select(F.lit("resolved").alias("outcome"))
+    return dropped.unionByName(done).groupBy("outcome").agg(F.count("*").alias("programs"))
 
 
 def cycle_problems(spark, sf):
@@ -250,7 +259,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         deadline_reader, proposal_outcomes, proposal_report, quote_containment, number_grounding, name_grounding,
-        input_blocks, registry_problems, cycle_problems, step_problems, move_problems, lane_references, silence_guard,
+        input_blocks, registry_problems, resolve_bad_zones, cycle_problems, step_problems, move_problems, lane_references, silence_guard,
         previous_digests, faulty_items, digest_stats, digest_drops, digest_lanes, digest_problems,
     )
 }
@@ -295,6 +304,28 @@ _CYC = f"""WITH {_ALL}, c AS (
   FROM obligations, (VALUES (-12), (0), (12)) s(shift)
 )"""
 
+_PROGRAM_RULES = _BAD + """ SELECT rule, count(*) AS problems FROM (
+        SELECT 'unknown-zone' AS rule FROM f WHERE time_zone = 'Mars/Olympus' UNION ALL SELECT 'missing-label' FROM f WHERE label = ''
+        UNION ALL SELECT 'unknown-lane' FROM f WHERE lane = 'nowhere'
+        UNION ALL SELECT 'ruled-out-without-reason' FROM f WHERE status = 'ruled-out' AND key % 2 = 1
+        UNION ALL SELECT 'duplicate-id' FROM f GROUP BY program_id HAVING count(*) > 1) GROUP BY rule"""
+_CYCLE_RULES = """ SELECT rule, count(*) AS problems FROM (
+        SELECT 'cycle-year' AS rule FROM c WHERE year(cdue) NOT BETWEEN 2024 AND 2045
+        UNION ALL SELECT 'unknown-kind' FROM c WHERE kind = 'maybe'
+        UNION ALL SELECT 'unparseable-deadline' FROM c WHERE deadline = '2026-02-31'
+        UNION ALL SELECT 'rolling-with-deadline' FROM c WHERE kind = 'rolling' AND deadline IS NOT NULL
+        UNION ALL SELECT 'unknown-with-deadline' FROM c WHERE kind = 'unknown' AND deadline IS NOT NULL
+        UNION ALL SELECT 'no-deadline-no-kind' FROM c WHERE kind IS NULL AND deadline IS NULL
+        UNION ALL SELECT 'deadline-after-event' FROM c WHERE TRY_CAST(deadline AS DATE) > ev
+        UNION ALL SELECT 'deadline-too-early' FROM c WHERE ev - TRY_CAST(deadline AS DATE) > 400) GROUP BY rule"""
+_STEP_RULES = """
+      WITH s AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+      SELECT 'step-precondition-unknown' AS rule, 3 * count(*) AS problems FROM s a
+      WHERE n > 1 AND NOT EXISTS (SELECT 1 FROM s b WHERE b.k = a.k AND b.n = a.n - 1)"""
+_CYC_AS_THEY_ARE = _CYC.replace("CASE WHEN key % 20 = 0 THEN 'maybe' WHEN key % 11 = 5 THEN 'rolling' ELSE kind END", "kind").replace(
+    "CASE WHEN key % 13 = 4 THEN '2026-02-31' WHEN", "CASE WHEN"
+)
+
 ORACLES = {
     "previous_digests": f"""SELECT DISTINCT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date FROM orders
       WHERE CAST(o_orderdate AS DATE) < DATE '{X.TODAY}' ORDER BY 1 DESC LIMIT 3""",
@@ -335,26 +366,15 @@ ORACLES = {
       SELECT CAST(date AS VARCHAR) AS date, left(sha256('Digest date: ' || CAST(date AS VARCHAR) || chr(10) || 'Items: ' || CAST(count(*) AS VARCHAR) || chr(10) || chr(10)
         || string_agg('- [' || o_orderstatus || '] (score ' || printf('%.2f', o_totalprice) || ') Order ' || CAST(o_orderkey AS VARCHAR) || chr(10) || '  '
           || CAST(o_orderkey % 9 AS VARCHAR) || ' days remaining. ' || o_orderpriority, chr(10) ORDER BY rn)), 16) AS digest FROM r GROUP BY date""",
-    "registry_problems": _BAD
-    + """ SELECT rule, count(*) AS problems FROM (
-        SELECT 'unknown-zone' AS rule FROM f WHERE time_zone = 'Mars/Olympus' UNION ALL SELECT 'missing-label' FROM f WHERE label = ''
-        UNION ALL SELECT 'unknown-lane' FROM f WHERE lane = 'nowhere'
-        UNION ALL SELECT 'ruled-out-without-reason' FROM f WHERE status = 'ruled-out' AND key % 2 = 1
-        UNION ALL SELECT 'duplicate-id' FROM f GROUP BY program_id HAVING count(*) > 1) GROUP BY rule""",
-    "cycle_problems": _CYC
-    + """ SELECT rule, count(*) AS problems FROM (
-        SELECT 'cycle-year' AS rule FROM c WHERE year(cdue) NOT BETWEEN 2024 AND 2045
-        UNION ALL SELECT 'unknown-kind' FROM c WHERE kind = 'maybe'
-        UNION ALL SELECT 'unparseable-deadline' FROM c WHERE deadline = '2026-02-31'
-        UNION ALL SELECT 'rolling-with-deadline' FROM c WHERE kind = 'rolling' AND deadline IS NOT NULL
-        UNION ALL SELECT 'unknown-with-deadline' FROM c WHERE kind = 'unknown' AND deadline IS NOT NULL
-        UNION ALL SELECT 'no-deadline-no-kind' FROM c WHERE kind IS NULL AND deadline IS NULL
-        UNION ALL SELECT 'deadline-after-event' FROM c WHERE TRY_CAST(deadline AS DATE) > ev
-        UNION ALL SELECT 'deadline-too-early' FROM c WHERE ev - TRY_CAST(deadline AS DATE) > 400) GROUP BY rule""",
-    "step_problems": """
-      WITH s AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
-      SELECT 'step-precondition-unknown' AS rule, 3 * count(*) AS problems FROM s a
-      WHERE n > 1 AND NOT EXISTS (SELECT 1 FROM s b WHERE b.k = a.k AND b.n = a.n - 1)""",
+    "registry_problems": "SELECT rule, CAST(sum(problems) AS BIGINT) AS problems FROM (("
+    + _PROGRAM_RULES + ") UNION ALL (" + _CYC_AS_THEY_ARE + _CYCLE_RULES + ") UNION ALL (" + _STEP_RULES + ")) GROUP BY rule",
+    "resolve_bad_zones": _BAD
+    + f""", g AS (SELECT CASE WHEN o.status = 'ruled-out' THEN 'ruled-out' WHEN o.status = 'watch' AND DATE '{X.TODAY}' < o.watch_from THEN 'not-yet-watched'
+          WHEN o.status = 'closed' THEN 'closed' WHEN f.time_zone = 'Mars/Olympus' THEN 'unknown-zone' ELSE 'resolved' END AS outcome
+        FROM f JOIN obligations o ON o.key = f.key)
+      SELECT outcome, count(*) AS programs FROM g GROUP BY outcome""",
+    "cycle_problems": _CYC + _CYCLE_RULES,
+    "step_problems": _STEP_RULES,
     "move_problems": """SELECT CASE WHEN l_quantity = 13 THEN 'move-not-finite' ELSE 'move-too-large' END AS rule, count(*) AS problems
       FROM lineitem WHERE l_quantity = 13 OR abs((l_extendedprice - 50000) / 700) >= 60 GROUP BY ALL""",
     "lane_references": """

@@ -64,7 +64,7 @@ def title_keys(spark, sf):
 
 def headlines(spark, sf):
     """Titles dressed as outlets dress them, and back again."""
-    title = F.concat(F.lit("STAT+: "), F.left("title", F.lit(60)), F.lit(" & more - Outlet "), F.col("source_id"))
+    title = F.concat(F.lit("STAT+: "), F.col("title"), F.lit(" & more - Outlet "), F.col("source_id"))
     df = X.items(spark, sf).select("doc_id", title.alias("t"))
     return df.select("doc_id", T.normalize_title(F.col("t")).alias("headline"), T.paywall_prefix(F.col("t")).alias("paywalled"))
 
@@ -233,7 +233,7 @@ TOKENS = lambda c: (
     f"list_filter(string_split(regexp_replace(strip_accents(lower({c})), '[^a-z0-9]+', ' ', 'g'), ' '), "
     f"lambda t: length(t) > 1 AND NOT list_contains({STOP}, t))"
 )
-_HEAD = "'STAT+: ' || left(title, 60) || ' & more - Outlet ' || source_id"
+_HEAD = "'STAT+: ' || title || ' & more - Outlet ' || source_id"
 
 ORACLES = {
     "canonical_urls": "WITH " + SQL_VARIANTS + " SELECT page_id, variant, canonical, host FROM canon",

@@ -12,7 +12,6 @@ from tidemark.functions.text import decode_entities
 from tidemark.functions.urls import canonical_url
 from tidemark.sources.schemas import ASHBY, GREENHOUSE, LEVER
 
-BODY_CAP = 6000
 
 
 def _text(c: Column) -> Column:
@@ -80,13 +79,13 @@ def _ashby(body: Column, company: Column) -> Column:
     )
 
 
-def parse_boards(bodies: DataFrame, body_cap: int | None = BODY_CAP) -> DataFrame:
+def parse_boards(bodies: DataFrame, body_cap: int | None = None) -> DataFrame:
     """One row per posting, or one with a warning for a body that is not its layout.
 
     ``bodies``: source_id, vendor, company, max_items, body. A body is one
     vendor response, parsed inside its own row; the item cap is the position in
-    that response, so capping needs no ranking. ``outcome`` is kept, unlisted,
-    incomplete or unparseable.
+    that response, so capping needs no ranking, and a null is no cap. ``outcome`` is
+    kept, unlisted, incomplete, over-cap or unparseable.
     """
     vendor = F.col("vendor")
     body, company = F.col("body"), F.col("company")
@@ -99,18 +98,18 @@ def parse_boards(bodies: DataFrame, body_cap: int | None = BODY_CAP) -> DataFram
     df = df.withColumns(
         {
             "entries_parsed": F.greatest(F.lit(0), F.coalesce(F.size("_all"), F.lit(0))),
-            "_all": F.when(F.col("_all").isNotNull(), F.slice("_all", F.lit(1), F.col("max_items"))),
         }
     )
     df = df.select(
-        "source_id", "vendor", "entries_parsed", F.col("_all").isNull().alias("bad"), F.posexplode_outer("_all").alias("pos", "p")
+        "source_id", "vendor", "max_items", "entries_parsed", F.col("_all").isNull().alias("bad"), F.posexplode_outer("_all").alias("pos", "p")
     )
-    df = df.select("source_id", "vendor", "entries_parsed", "bad", "pos", "p.*")
+    df = df.select("source_id", "vendor", "max_items", "entries_parsed", "bad", "pos", "p.*")
     outcome = (
         F.when(F.col("bad"), "unparseable")
         .when(F.col("pos").isNull(), "empty")
         .when(~F.col("listed"), "unlisted")
         .when((F.col("title") == "") | (F.col("url") == ""), "incomplete")
+        .when(F.col("pos") >= F.col("max_items"), "over-cap")
         .otherwise("kept")
     )
     body = F.col("body") if body_cap is None else F.left("body", F.lit(body_cap))

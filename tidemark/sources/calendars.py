@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import zoneinfo
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.common import let, stage
+from tidemark.functions.dates import known_zone, usable_zone
 
 VEVENT = r"(?s)BEGIN:VEVENT\r?\n(.*?)END:VEVENT"
 NESTED = r"(?s)BEGIN:(V[A-Z]+)\n.*?END:\1\n?"
@@ -32,7 +31,6 @@ def _unescape(text: Column) -> Column:
 
 def normal_start(value: Column, params: Column) -> Column:
     """``struct(dtstart, all_day)``; null when the date does not exist or lies outside 1970..2100."""
-    known = sorted(zoneinfo.available_timezones())
     tzid = F.regexp_extract(params, r'(?i);TZID="?([^";:]+)"?', 1)
     date = F.when(value.rlike(r"^\d{8}$"), F.try_to_date(value, "yyyyMMdd"))
     stamp = F.when(
@@ -47,8 +45,8 @@ def normal_start(value: Column, params: Column) -> Column:
         F.when(in_range(date), start(F.date_format(date, "yyyy-MM-dd"), True))
         .when(in_range(stamp) & value.endswith("Z"), start(F.date_format(stamp, zulu), False))
         .when(
-            in_range(stamp) & tzid.isin(*known),
-            start(F.date_format(F.to_utc_timestamp(stamp, F.when(tzid.isin(*known), tzid)), zulu), False),
+            in_range(stamp) & known_zone(tzid),
+            start(F.date_format(F.to_utc_timestamp(stamp, usable_zone(tzid)), zulu), False),
         )
         .when(in_range(stamp), start(F.date_format(stamp, iso), False))
     )

@@ -13,7 +13,6 @@ from tidemark.functions.text import paywall_prefix, strip_paywall_prefix, trunca
 from tidemark.functions.urls import canonical_url, extract_doi, extract_trial_ids
 from tidemark.sources.schemas import FEED
 
-BODY_CAP = 6000
 PRESS_ZONE = "America/New_York"
 
 
@@ -56,12 +55,12 @@ def _pick_date(e: Column, style: Column, zone: Column, now: Column) -> Column:
     return F.get(all_dates, F.lit(0))
 
 
-def parse_feeds(bodies: DataFrame, now: Column, body_cap: int | None = BODY_CAP) -> DataFrame:
+def parse_feeds(bodies: DataFrame, now: Column, body_cap: int | None = None) -> DataFrame:
     """One row per feed entry with its fields settled; ``outcome`` says why one is not an item.
 
     ``bodies``: source_id, source_kind, paywalled, date_style, time_zone,
-    max_items, body. A feed is one response, parsed inside its row; a body that
-    is not XML gives a single ``unparseable`` row, never a failed job.
+    max_items, body. A feed is one response, parsed inside its row; entries from ``max_items`` on, if it is not
+    null, are ``over-cap``; a body that is not XML gives a single ``unparseable`` row, never a failed job.
     """
     df = bodies.withColumn("_feed", F.from_xml("body", FEED))
     entries = F.col("_feed.channel.item")
@@ -72,7 +71,8 @@ def parse_feeds(bodies: DataFrame, now: Column, body_cap: int | None = BODY_CAP)
         F.coalesce("date_style", F.lit("")).alias("date_style"),
         F.coalesce("time_zone", F.lit("UTC")).alias("time_zone"),
         F.coalesce(F.size(entries), F.lit(-1)).alias("entries_parsed"),
-        F.posexplode_outer(F.slice(entries, F.lit(1), F.col("max_items"))).alias("pos", "e"),
+        "max_items",
+        F.posexplode_outer(entries).alias("pos", "e"),
     )
     journal = F.col("source_kind").isin("journal", "preprint")
     df = stage(
@@ -88,6 +88,7 @@ def parse_feeds(bodies: DataFrame, now: Column, body_cap: int | None = BODY_CAP)
         F.when(F.col("entries_parsed") < 0, "unparseable")
         .when(F.col("pos").isNull(), "empty")
         .when((F.col("full_title") == "") | (F.col("url") == ""), "incomplete")
+        .when(F.col("pos") >= F.col("max_items"), "over-cap")
         .otherwise("kept")
     )
     df = stage(

@@ -18,20 +18,36 @@ from tidemark.operators.ledgers import upsert
 from tidemark.sources.state import read_state, snapshots, write_state
 
 
-def first_seen(items: DataFrame, key: str = "item_id", at: str = "seen_at") -> DataFrame:
-    """Each id once, on the first batch that carries it."""
-    return items.select(key, F.to_date(at).alias("first_seen")).dropDuplicates([key])
+#: State of a key that stays silent for so long is dropped.
+EXPIRE_MS = 400 * 86_400_000
 
 
-def rungs(observations: DataFrame, w: Weights = WEIGHTS) -> DataFrame:
+def first_seen(items: DataFrame, key: str = "item_id", at: str = "seen_at", within: str | None = None) -> DataFrame:
+    """Each id once, on the first batch that carries it.
+
+    ``within``: how far apart in time the rows of an id lie at most, such as
+    ``"400 days"``; ids older than that leave the state. Without it every id is
+    kept for ever.
+    """
+    if within is None:
+        return items.select(key, F.to_date(at).alias("first_seen")).dropDuplicates([key])
+    stamped = items.select(key, F.col(at).cast("timestamp").alias("_at")).withWatermark("_at", within)
+    return stamped.dropDuplicatesWithinWatermark([key]).select(key, F.to_date("_at").alias("first_seen"))
+
+
+def rungs(observations: DataFrame, w: Weights = WEIGHTS, expire_ms: int = EXPIRE_MS) -> DataFrame:
     """Cards as days pass: ``(program_id, cycle_year, date, days_until)`` in, crossed rungs out.
 
     The state of a key is the last rung delivered. A missed day still fires the
-    rung it crossed, once.
+    rung it crossed, once. The state of a key that no row has named for
+    ``expire_ms`` is dropped.
     """
     ladder, floor = sorted(w.rungs), w.rung_floor_days
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(batches)).drop_duplicates("date").sort_values("date")
         fired = []
@@ -44,6 +60,7 @@ def rungs(observations: DataFrame, w: Weights = WEIGHTS) -> DataFrame:
                 fired.append((key[0], key[1], date, last))
         if last is not None:
             state.update((last,))
+            state.setTimeoutDuration(expire_ms)
         yield pd.DataFrame(fired, columns=["program_id", "cycle_year", "date", "rung"])
 
     return observations.groupBy("program_id", "cycle_year").applyInPandasWithState(
@@ -51,24 +68,37 @@ def rungs(observations: DataFrame, w: Weights = WEIGHTS) -> DataFrame:
         "program_id string, cycle_year int, date date, rung int",
         "rung int",
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 
-def page_changes(observations: DataFrame) -> DataFrame:
-    """``(program_id, date, text_hash, text_length)`` in, changes out; state is the last hash and length."""
+def page_changes(observations: DataFrame, expire_ms: int = EXPIRE_MS) -> DataFrame:
+    """``(program_id, date, text_hash, text_length)`` in, changes out; state is the last hash and length fetched.
+
+    A null hash is a failed fetch: it is reported and leaves the state alone. The
+    state of a page that no row has named for ``expire_ms`` is dropped.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         known = tuple(state.get) if state.exists else None
         out = []
         for row in pd.concat(list(batches)).sort_values("date").itertuples():
+            if row.text_hash is None or pd.isna(row.text_hash):
+                out.append((key[0], row.date, "failed"))
+                continue
             if known is None:
                 out.append((key[0], row.date, "new"))
             elif known[0] != row.text_hash:
                 shrunk = known[1] > 2000 and row.text_length / known[1] < 0.4
                 out.append((key[0], row.date, "suspicious" if shrunk else "changed"))
             known = (row.text_hash, int(row.text_length))
-        state.update(known)
+        if known is not None:
+            state.update(known)
+        if state.exists:
+            state.setTimeoutDuration(expire_ms)
         yield pd.DataFrame(out, columns=["program_id", "date", "change"])
 
     return observations.groupBy("program_id").applyInPandasWithState(
@@ -76,7 +106,7 @@ def page_changes(observations: DataFrame) -> DataFrame:
         "program_id string, date date, change string",
         "hash string, length int",
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 
