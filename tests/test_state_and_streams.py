@@ -5,6 +5,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import obligations as O
+from tidemark.operators.ledgers import upsert
 from tidemark.sources import digests, state
 from tidemark.sources.dims import attach, enabled, job_boards, sources
 from tidemark.streaming import ledgers as SL
@@ -43,7 +45,19 @@ def test_source_defaults_and_attach(spark):
     assert got["a"].max_items == 40 and got["b"].max_items == 5 and got["j"].source_kind == "jobs"
     assert [r.source_id for r in enabled(dim, ["a", "b"]).collect()] == ["a"]
     items = spark.createDataFrame([("a",), ("j",), ("zz",)], "source_id string")
-    assert attach(items, dim).count() == attach(items, dim, max_rows=1).count() == 2
+    assert {r.source_id: r.source_problem for r in attach(items, dim).collect()} == {"a": None, "j": None, "zz": "unknown-source"}
+
+
+def test_verify_order(spark):
+    rows = spark.createDataFrame([("p1", "b", None), ("p2", "a", 0), ("p3", "z", 90), ("p4", "y", 90)], "program_id string, label string, stale_days int")
+    assert [r.program_id for r in O.verify_order(rows.repartition(3)).collect()] == ["p4", "p3", "p2", "p1"]
+
+
+def test_upsert_with_repeated_keys(spark):
+    old = spark.createDataFrame([("a", 1, 5), ("b", 1, 5)], "k string, v int, at int")
+    new = spark.createDataFrame([("a", 9, 6), ("a", 2, 7), ("c", 3, 1), ("c", 3, 1)], "k string, v int, at int")
+    assert sorted(map(tuple, upsert(old, new, ["k"], "at").collect())) == [("a", 2, 7), ("b", 1, 5), ("c", 3, 1)]
+    assert upsert(upsert(old, new, ["k"]), new, ["k"]).count() == 3
 
 
 def run(df, name, mode="append"):

@@ -191,70 +191,156 @@ class Lexicon:
         return sorted({t.term.lower() for ts in self.lanes.values() for t in ts if t.weight >= floor})
 
 
-def _terms(text: str) -> tuple[Term, ...]:
-    """Comma-separated ``term weight`` pairs."""
-    pairs = (entry.strip().rsplit(" ", 1) for entry in text.split(",") if entry.strip())
-    return tuple(Term(term, float(weight)) for term, weight in pairs)
-
-
 # Lane word lists with their weights.
 LEXICON = Lexicon(
     lanes={
         "deadlines": (),
-        "fellowships": _terms(
-            """
-            fellowship 2, scholarship 2, scholars program 2.5, call for applications 3,
-            applications are open 3, applications open 3, now accepting applications 3, cohort 1.5,
-            stipend 2, rhodes 2.5, marshall scholarship 2.5, gates cambridge 3, knight-hennessy 3,
-            hertz 2.5, soros 2.5, schmidt science 2.5, gilliam 2.5
-            """
+        "fellowships": (
+            Term("fellowship", 2),
+            Term("scholarship", 2),
+            Term("scholars program", 2.5),
+            Term("call for applications", 3),
+            Term("applications are open", 3),
+            Term("applications open", 3),
+            Term("now accepting applications", 3),
+            Term("cohort", 1.5),
+            Term("stipend", 2),
+            Term("rhodes", 2.5),
+            Term("marshall scholarship", 2.5),
+            Term("gates cambridge", 3),
+            Term("knight-hennessy", 3),
+            Term("hertz", 2.5),
+            Term("soros", 2.5),
+            Term("schmidt science", 2.5),
+            Term("gilliam", 2.5),
         ),
-        "mstp-labs": _terms(
-            """
-            md/phd 3, md-phd 3, medical scientist training 3, physician scientist 2.5,
-            physician-scientist 2.5, mstp 3, amcas 2.5, post-baccalaureate 2, postbac 2,
-            kirschstein 2.5, f30 3, t32 2
-            """
+        "mstp-labs": (
+            Term("md/phd", 3),
+            Term("md-phd", 3),
+            Term("medical scientist training", 3),
+            Term("physician scientist", 2.5),
+            Term("physician-scientist", 2.5),
+            Term("mstp", 3),
+            Term("amcas", 2.5),
+            Term("post-baccalaureate", 2),
+            Term("postbac", 2),
+            Term("kirschstein", 2.5),
+            Term("f30", 3),
+            Term("t32", 2),
         ),
-        "venture-founder": _terms(
-            """
-            entrepreneur in residence 3, founder in residence 3.5, scientific co-founder 3.5,
-            scientific cofounder 3.5, company creation 2.5, venture fellow 3, seed round 1.5,
-            series a 1.5, spinout 2, incubator 1.5, accelerator 1.5, focused research organization 3,
-            nucleate 2.5, flagship pioneering 2.5, third rock 2, atlas venture 2, arch venture 2,
-            convergent research 3, translational 1
-            """
+        "venture-founder": (
+            Term("entrepreneur in residence", 3),
+            Term("founder in residence", 3.5),
+            Term("scientific co-founder", 3.5),
+            Term("scientific cofounder", 3.5),
+            Term("company creation", 2.5),
+            Term("venture fellow", 3),
+            Term("seed round", 1.5),
+            Term("series a", 1.5),
+            Term("spinout", 2),
+            Term("incubator", 1.5),
+            Term("accelerator", 1.5),
+            Term("focused research organization", 3),
+            Term("nucleate", 2.5),
+            Term("flagship pioneering", 2.5),
+            Term("third rock", 2),
+            Term("atlas venture", 2),
+            Term("arch venture", 2),
+            Term("convergent research", 3),
+            Term("translational", 1),
         ),
         "conferences": (),
-        "causal-genetics": _terms(
-            """
-            mendelian randomization 4, mendelian randomisation 4, causal inference 3, causal variant 3.5,
-            genome-wide association 3.5, fine-mapping 3.5, fine mapping 3, colocalization 3.5,
-            colocalisation 3.5, burden test 3, rare variant 2.5, polygenic 2.5, heritability 2,
-            target discovery 3.5, target identification 3, genetic evidence 3, human genetics 2.5,
-            biobank 2.5, exome 2, perturbation screen 3.5, perturb-seq 3.5, crispr screen 3,
-            functional genomics 3, single-cell 2.5, single cell 2, spatial transcriptomics 2.5,
-            epigenom 3, epigenetic editing 4, epigenetic clock 3.5, dna methylation 3.5, methylome 3,
-            bisulfite 3, chromatin 2.5, chromatin accessibility 3, 3d genome 2.5, enhancer 2,
-            regulatory element 2.5, transcription factor 2, reprogramming 3, partial reprogramming 3.5,
-            yamanaka 3, biomarkers of aging 3.5, biological age 3, healthspan 2.5, senescence 2,
-            longevity 2, aging 1.5
-            """
+        "causal-genetics": (
+            Term("mendelian randomization", 4),
+            Term("mendelian randomisation", 4),
+            Term("causal inference", 3),
+            Term("causal variant", 3.5),
+            Term("genome-wide association", 3.5),
+            Term("fine-mapping", 3.5),
+            Term("fine mapping", 3),
+            Term("colocalization", 3.5),
+            Term("colocalisation", 3.5),
+            Term("burden test", 3),
+            Term("rare variant", 2.5),
+            Term("polygenic", 2.5),
+            Term("heritability", 2),
+            Term("target discovery", 3.5),
+            Term("target identification", 3),
+            Term("genetic evidence", 3),
+            Term("human genetics", 2.5),
+            Term("biobank", 2.5),
+            Term("exome", 2),
+            Term("perturbation screen", 3.5),
+            Term("perturb-seq", 3.5),
+            Term("crispr screen", 3),
+            Term("functional genomics", 3),
+            Term("single-cell", 2.5),
+            Term("single cell", 2),
+            Term("spatial transcriptomics", 2.5),
+            Term("epigenom", 3),
+            Term("epigenetic editing", 4),
+            Term("epigenetic clock", 3.5),
+            Term("dna methylation", 3.5),
+            Term("methylome", 3),
+            Term("bisulfite", 3),
+            Term("chromatin", 2.5),
+            Term("chromatin accessibility", 3),
+            Term("3d genome", 2.5),
+            Term("enhancer", 2),
+            Term("regulatory element", 2.5),
+            Term("transcription factor", 2),
+            Term("reprogramming", 3),
+            Term("partial reprogramming", 3.5),
+            Term("yamanaka", 3),
+            Term("biomarkers of aging", 3.5),
+            Term("biological age", 3),
+            Term("healthspan", 2.5),
+            Term("senescence", 2),
+            Term("longevity", 2),
+            Term("aging", 1.5),
         ),
-        "tools-platforms": _terms(
-            """
-            sequencing platform 3, long-read 2.5, nanopore 2.5, illumina 2, 10x genomics 3,
-            pacific biosciences 2.5, spatial platform 2.5, consumable 2, instrument 1.5, assay 1.5,
-            throughput 1.5, gross margin 2, pull-through 2.5, razor 1.5, diagnostics 1.5,
-            laboratory developed test 2.5, reimbursement 2, tech transfer 2.5, licensing deal 2, royalty 2
-            """
+        "tools-platforms": (
+            Term("sequencing platform", 3),
+            Term("long-read", 2.5),
+            Term("nanopore", 2.5),
+            Term("illumina", 2),
+            Term("10x genomics", 3),
+            Term("pacific biosciences", 2.5),
+            Term("spatial platform", 2.5),
+            Term("consumable", 2),
+            Term("instrument", 1.5),
+            Term("assay", 1.5),
+            Term("throughput", 1.5),
+            Term("gross margin", 2),
+            Term("pull-through", 2.5),
+            Term("razor", 1.5),
+            Term("diagnostics", 1.5),
+            Term("laboratory developed test", 2.5),
+            Term("reimbursement", 2),
+            Term("tech transfer", 2.5),
+            Term("licensing deal", 2),
+            Term("royalty", 2),
         ),
     },
-    acronyms=_terms(
-        """
-        GWAS 3, MR 1.5, QTL 2, eQTL 3, pQTL 3, sQTL 2.5, PRS 2, PheWAS 3, TWAS 3, ATAC 3, TAPS 3,
-        WGBS 2.5, scRNA 2, CUT&RUN 2, CRISPRi 2.5, CRISPRa 2.5, UKB 2, LDSC 2.5
-        """
+    acronyms=(
+        Term("GWAS", 3),
+        Term("MR", 1.5),
+        Term("QTL", 2),
+        Term("eQTL", 3),
+        Term("pQTL", 3),
+        Term("sQTL", 2.5),
+        Term("PRS", 2),
+        Term("PheWAS", 3),
+        Term("TWAS", 3),
+        Term("ATAC", 3),
+        Term("TAPS", 3),
+        Term("WGBS", 2.5),
+        Term("scRNA", 2),
+        Term("CUT&RUN", 2),
+        Term("CRISPRi", 2.5),
+        Term("CRISPRa", 2.5),
+        Term("UKB", 2),
+        Term("LDSC", 2.5),
     ),
 )
 
@@ -381,13 +467,6 @@ MONTH_NAMES = {
     "december": 12, "dec": 12,
 }
 
-# Keep-if-any patterns for sources that mix announcements with other news.
-ANNOUNCEMENT_PATTERNS = (
-    r"\b(applications?|nominations?)\b.{0,40}\b(open|close|deadline|due|invited|accepted|live)\b",
-    r"\b(deadline|now accepting|call for applications|apply (now|by)|closing date)\b",
-    r"\b(cycle|competition)\b.{0,30}\b(open|launch|announce)\b",
-    r"\bshortlist|\binterview (dates|schedule)\b",
-)
 
 # Short zone names by (zone, offset minutes); other zones print as GMT+h.
 ZONE_NAMES = {

@@ -409,6 +409,11 @@ def verify_rows(df: DataFrame) -> DataFrame:
     )
 
 
+def verify_order(rows: DataFrame) -> DataFrame:
+    """The longest unverified first, null as 0, then by label: a range-partitioned sort."""
+    return rows.orderBy(F.coalesce("stale_days", F.lit(0)).desc(), "label", "program_id")
+
+
 def decide(df: DataFrame, w: Weights = WEIGHTS) -> DataFrame:
     """Add ``drop_reason`` for resolved rows that carry ``rung`` and ``last_rolling``.
 

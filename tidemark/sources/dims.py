@@ -69,15 +69,15 @@ def enabled(df: DataFrame, only: list[str] | None = None) -> DataFrame:
     return df.filter(F.col("source_id").isin(*only)) if only else df
 
 
-def attach(items: DataFrame, dim: DataFrame, max_rows: int = MAX_SOURCES) -> DataFrame:
-    """Source attributes on items.
+def attach(items: DataFrame, dim: DataFrame) -> DataFrame:
+    """Source attributes on items; ``source_problem`` says which items have no source row.
 
-    The dimension is broadcast only after its rows are counted to be within
-    ``max_rows``; beyond that the join is left to the planner, which shuffles
-    and splits hot sources at run time.
+    The planner broadcasts the dimension if it is small, and else shuffles and
+    splits hot sources at run time.
     """
-    small = dim.limit(max_rows + 1).count() <= max_rows
-    return items.join(F.broadcast(dim) if small else dim, "source_id")
+    known = dim.withColumn("_known", F.lit(True))
+    joined = items.join(known, "source_id", "left")
+    return joined.withColumn("source_problem", F.when(F.col("_known").isNull(), "unknown-source")).drop("_known")
 
 
 def lane_from_hints(hints: Column, default: str = DEFAULT_NEWS_LANE) -> Column:
