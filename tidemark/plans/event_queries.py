@@ -12,6 +12,8 @@ from tidemark.plans import fixtures as X
 from tidemark.plans.text_queries import SQUISH
 from tidemark.sources.boards import parse_boards
 from tidemark.sources.calendars import parse_calendars
+from tidemark.sources.collect import collected_items as collected
+from tidemark.sources.dims import sources
 from tidemark.sources.feeds import parse_feeds
 
 TICKERS = "array('VRTX', 'A', 'FDA', 'ILMN', 'abc', 'ZZZZ', 'NTRA', 'BRK.B')"
@@ -189,6 +191,37 @@ def feed_items(spark, sf):
     )
 
 
+# four documents to a body, feeds and boards in turn; the fourth entry is over the cap
+COLLECTED = """
+WITH g AS (
+  SELECT div(doc_id, 4) AS b, array_sort(collect_list(struct(doc_id, text))) AS d FROM documents GROUP BY div(doc_id, 4)
+)
+SELECT CASE WHEN b % 2 = 0 THEN concat('feed', b % 7) ELSE concat('board', b % 5) END AS source_id, 'news' AS source_kind,
+  false AS paywalled, CAST(NULL AS STRING) AS date_style, 'UTC' AS time_zone, 3 AS max_items, b % 2 = 0 AS feed, 'lever' AS vendor, 'Acme' AS company,
+  CASE WHEN b % 2 = 0 THEN concat('<rss><channel><title>c</title>', array_join(transform(d, x -> concat('<item><title>Item ', x.doc_id,
+      '</title><link>https://feed.example.org/', x.doc_id, '</link><pubDate>Mon, 15 Jan 2024 08:30:00 GMT</pubDate><description>',
+      {escaped}, '</description></item>')), ''), '</channel></rss>')
+    ELSE to_json(transform(d, x -> named_struct('id', CAST(x.doc_id AS STRING), 'text', concat('Item ', x.doc_id), 'hostedUrl',
+      concat('https://jobs.example.org/', x.doc_id), 'createdAt', 1709287200000D, 'descriptionPlain', x.text))) END AS body
+FROM g"""
+
+
+def collected_items(spark, sf):
+    """Bodies of several entries each, through parsing, caps and the join with their sources."""
+    X.table(spark, sf, "documents").createOrReplaceTempView("collected_documents")
+    query = COLLECTED.replace("{escaped}", ESCAPED.replace("(text,", "(x.text,")).replace("FROM documents", "FROM collected_documents")
+    bodies = spark.sql(query)
+    rows = [{"source_id": f"feed{i}", "authority": 0.1 * i, "publisher_group": f"p{i % 3}"} for i in range(6)]
+    rows += [{"source_id": f"board{i}", "authority": 0.6, "publisher_group": "jobs"} for i in range(4)]
+    feeds = parse_feeds(bodies.filter("feed"), instant("2024-02-01 00:00:00"))
+    items = collected(feeds, parse_boards(bodies.filter("NOT feed")), sources(spark, rows))
+    return items.select(
+        "source_id", F.col("pos").cast("long").alias("pos"), "title", F.col("canonical_url").alias("url"), "outcome",
+        F.coalesce("publisher_group", F.lit("")).alias("publisher_group"), F.coalesce("authority", F.lit(-1.0)).alias("authority"),
+        F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published"), F.left(F.sha2("body", 256), F.lit(16)).alias("digest"),
+    )
+
+
 def press_dates(spark, sf):
     e = X.table(spark, sf, "events").selectExpr("event_id", "date_format(ts, 'MMMM d, yyyy h:mma') AS raw")
     at = parse_press_date(F.lower("raw"), F.lit("America/New_York"))
@@ -199,7 +232,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         event_horizon, event_dedupe, watched_first, hidden_events, event_lines, feed_status, unless_broken, event_sources,
-        calendar_events, calendar_problems, calendar_order, calendar_bodies, board_items, feed_items, press_dates,
+        calendar_events, calendar_problems, calendar_order, calendar_bodies, board_items, feed_items, collected_items, press_dates,
     )
 }
 
@@ -323,5 +356,15 @@ ORACLES = {
         NOT bad AND doc_id % 3 = 0 AS paywalled,
         CASE WHEN length(body) = 0 THEN 'none' WHEN length(body) >= 400 THEN 'description' ELSE 'dek' END AS provenance,
         left(sha256(body), 16) AS digest FROM d""",
+    "collected_items": f"""
+      WITH d AS (SELECT doc_id, doc_id // 4 AS b, row_number() OVER (PARTITION BY doc_id // 4 ORDER BY doc_id) - 1 AS pos, text FROM documents),
+      s AS (SELECT *, b % 2 = 0 AS feed, CASE WHEN b % 2 = 0 THEN b % 7 ELSE b % 5 END AS k FROM d)
+      SELECT CASE WHEN feed THEN 'feed' ELSE 'board' END || k AS source_id, pos, 'Item ' || doc_id AS title,
+        CASE WHEN feed THEN 'https://feed.example.org/' ELSE 'https://jobs.example.org/' END || doc_id AS url,
+        CASE WHEN pos >= 3 THEN 'over-cap' WHEN (feed AND k = 6) OR (NOT feed AND k = 4) THEN 'unknown-source' ELSE 'kept' END AS outcome,
+        CASE WHEN (feed AND k = 6) OR (NOT feed AND k = 4) THEN '' WHEN feed THEN 'p' || (k % 3) ELSE 'jobs' END AS publisher_group,
+        CASE WHEN (feed AND k = 6) OR (NOT feed AND k = 4) THEN -1.0::DOUBLE WHEN feed THEN 0.1::DOUBLE * k ELSE 0.6::DOUBLE END AS authority,
+        CASE WHEN feed THEN '2024-01-15 08:30:00' ELSE '2024-03-01 10:00:00' END AS published,
+        left(sha256(CASE WHEN feed THEN {SQUISH("text")} ELSE text END), 16) AS digest FROM s""",
     "press_dates": """SELECT event_id, strftime(timezone('UTC', timezone('America/New_York', date_trunc('minute', ts))), '%Y-%m-%d %H:%M:%S') AS at_utc FROM events""",
 }
