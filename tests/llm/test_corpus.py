@@ -284,7 +284,7 @@ def test_odd_texts_have_the_ids_of_the_tokenizer():
 
     from tidemark.llm.tokens import WordEncoder
 
-    odd = ["¶ a¶b ¶¶", "don't I'VE 12 3.5", " a b\x85c", "é É ́x", "日本語 テスト", "a<|endoftext|>b <|startoftext|>", "ΣΑΣ ς", "\x1c\x1d x​y", "ﬁ İi ẞ", "😀😀 👨‍👩‍👧", None, ""]
+    odd = ["¶ a¶b ¶¶", "don't I'VE 12 3.5", " a b\x85c", "é É ́x", "日本語 テスト", "a<|endoftext|>b <|startoftext|>", "ΣΑΣ ς", "\x1c\x1d x​y", "ﬁ İi ẞ", "😀😀 👨‍👩‍👧", None, "", "é.É, x×. a÷! ß? ø;ñ:", "a.b.c,d a.'s A!'T x.'re", "a≮ b.́c é.̂", "…. a…. b’s. C3#4$5%", "İ. ǅ, a|. |b.", "<|ENDOFTEXT|> <|endoftext|>."]
     encoder, tokenizer = WordEncoder(word_tokenizer(), cache_words=5, per_call=3), Tokenizer.from_file(word_tokenizer())
     for texts in (odd, odd[::-1], odd[:3]):
         ids, bounds = encoder.encode(pa.array(texts))

@@ -16,12 +16,26 @@ import pyarrow as pa
 from tidemark.llm import texts as X
 
 MARK = "¶"
+#: Bytes that begin a new part after a letter. No apostrophe: it begins contractions. No bar: it is in special tokens.
+_BREAKS = np.isin(np.arange(256), np.frombuffer(b".,!?;:#$%&*", np.uint8))
+_ASCII_LETTER = (np.arange(256) >= 0x61) & (np.arange(256) <= 0x7A)
+
+
+def _parts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where words, and marks after a letter, start. Of letters beyond ASCII, those of U+00C0 to U+00FF are known."""
+    begins = np.zeros(len(data), bool)
+    begins[starts] = True
+    letter = _ASCII_LETTER[data]
+    second = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    letter[1:] |= second
+    begins[1:] |= _BREAKS[data[1:]] & letter[:-1]
+    return np.flatnonzero(begins)
 
 
 class WordEncoder:
     """Encodes columns of texts; keeps the ids of at most ``cache_words`` words between calls."""
 
-    def __init__(self, path: str, cache_words: int = 400_000, per_call: int = 200):
+    def __init__(self, path: str, cache_words: int = 1_000_000, per_call: int = 200):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -74,12 +88,17 @@ class WordEncoder:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column, and where each row's begin."""
         data, offsets = X.buffers(column)
-        starts, ends, first = X.word_spans(data, offsets, X.NOT_SPACE)
+        if b"<|" not in data.tobytes():  # special tokens have their own case
+            data = X.LOWER[data]
+        starts, _, _ = X.word_spans(data, offsets, X.NOT_SPACE)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        bounds = np.concatenate([[0], np.cumsum(ends - starts)])
+        starts = _parts(data, starts)
+        first = np.searchsorted(starts, offsets)
+        inside = X.NOT_SPACE[data]
+        bounds = np.append((np.cumsum(inside) - 1)[starts], int(inside.sum())).astype(np.int64)
         words = pa.LargeBinaryArray.from_buffers(
-            pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data[X.NOT_SPACE[data]])]
+            pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data[inside])]
         ).dictionary_encode()
         distinct = words.dictionary.to_pylist()
         if len(self.known) + len(distinct) > self.cache_words:
