@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, line_dedup, packing, quality, simhash
 from tidemark.llm.corpus_queries import word_tokenizer
@@ -25,10 +26,28 @@ def _plain(docs: DataFrame) -> tuple[DataFrame, dict, list[str]]:
     return docs.toDF(*names), {"text": of["text"], "keep": names}, of["doc_id"]
 
 
+#: Rejected texts that are sent to all tasks at most, as two hashes each; of more, both sides are shuffled.
+MAX_BROADCAST_TEXTS = 500_000
+_KEYS = ["text_key_1", "text_key_2"]
+
+
+def _keyed(docs: DataFrame, text: str) -> DataFrame:
+    return docs.withColumns({k: F.xxhash64(F.lit(i), text) for i, k in enumerate(_KEYS)})
+
+
+def _without(keyed: DataFrame, rejected: DataFrame, name: str) -> DataFrame:
+    """Rows whose text is not among the rejected ones; a verdict on a text holds for all its copies."""
+    rejected = materialize(rejected.select(*_KEYS).distinct(), name)
+    few = rejected.count() <= MAX_BROADCAST_TEXTS
+    return keyed.join(F.broadcast(rejected) if few else rejected, _KEYS, "left_anti").drop(*_KEYS)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the rules find good."""
     plain, arguments, _ = _plain(docs)
-    return quality.quality(plain, **arguments).filter("kept").select(*plain.columns).toDF(*docs.columns)
+    keyed = _keyed(plain, arguments["text"])
+    judged = quality.quality(keyed, arguments["text"], _KEYS)
+    return _without(keyed, judged.filter("not kept"), "rejected-by-quality").toDF(*docs.columns)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +66,9 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     """Drops documents of which a twentieth or more lies in passages of the benchmark."""
     plain, arguments, doc_id = _plain(docs)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").withColumnRenamed("text", arguments["text"])
-    judged = decontamination.contamination(plain, items, doc_id, **arguments)
-    return judged.filter("not contaminated").select(*plain.columns).toDF(*docs.columns)
+    keyed = _keyed(plain, arguments["text"])
+    judged = decontamination.contamination(keyed, items, doc_id, text=arguments["text"], keep=_KEYS)
+    return _without(keyed, judged.filter("contaminated"), "contaminated").toDF(*docs.columns)
 
 
 def token_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
