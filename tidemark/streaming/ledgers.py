@@ -18,8 +18,9 @@ from tidemark.operators.ledgers import upsert
 from tidemark.sources.state import read_state, snapshots, write_state
 
 
-#: State of a key that stays silent for so long is dropped.
-EXPIRE_MS = 400 * 86_400_000
+def _timeout(expire_ms: int | None) -> str:
+    """A time-out needs a batch now and then even without rows, so a stream that has one never comes to rest."""
+    return GroupStateTimeout.ProcessingTimeTimeout if expire_ms else GroupStateTimeout.NoTimeout
 
 
 def first_seen(items: DataFrame, key: str = "item_id", at: str = "seen_at", within: str | None = None) -> DataFrame:
@@ -35,12 +36,12 @@ def first_seen(items: DataFrame, key: str = "item_id", at: str = "seen_at", with
     return stamped.dropDuplicatesWithinWatermark([key]).select(key, F.to_date("_at").alias("first_seen"))
 
 
-def rungs(observations: DataFrame, w: Weights = WEIGHTS, expire_ms: int = EXPIRE_MS) -> DataFrame:
+def rungs(observations: DataFrame, w: Weights = WEIGHTS, expire_ms: int | None = None) -> DataFrame:
     """Cards as days pass: ``(program_id, cycle_year, date, days_until)`` in, crossed rungs out.
 
     The state of a key is the last rung delivered. A missed day still fires the
     rung it crossed, once. The state of a key that no row has named for
-    ``expire_ms`` is dropped.
+    ``expire_ms`` is dropped; without it, none.
     """
     ladder, floor = sorted(w.rungs), w.rung_floor_days
 
@@ -60,7 +61,8 @@ def rungs(observations: DataFrame, w: Weights = WEIGHTS, expire_ms: int = EXPIRE
                 fired.append((key[0], key[1], date, last))
         if last is not None:
             state.update((last,))
-            state.setTimeoutDuration(expire_ms)
+            if expire_ms:
+                state.setTimeoutDuration(expire_ms)
         yield pd.DataFrame(fired, columns=["program_id", "cycle_year", "date", "rung"])
 
     return observations.groupBy("program_id", "cycle_year").applyInPandasWithState(
@@ -68,15 +70,15 @@ def rungs(observations: DataFrame, w: Weights = WEIGHTS, expire_ms: int = EXPIRE
         "program_id string, cycle_year int, date date, rung int",
         "rung int",
         "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        _timeout(expire_ms),
     )
 
 
-def page_changes(observations: DataFrame, expire_ms: int = EXPIRE_MS) -> DataFrame:
+def page_changes(observations: DataFrame, expire_ms: int | None = None) -> DataFrame:
     """``(program_id, date, text_hash, text_length)`` in, changes out; state is the last hash and length fetched.
 
     A null hash is a failed fetch: it is reported and leaves the state alone. The
-    state of a page that no row has named for ``expire_ms`` is dropped.
+    state of a page that no row has named for ``expire_ms`` is dropped; without it, none.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -97,7 +99,7 @@ def page_changes(observations: DataFrame, expire_ms: int = EXPIRE_MS) -> DataFra
             known = (row.text_hash, int(row.text_length))
         if known is not None:
             state.update(known)
-        if state.exists:
+        if state.exists and expire_ms:
             state.setTimeoutDuration(expire_ms)
         yield pd.DataFrame(out, columns=["program_id", "date", "change"])
 
@@ -106,7 +108,7 @@ def page_changes(observations: DataFrame, expire_ms: int = EXPIRE_MS) -> DataFra
         "program_id string, date date, change string",
         "hash string, length int",
         "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        _timeout(expire_ms),
     )
 
 
