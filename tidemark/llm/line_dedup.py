@@ -2,51 +2,56 @@
 
 A line is removed if an earlier line (by document, then position) has a Jaccard
 similarity of at least the threshold. Lines with the same set of words are one
-entry, that of the earliest. The words of a set are ordered by rarity: the
-commonest words, counted over all documents, come last. Two sets that are
-similar share a word among their first few (prefix filter); where they meet,
-their sizes, the places of the shared word and a 64-bit sketch bound what they
-can share, and the pairs that remain are verified on their words.
+entry, that of the earliest. The words of a set are ordered by rarity: words are
+counted over all documents, in a fixed number of hash buckets, and rare buckets come first.
+Two sets that are similar share a word among their first few (prefix filter);
+where they meet, their sizes, the places of the shared word and a 64-bit sketch
+bound what they can share, and the pairs that remain are verified on all their words.
+
+Only whether an earlier match exists is asked, so near copies need not all meet: a
+set whose prefix reaches into common words is first compared with the earliest sets
+that agree on the least hashes of the prefix, and two sets that this settles no
+longer meet.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.common import stage
 from tidemark.session import materialize
 
 SPACES = r"[\x20\x09-\x0D]+"
-#: Ranks up to which words count as common, the commonest first.
-BANDS = (16, 64, 256, 1024)
-_HASH_BITS = 59
-MAX_BROADCAST_LINES = 200_000
+_BUCKETS = 20
+_HASH_BITS = 58
+#: Words of a bucket with 2^8 words or more are common.
+COMMON = 8
+MAX_BROADCAST_LINES = 500_000
 
 
-def _words(line: Column) -> Column:
-    return F.array_distinct(F.array_remove(F.split(line, SPACES), ""))
+def word_classes(docs: DataFrame, text: str) -> bytes:
+    """How common the words of each of 2^20 hash buckets are over all documents: a digit-like byte, 48 plus log2 of the count."""
+    words = docs.select(F.explode(F.split(F.col(f"`{text}`").cast("string"), SPACES)).alias("w")).filter("w <> ''")
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit((1 << _BUCKETS) - 1)).alias("id")).count()
+    size = F.floor(F.log2(F.coalesce("count", F.lit(0)) + 1)).cast("int")
+    every = docs.sparkSession.range(1 << _BUCKETS).join(counts, "id", "left")
+    parts = every.select("id", F.char(48 + F.least(size, F.lit(31))).alias("c")).groupBy(F.shiftright("id", 10).alias("part"))
+    rows = parts.agg(F.sort_array(F.collect_list(F.struct("id", "c"))).alias("all")).select("part", F.array_join("all.c", "").alias("line"))
+    return "".join(r["line"] for r in sorted(rows.collect())).encode()
 
 
-def common_words(docs: DataFrame, text: str) -> list[str]:
-    """The commonest words of all documents, the commonest first; as many as the last band says."""
-    words = docs.select(F.explode(F.split(F.col(text), SPACES)).alias("w")).filter("w <> ''")
-    top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(BANDS[-1])
-    return [r["w"] for r in top.collect()]
+def _keys(line: Column, classes: bytes) -> Column:
+    """A line's distinct words as sorted numbers: the rarest classes first, then by their hash."""
+    table = F.lit(classes)
 
+    def key(h: Column) -> Column:
+        at = h.bitwiseAND(F.lit((1 << _BUCKETS) - 1)) + 1
+        common = F.ascii(F.substr(table, at.cast("int"), F.lit(1)).cast("string")) - 48
+        return F.shiftleft(common.cast("long"), _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
 
-def _keys(line: Column, common: list[str]) -> Column:
-    """A line's distinct words as sorted numbers: rare words first, then by their hash."""
-
-    def key(word: Column) -> Column:
-        band, low = F.lit(0).cast("long"), 0
-        for i, high in enumerate(BANDS):
-            if common[low:high]:
-                band = F.when(word.isin(common[low:high]), F.lit((len(BANDS) - i) << _HASH_BITS).cast("long")).otherwise(band)
-            low = high
-        return F.xxhash64(word).bitwiseAND(F.lit((1 << _HASH_BITS) - 1)).bitwiseOR(band)
-
-    return F.sort_array(F.transform(_words(line), key))
+    words = F.array_remove(F.split(line, SPACES), "")
+    return F.sort_array(F.transform(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), key))
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -58,7 +63,7 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def line_sets(docs: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
     """One row per distinct set of words: its number, first line, size, sketch and prefix."""
-    common = common_words(docs, text)
+    common = word_classes(docs, text)
     keyed = stage(_lines(docs, doc_id, text), {"keys": _keys(F.col("line"), common)}).drop("line")
     n = F.size("keys")
     prefix = n - F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1
@@ -75,48 +80,81 @@ def line_sets(docs: DataFrame, doc_id: str, text: str, threshold: float) -> Data
             "no",
             n.alias("n"),
             sketch.alias("sketch"),
-            F.transform(F.slice("keys", 1, prefix), lambda k: k.bitwiseAND(F.lit(0xFFFFFFFF))).alias("prefix"),
+            F.shiftright(F.get("keys", prefix - 1), _HASH_BITS).cast("int").alias("top"),
+            F.transform(F.slice("keys", 1, prefix), lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("prefix"),
         ).alias("first"),
     )
     return rows.groupBy("set1", "set2").agg(F.min("first").alias("first"))
 
 
-def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
-    """a, b: pairs of set numbers that may be similar, a < b."""
-    entry = sets.select("set", "n", "sketch", F.posexplode("prefix").alias("place", "word"))
-    x, y = entry.alias("x"), entry.alias("y")
-    c = lambda s: F.col(s)
+def _few(table: DataFrame) -> DataFrame:
+    """The table, sent to all tasks if its rows are counted to be few; else the join shuffles both sides."""
+    return F.broadcast(table) if table.count() <= MAX_BROADCAST_LINES else table
+
+
+def near_copies(sets: DataFrame) -> DataFrame:
+    """a, b: each set that has common words in its prefix, and the earliest ones with the same least hashes of it.
+
+    Other sets meet few others at any word of their prefix.
+    """
+    seeded = lambda i: lambda w: F.xxhash64(F.lit(i), w)
+    least = [F.array_min(F.transform("prefix", seeded(i))) for i in range(12)]
+    hot = sets.filter(F.col("top") >= COMMON).select("set", "d", F.array(*least).alias("least"))
+    at = lambda i: F.get("least", F.lit(i))
+    bands = [F.xxhash64(F.lit(i), at(i)) for i in range(4)] + [F.xxhash64(F.lit(i), at(i), at(i + 1)) for i in range(4, 12, 2)]
+    rows = stage(hot, {"least": F.col("least")}).select("set", "d", F.explode(F.array(*bands)).alias("band"))
+    first = F.first("set").over(Window.partitionBy("band").orderBy(F.col("d").asc_nulls_last(), "set"))
+    return rows.select(first.alias("a"), F.col("set").alias("b")).filter("a <> b").distinct()
+
+
+_SETTLED, _PLACE = 1 << 60, (1 << 24) - 1
+
+
+def _may_match(x: str, y: str, threshold: float) -> Column:
+    """Whether two entries that share a word can be similar: by sizes, places of the word, sketches."""
     t = threshold
-    most = F.least(c("x.n") - c("x.place"), c("y.n") - c("y.place"))
-    total = c("x.n") + c("y.n")
-    apart = F.bit_count(c("x.sketch").bitwiseXOR(c("y.sketch")))
+    at = lambda s: F.col(f"{s}.at")
+    size = lambda s: F.shiftright(at(s).bitwiseAND(F.lit(_SETTLED - 1)), 24)
+    nx, ny = size(x), size(y)
+    most = F.least(nx - at(x).bitwiseAND(F.lit(_PLACE)), ny - at(y).bitwiseAND(F.lit(_PLACE)))
+    apart = F.bit_count(F.col(f"{x}.sketch").bitwiseXOR(F.col(f"{y}.sketch")))
     return (
-        x.join(
-            y,
-            (c("x.word") == c("y.word"))
-            & (c("x.set") < c("y.set"))
-            & (F.least("x.n", "y.n") + 1e-9 >= t * F.greatest("x.n", "y.n"))
-            & (most * (1 + t) + 1e-9 >= t * total)
-            & (apart * (1 + t) <= (1 - t) * total + 1e-9),
-        )
-        .select(c("x.set").alias("a"), c("y.set").alias("b"))
-        .distinct()
+        (F.least(nx, ny) + 1e-9 >= t * F.greatest(nx, ny))
+        & (most * (1 + t) + 1e-9 >= t * (nx + ny))
+        & (apart * (1 + t) <= (1 - t) * (nx + ny) + 1e-9)
+    )
+
+
+def similar_pairs(sets: DataFrame, settled: DataFrame, threshold: float) -> DataFrame:
+    """a, b: pairs of sets that share a prefix word and may be similar, unless both are settled.
+
+    ``at`` of an entry: whether its set is settled, its size, and the word's place in it.
+    """
+    known = sets.join(_few(settled.withColumn("done", F.lit(_SETTLED))), "set", "left")
+    size = F.shiftleft(F.col("n").cast("long"), 24)
+    entry = known.select("set", "sketch", (F.coalesce("done", F.lit(0)) + size).alias("size"), F.posexplode("prefix").alias("place", "word"))
+    entry = entry.select("word", "set", (F.col("size") + F.col("place")).alias("at"), "sketch")
+    meet = (
+        (F.col("x.word") == F.col("y.word"))
+        & (F.col("x.set") < F.col("y.set"))
+        & ((F.col("x.at") < _SETTLED) | (F.col("y.at") < _SETTLED))
+        & _may_match("x", "y", threshold)
     )
+    return entry.alias("x").join(entry.alias("y"), meet).select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
 
 
-def later_matches(docs: DataFrame, sets: DataFrame, pairs: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
-    """set: the sets whose first line comes after the first line of a similar set."""
-    place = F.struct(F.col("no_id"), F.col("d"), F.col("h"), F.col("no"))
+def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
+    """set: of each pair that is similar, the one whose first line comes later."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-    wanted = materialize(sets.join(wanted, "set", "left_semi").select("set", "d", "h", "no", place.alias("place")), "lines-to-verify")
-    # the texts of these lines: their places go to all tasks if they are few, else both sides are shuffled
-    few = wanted.count() <= MAX_BROADCAST_LINES
-    places = wanted.select("set", "place", F.col("d").alias("wd"), F.col("h").alias("wh"), F.col("no").alias("wno"))
-    places = F.broadcast(places) if few else places
+    wanted = materialize(sets.join(wanted, "set", "left_semi").select("set", "no_id", "d", "h", "no"), "lines-to-verify")
+    place = F.struct("no_id", F.col("d").alias("wd"), F.col("h").alias("wh"), F.col("no").alias("wno"))
     lines = _lines(docs, doc_id, text).join(
-        places, F.col("d").eqNullSafe(F.col("wd")) & (F.col("h") == F.col("wh")) & (F.col("no") == F.col("wno"))
+        _few(wanted.select("set", place.alias("place"))),
+        F.col("d").eqNullSafe(F.col("place.wd")) & (F.col("h") == F.col("place.wh")) & (F.col("no") == F.col("place.wno")),
     )
-    texts = materialize(lines.select("set", "place", _words(F.col("line")).alias("words")).dropDuplicates(["set"]), "lines-verified")
+    # words as 64-bit hashes: a line is compared by all its words, at a third of their bytes
+    words = F.array_distinct(F.transform(F.array_remove(F.split("line", SPACES), ""), lambda w: F.xxhash64(w)))
+    texts = materialize(lines.select("set", "place", words.alias("words")).dropDuplicates(["set"]), "lines-verified")
     x, y = (texts.select(F.col("set").alias(s), F.col("place").alias(f"{s}_place"), F.col("words").alias(f"{s}_words")) for s in "ab")
     both = stage(pairs.join(x, "a").join(y, "b"), {"shared": F.size(F.array_intersect("a_words", "b_words"))})
     alike = F.col("shared") + 1e-9 >= threshold * (F.size("a_words") + F.size("b_words") - F.col("shared"))
@@ -132,10 +170,13 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     lines. A document may lose all its lines; its row stays.
     """
     keep = docs.columns if keep is None else keep
-    found = line_sets(docs, doc_id, text, threshold).select("first.*").withColumn("set", F.monotonically_increasing_id())
-    sets = materialize(found, "line-sets")
-    pairs = materialize(similar_sets(sets, threshold), "line-pairs")
-    removed = later_matches(docs, sets, pairs, doc_id, text, threshold)
+    found = line_sets(docs, doc_id, text, threshold).select("first.*")
+    sets = materialize(found.withColumn("set", F.monotonically_increasing_id()), "line-sets")
+    pairs = materialize(near_copies(sets), "line-copies")
+    settled = materialize(verified(docs, sets, pairs, doc_id, text, threshold), "settled-lines")
+    pairs = materialize(similar_pairs(sets, settled, threshold), "line-pairs")
+    later = materialize(settled.unionByName(verified(docs, sets, pairs, doc_id, text, threshold)).distinct(), "later-lines")
+    removed = _few(later)
     stay = sets.join(removed, "set", "left_anti").groupBy("d", "h").agg(F.collect_set("no").alias("stay"))
     value = F.col(f"`{text}`").cast("string")
     rows = docs.select(F.struct("*").alias("row"), value.alias("t"), F.col(f"`{doc_id}`").alias("rd"), F.xxhash64(value).alias("rh"))
