@@ -41,26 +41,23 @@ def _steps(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """Tables of ancestors 1, 2, 4, ... steps up, and of every message's depth and path score."""
     parents = messages.select(F.col("c").alias("c2"), F.col("v").alias("up"))
     known = messages.join(parents, (F.col("parent") == F.col("up")) & (F.col("c") == F.col("c2")), "left")
-    now = materialize(known.select("c", "v", "up", F.col("score").alias("total"), F.lit(1).cast("long").alias("depth")), "steps")
-    n, tables = now.count(), []
-    while now.filter("up is not null").limit(1).count():
+    now = known.select("c", "v", "up", F.col("score").alias("total"), F.lit(1).cast("long").alias("depth"))
+    now = materialize(now, "steps")
+    n, tables, settled = now.count(), [], now.filter("up is null")
+    active = now.filter("up is not null")
+    while active.limit(1).count():
         if 1 << len(tables) > n:
-            # only messages that are their own ancestors still have one: no root, no path
-            return tables, now.filter("up is null")
-        tables.append(now.select("c", "v", "up").filter("up is not null"))
-        further = now.select(F.col("c").alias("c2"), F.col("v").alias("v2"), F.col("up").alias("up2"), F.col("total").alias("t2"), F.col("depth").alias("d2"))
-        joined = now.join(further, (F.col("c") == F.col("c2")) & (F.col("up") == F.col("v2")), "left")
-        now = materialize(
-            joined.select(
-                "c",
-                "v",
-                F.col("up2").alias("up"),
-                (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"),
-                (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"),
-            ),
-            "steps",
+            # only messages that are their own ancestors go on: no root, no path
+            break
+        tables.append(active.select("c", "v", "up"))
+        further = active.unionByName(settled).select(
+            F.col("c").alias("c2"), F.col("v").alias("v2"), F.col("up").alias("up2"), F.col("total").alias("t2"), F.col("depth").alias("d2")
         )
-    return tables, now
+        joined = active.join(further, (F.col("c") == F.col("c2")) & (F.col("up") == F.col("v2")))
+        total, depth = (F.col("total") + F.col("t2")).alias("total"), (F.col("depth") + F.col("d2")).alias("depth")
+        now = materialize(joined.select("c", "v", F.col("up2").alias("up"), total, depth), "steps")
+        settled, active = settled.unionByName(now.filter("up is null")), now.filter("up is not null")
+    return tables, settled
 
 
 def reply_paths(messages: DataFrame, best: int | None) -> DataFrame:
