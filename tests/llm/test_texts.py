@@ -226,3 +226,29 @@ def test_licences_on_held_out_notices(spark):
 def test_licences_of_messy_and_empty_tables(docs, empty):
     assert licences.scan(docs).count() <= 5
     assert licences.scan(empty).count() == 0
+
+
+def test_licences_inside_long_lines_and_across_lines():
+    r = random.Random(9)
+    others = [" ".join(r.choice(("amber", "river", "stone", "under", "this", "the", "all", "of", "work", "walked")) + r.choice(("", "s")) for _ in range(r.randint(5, 120))) for _ in range(400)]
+    model = licences.train(others)
+    pool = " ".join(others).split()
+    notices = [(f, t) for f, ts in licences.TEMPLATES.items() for t in ts]
+    texts, want = [], []
+    for n in (30, 70, 300):
+        for k in (n, n // 2, 0):
+            for family, notice in notices:
+                begin = r.randrange(len(pool) - n)
+                words = pool[begin : begin + n]
+                want.append((len(texts), 0, family))
+                texts.append(" ".join([*words[:k], notice, *words[k:]]))
+    for family, notice in notices:
+        words = notice.split()
+        cut = len(words) // 2
+        want.append((len(texts), 1, family))
+        texts.append("amber river\n" + " ".join(words[:cut]) + "\n" + " ".join(words[cut:]) + "\n\nstone walked")
+    clean = [" ".join(pool[i : i + 300]) for i in range(0, 6000, 300)]
+    found = [(row, line, family) for row, line, family, _, _ in licences.judge(model, pa.array(texts + clean))]
+    missed = set(want) - set(found)
+    assert len(missed) <= 0.02 * len(want), missed
+    assert not [f for f in found if f[0] >= len(texts)]
