@@ -130,6 +130,48 @@ def test_passages(spark, docs, empty):
     assert len(want) > 60 and passages.repeated_passages(empty).count() == 0
 
 
+def brute_removed(rows, min_words):
+    """Spans of removed words of each document by id, and its text without them."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    seen, out = set(), {}
+    for doc, text in sorted(rows):
+        low = re.sub("[A-Z]+", lambda m: m[0].lower(), text)
+        at = [m.span() for m in word.finditer(low)]
+        words = [low[a:b] for a, b in at]
+        gone = set()
+        for i in range(len(words) - min_words + 1):
+            window = tuple(words[i : i + min_words])
+            if window in seen:
+                gone.update(range(i, i + min_words))
+            seen.add(window)
+        spans = []
+        for i in sorted(gone):
+            if spans and sum(spans[-1]) == i:
+                spans[-1] = (spans[-1][0], spans[-1][1] + 1)
+            else:
+                spans.append((i, 1))
+        for start, n in reversed(spans):
+            end = at[start + n][0] if start + n < len(at) else at[start + n - 1][1]
+            text = text[: at[start][0]] + text[end:]
+        out[doc] = (len(words), len(gone), spans, text)
+    return out
+
+
+def test_removal_of_passages(spark, empty):
+    r = random.Random(12)
+    make = lambda n: " ".join("w%d" % r.randrange(5000) for _ in range(n))
+    early, late = make(60), make(70)
+    # the middle one holds a passage of an earlier document right beside one of a later document
+    rows = [(1, make(20) + " " + early + "."), (2, make(9) + "; " + early.upper() + " - " + late + "! " + make(5)), (3, late + ", " + make(30))]
+    rows += [(4, ", ".join([early[:0] + make(55)] * 3) + "."), (5, "same " * 300), (6, ""), (7, "(" + make(3) + ")"), (8, rows[0][1]), (9, "É😀 " + late + " é😀\n")]
+    rows += [(10 + i, " / ".join(r.sample([early, late, make(51), make(80), make(7)], 4))) for i in range(40)]
+    table = spark.createDataFrame(r.sample(rows, len(rows)), "doc_id long, text string").repartition(4)
+    got = {x.doc_id: (x.n_words, x.n_removed, [tuple(s) for s in x.spans], x.text) for x in passages.without_repeats(table).collect()}
+    assert got == brute_removed(rows, 50)
+    assert got[2][2] == [(9, 60)] and got[3][2] == [(0, 70)] and got[4][2] == [(55, 110)] and got[8][3] == "."
+    assert passages.without_repeats(empty).count() == 0
+
+
 # --- token counts
 
 

@@ -120,6 +120,89 @@ def repeated_passages(
     return passages_of(windows, ids, doc_id, min_words)
 
 
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    value = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    return docs.select(F.xxhash64(F.col(f"`{doc_id}`"), value).alias("doc"), F.col(f"`{doc_id}`").alias("id"), value.alias("text"))
+
+
+def removable_windows(docs: DataFrame, doc_id: str, text: str, min_words: int, k: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """The documents, doc, id and text; doc and pos of each window that has an earlier place.
+
+    The first place of a window is that in the least document by id, of equal ids
+    the least by text hash, and there the leftmost; null ids come last.
+    """
+    keyed = _keyed(docs, doc_id, text).distinct()
+    once = keyed.select("doc", "text")
+    table = materialize(suffixes(once, min_words, k, width), "suffixes")
+    candidates = materialize(repeated_suffixes(table).distinct(), "candidate-suffixes")
+    windows = materialize(candidate_windows(once, candidates, min_words, width), "candidate-windows")
+    ids = keyed.select("doc", F.struct(F.col("id").isNull().alias("none"), "id", "doc").alias("at"))
+    placed = windows.join(ids, "doc").select("h", "doc", "pos", F.struct("at", "pos").alias("place"))
+    # the least place is found before the shuffle; a window of one place only has no other row to remove
+    first = placed.groupBy("h").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first")
+    again = placed.join(first, "h").filter(F.col("place") != F.col("first")).select("doc", "pos")
+    return keyed, materialize(again, "removable-windows")
+
+
+def without_repeats(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 50, k: int = 8, width: int = 18
+) -> DataFrame:
+    """doc_id, n_words, n_removed, spans, text: each document without what it repeats.
+
+    A word is removed if it lies in a window of ``min_words`` words that an earlier
+    document (by id) or an earlier place of its own document holds; of every
+    window the first place stays, unless its words lie in another repeated one.
+    ``spans``: start and n_words of the runs of removed words, in order; places
+    count words. The text between two kept words goes with the removed ones; all
+    other bytes stay. Rows equal in id and text are one document.
+    """
+    if min_words < k + width - 1 + width - 1:
+        raise ValueError("min_words is too small for the minimisers' window")
+    keyed, again = removable_windows(docs, doc_id, text, min_words, k, width)
+    places = again.groupBy("doc").agg(F.collect_list("pos").alias("places"))
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("n_words", T.LongType())])
+    schema = T.StructType(
+        [
+            T.StructField("id", keyed.schema["id"].dataType),
+            T.StructField("n_words", T.LongType()),
+            T.StructField("n_removed", T.LongType()),
+            T.StructField("spans", T.ArrayType(span)),
+            T.StructField("text", T.StringType()),
+        ]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in X.slices(batches, "text"):
+            data, offsets = X.buffers(part.column("text"))
+            starts, ends, first = X.word_spans(X.LOWER[data], offsets, X.LETTER_OR_DIGIT)
+            spans, texts = [], []
+            for row, mine in enumerate(part.column("places").to_pylist()):
+                runs: list[list[int]] = []
+                for pos in sorted(mine or ()):
+                    if runs and pos <= runs[-1][1]:
+                        runs[-1][1] = pos + min_words
+                    else:
+                        runs.append([pos, pos + min_words])
+                low, pieces = int(offsets[row]), []
+                for a, b in runs:
+                    pieces.append(data[low : starts[first[row] + a]].tobytes())
+                    last = int(first[row] + b)
+                    # up to the next kept word, or the end of the last removed one
+                    low = int(starts[last]) if last < first[row + 1] else int(ends[last - 1])
+                pieces.append(data[low : offsets[row + 1]].tobytes())
+                spans.append([{"start": a, "n_words": b - a} for a, b in runs])
+                texts.append(b"".join(pieces).decode())
+            removed = [sum(s["n_words"] for s in x) for x in spans]
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("n_words", pa.int64())]))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("id"), pa.array(np.diff(first), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(texts, pa.string())],
+                schema.names,
+            )
+
+    joined = keyed.join(places, "doc", "left").select("id", "text", "places")
+    return joined.mapInArrow(run, schema).withColumnRenamed("id", doc_id)
+
+
 def passages_of(windows: DataFrame, ids: DataFrame, doc_id: str, min_words: int) -> DataFrame:
     """Join windows that two documents hold to passages."""
     known = windows.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a <> b").select("h")

@@ -51,6 +51,14 @@ def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op5_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = passages.without_repeats(_table(spark, sf_dir, "documents"))
+    spans = F.transform("spans", lambda s: F.concat_ws("+", s["start"].cast("string"), s["n_words"].cast("string")))
+    return done.select(
+        "doc_id", "n_words", "n_removed", F.array_join(spans, ",").alias("spans"), F.sha2("text", 256).alias("text_sha256")
+    )
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), piece_model())
 
@@ -64,6 +72,7 @@ QUERIES = {
     "op2_licences": op2_licences,
     "op3_chat_format": op3_chat_format,
     "op5_repeated_passages": op5_repeated_passages,
+    "op5_without_repeats": op5_without_repeats,
     "op8_token_counts": op8_token_counts,
     "op10_token_files": op10_token_files,
 }
