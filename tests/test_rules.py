@@ -19,6 +19,7 @@ from tidemark.operators import boilerplate as B
 from tidemark.operators import ledgers as L
 from tidemark.operators.news import classify
 from tidemark.operators.skew import lookup_join
+from tidemark.plans import daily
 
 
 def values(spark, *columns):
@@ -204,3 +205,22 @@ def test_upsert_keeps_untouched_keys(spark):
 
 def test_weights_are_pinned():
     assert WEIGHTS.fingerprint() == "a0b34290798e"
+
+
+def test_news_over_the_days_cap_is_counted(spark):
+    from tidemark.plans import fixtures as X
+    from tidemark.plans import news_queries, obligation_queries
+    from tidemark.operators import obligations as O
+
+    sf = "/root/testdata/sf0.001"
+    built = obligation_queries._built(spark, sf).drop("cycles", "cycle")
+    gated = O.status_gate(X.programs(spark, sf), X.CLOCK)
+    ranked = news_queries._ranked(spark, sf).drop("lane_scores", "scorable", "stripped")
+    news = ranked.drop(*[c for c in ranked.columns if c.startswith("_")]).withColumn("drop_reason", F.when(F.col("drop_reason") != "below-threshold", F.col("drop_reason"))).cache()
+    n, kept = news.count(), news.filter("drop_reason IS NULL").count()
+    assert kept > WEIGHTS.max_items_per_day
+    out = daily.assemble(built, gated, news, X.CLOCK)
+    stats = out["stats"].collect()[0]
+    assert stats.dropped["over-cap"] == kept - WEIGHTS.max_items_per_day
+    assert stats.fetched == gated.count() + n
+    assert out["items"].filter("kind = 'news'").count() == WEIGHTS.max_items_per_day

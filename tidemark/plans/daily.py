@@ -13,6 +13,17 @@ from tidemark.operators.reports import obligation_stats
 from tidemark.session import materialize
 
 
+def with_daily_cap(news: DataFrame, w: Weights = WEIGHTS) -> DataFrame:
+    """Ranked items; a kept one beyond the day's best gets the drop reason ``over-cap``.
+
+    The best are a bounded number of rows and broadcast, so no window sorts all items in one task.
+    """
+    best = news.filter(F.col("drop_reason").isNull()).orderBy(F.col("score").desc(), "item_id").limit(w.max_items_per_day)
+    marked = news.join(F.broadcast(best.select("item_id", F.lit(True).alias("_best"))), "item_id", "left")
+    reason = F.when(F.col("drop_reason").isNull() & F.col("_best").isNull(), "over-cap").otherwise(F.col("drop_reason"))
+    return marked.withColumn("drop_reason", reason).drop("_best")
+
+
 def assemble(
     built: DataFrame,
     gated: DataFrame,
@@ -24,11 +35,13 @@ def assemble(
     """Items, lane lists, strip, verify queue and stats.
 
     ``built`` is the obligation half, ``gated`` the programmes with their gate
-    reason, ``news`` the ranked items. The halves share no input, so a broken
+    reason, ``news`` the ranked items. ``fetched`` counts all programmes and all
+    ranked items, ``dropped`` the news over the day's cap too. The halves share no input, so a broken
     feed cannot take the countdown with it.
     """
     opportunities = O.item_rows(built)
-    daily = N.news_rows(news).orderBy(F.col("score").desc(), "item_id").limit(w.max_items_per_day)
+    news = with_daily_cap(news, w)
+    daily = N.news_rows(news)
     items = opportunities.unionByName(daily, allowMissingColumns=True)
     lanes = L.top_per_lane(items, w.max_items_per_lane)
     lane_items = lanes.select(F.col("primary_lane").alias("lane"), "item_id", "rank", "score")
@@ -38,16 +51,17 @@ def assemble(
     dropped = N.drop_accounting(gated, built, news)
     # a handful of reasons, one row each
     drops = dropped.agg(F.map_from_entries(F.collect_list(F.struct("drop_reason", "dropped"))).alias("dropped"))
-    kept = items.agg(F.count("*").alias("kept"), F.count_if(F.col("kind") == "news").alias("news_kept"))
+    kept = items.agg(F.count("*").alias("kept"))
+    collected = news.agg(F.count("*").alias("news"))
     programs = gated.agg(F.count("*").alias("programs"))
     medians = built.filter(F.col("drop_reason").isNull()).agg(F.median("score").alias("median_score"))
     counts = obligation_stats(built).select("deadlines_tracked", "verified_last_7d")
     one = F.lit(1)
     stats = drops.withColumn("_k", one)
-    for part in (kept, programs, medians, counts):
-        # single rows joined on a constant: five scalars side by side
+    for part in (kept, collected, programs, medians, counts):
+        # single rows joined on a constant: six scalars side by side
         stats = stats.join(part.withColumn("_k", one), "_k")
-    stats = stats.withColumn("fetched", F.col("programs") + F.col("news_kept")).drop("_k", "programs", "news_kept")
+    stats = stats.withColumn("fetched", F.col("programs") + F.col("news")).drop("_k", "programs", "news")
     return {
         "items": items,
         "lane_items": lane_items,
