@@ -9,6 +9,9 @@ from tidemark.config import CANDIDATE_MAX_CHARS, CAPITALISED_STOPWORDS, NUMBER_W
 from tidemark.functions.common import case_of, let
 
 URL = r"(?i)(https?://|www\.|\b[a-z0-9-]{2,}\.(?:com|org|net|edu|gov|io|ai|co)\b)"
+#: ``\b`` over ASCII words: Java's own counts é as part of a word on some versions, and a name before it is lost.
+_WORD = "[A-Za-z0-9_]"
+EDGE = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 TIME_UNITS = ("day", "days", "week", "weeks", "month", "months", "hour", "hours", "year", "years")
 
 
@@ -48,7 +51,7 @@ def strange_names(candidate: Column, source: Column) -> Column:
 
 
 def _names_outside(candidate: Column, haystack: Column) -> Column:
-    found = F.regexp_extract_all(candidate, F.lit(r"\b([A-Z][A-Za-z0-9'’&.-]+)\b"), F.lit(1))
+    found = F.regexp_extract_all(candidate, F.lit(EDGE + "([A-Z][A-Za-z0-9'’&.-]+)" + EDGE), F.lit(1))
     bare = F.transform(found, lambda t: F.regexp_replace(t, r"[.'’&-]+$", ""))
     return F.filter(
         bare,

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.config import CAPITALISED_STOPWORDS
 from tidemark.functions.common import day, instant, stage
+from tidemark.functions.grounding import strange_names
 from tidemark.functions.reader import quote_appears_in, read_deadline
 from tidemark.operators import grounding as G
 from tidemark.operators import lanes as L
@@ -121,6 +123,15 @@ def name_grounding(spark, sf):
     return out.groupBy(F.coalesce("reason", F.lit("grounded")).alias("verdict")).agg(F.count("*").alias("replies"))
 
 
+def reply_name_grounding(spark, sf):
+    """The names in each whole reply, and in a planted sentence after it, that its input lacks."""
+    reply, before = _turns(spark, sf)
+    reply = reply.withColumn("candidate", F.concat("candidate", F.lit(" However, Rhodes and Marshall remain open.")))
+    before = before.withColumn("block", F.concat(F.when(F.col("conv_id") % 2 == 0, "rhodes, marshall: ").otherwise("rhodes only: "), "block"))
+    names = strange_names(F.col("candidate"), F.col("block"))
+    return reply.join(before, ["conv_id", "turn"]).select("conv_id", "turn", F.array_join(names, "|").alias("names"))
+
+
 def input_blocks(spark, sf):
     """One block per order date: its twelve dearest orders."""
     o = X.table(spark, sf, "orders").select(
@@ -258,7 +269,7 @@ def faulty_items(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        deadline_reader, proposal_outcomes, proposal_report, quote_containment, number_grounding, name_grounding,
+        deadline_reader, proposal_outcomes, proposal_report, quote_containment, number_grounding, name_grounding, reply_name_grounding,
         input_blocks, registry_problems, resolve_bad_zones, cycle_problems, step_problems, move_problems, lane_references, silence_guard,
         previous_digests, faulty_items, digest_stats, digest_drops, digest_lanes, digest_problems,
     )
@@ -361,6 +372,13 @@ ORACLES = {
     "name_grounding": """
       SELECT CASE WHEN a.conv_id % 2 = 0 THEN 'grounded' ELSE 'names "Marshall", which is not in the input' END AS verdict, count(*) AS replies
       FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1 WHERE a.role = 'assistant' GROUP BY ALL""",
+    "reply_name_grounding": f"""
+      WITH c AS (SELECT a.conv_id, a.turn, a.text || ' However, Rhodes and Marshall remain open.' AS t,
+          lower(CASE WHEN a.conv_id % 2 = 0 THEN 'rhodes, marshall: ' ELSE 'rhodes only: ' END || b.text) AS block
+        FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1 WHERE a.role = 'assistant'),
+      n AS (SELECT *, list_transform(regexp_extract_all(t, '\\b[A-Z][A-Za-z0-9''’&.-]+\\b'), lambda x: regexp_replace(x, '[.''’&-]+$', '')) AS found FROM c)
+      SELECT conv_id, turn, array_to_string(list_filter(found, lambda x: length(x) >= 2
+        AND NOT list_contains([{", ".join("'" + w.replace("'", "''") + "'" for w in sorted(CAPITALISED_STOPWORDS))}], lower(x)) AND NOT contains(block, lower(x))), '|') AS names FROM n""",
     "input_blocks": """
       WITH r AS (SELECT CAST(o_orderdate AS DATE) AS date, *, row_number() OVER (PARTITION BY CAST(o_orderdate AS DATE) ORDER BY o_totalprice DESC, CAST(o_orderkey AS VARCHAR)) AS rn FROM orders QUALIFY rn <= 12)
       SELECT CAST(date AS VARCHAR) AS date, left(sha256('Digest date: ' || CAST(date AS VARCHAR) || chr(10) || 'Items: ' || CAST(count(*) AS VARCHAR) || chr(10) || chr(10)
