@@ -17,6 +17,7 @@ from tidemark.functions.lexicon import lane_scores, whole_word_hits, with_term_h
 from tidemark.functions.urls import canonical_url
 from tidemark.operators import boilerplate as B
 from tidemark.operators import ledgers as L
+from tidemark.operators import monitoring as M
 from tidemark.operators.news import classify
 from tidemark.operators.skew import lookup_join
 from tidemark.plans import daily
@@ -224,3 +225,13 @@ def test_news_over_the_days_cap_is_counted(spark):
     assert stats.dropped["over-cap"] == kept - WEIGHTS.max_items_per_day
     assert stats.fetched == gated.count() + n
     assert out["items"].filter("kind = 'news'").count() == WEIGHTS.max_items_per_day
+
+
+def test_source_health_keeps_every_warning_in_order(spark):
+    texts = ["z late", "b", "z late", None, "a", "y", "x", "w", "v"]
+    parsed = spark.createDataFrame([("s", "dropped", t, i) for i, t in enumerate(texts)], "source_id string, outcome string, warning string, position int")
+    sources = spark.createDataFrame([("s", "S", False), ("t", "T", False)], "source_id string, source_name string, optional boolean")
+    history = spark.createDataFrame([], "source_id string, last_success date, streak int, recent_counts array<int>")
+    out = {r.source_id: r for r in M.source_health(parsed, sources, history, F.lit("2026-01-01").cast("date")).collect()}
+    assert out["s"].parse_warnings == ["z late", "b", "a", "y", "x", "w", "v"]
+    assert out["s"].error == "z late" and out["s"].warnings == 8 and out["t"].parse_warnings == []

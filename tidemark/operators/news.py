@@ -185,7 +185,7 @@ def score_news(items: DataFrame, now: Column, w: Weights = WEIGHTS, events_windo
     age_text = F.array(F.concat(F.round("age_hours").cast("long").cast("string"), F.lit("h old")))
     factors = F.array_compact(
         F.array(
-            S.factor("lexicon", "Topic match", F.col("topic_raw"), w.points["lexicon"], F.slice("topic_hits", 1, 8)),
+            S.factor("lexicon", "Topic match", F.col("topic_raw"), w.points["lexicon"], F.col("topic_hits")),
             S.factor("recency", "Recency", recency, w.points["recency"], age_text),
             S.factor("authority", "Source authority", F.col("authority"), w.points["authority"]),
             S.event_factor(F.col("events"), w, with_evidence=False),
