@@ -16,7 +16,7 @@ longer meet.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.common import stage
@@ -103,8 +103,9 @@ def near_copies(sets: DataFrame) -> DataFrame:
     at = lambda i: F.get("least", F.lit(i))
     bands = [F.xxhash64(F.lit(i), at(i)) for i in range(4)] + [F.xxhash64(F.lit(i), at(i), at(i + 1)) for i in range(4, 12, 2)]
     rows = stage(hot, {"least": F.col("least")}).select("set", "d", F.explode(F.array(*bands)).alias("band"))
-    first = F.first("set").over(Window.partitionBy("band").orderBy(F.col("d").asc_nulls_last(), "set"))
-    return rows.select(first.alias("a"), F.col("set").alias("b")).filter("a <> b").distinct()
+    # the least is found before the shuffle, and the join can split a band that very many sets share
+    first = rows.groupBy("band").agg(F.min(F.struct(F.col("d").isNull().alias("no_id"), "d", "set")).alias("first"))
+    return rows.join(first, "band").select(F.col("first.set").alias("a"), F.col("set").alias("b")).filter("a <> b").distinct()
 
 
 _SETTLED, _PLACE = 1 << 60, (1 << 24) - 1
