@@ -16,17 +16,18 @@ def _fs(spark: SparkSession, path: str):
     return hadoop_path, hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def snapshots(spark: SparkSession, root: str) -> list[str]:
-    """Versions that were written to the end, oldest first."""
+def folders(spark: SparkSession, root: str, prefix: str = "") -> list[str]:
+    """Folders in ``root`` that were written to the end, without the prefix of their names, in order."""
     path, fs = _fs(spark, root)
     if not fs.exists(path):
         return []
-    found = []
-    for status in fs.listStatus(path):
-        name = status.getPath().getName()
-        if name.startswith("v=") and fs.exists(status.getPath().suffix("/_SUCCESS")):
-            found.append(name[2:])
-    return sorted(found)
+    names = [(s.getPath().getName(), s.getPath()) for s in fs.listStatus(path)]
+    return sorted(n[len(prefix) :] for n, p in names if n.startswith(prefix) and fs.exists(p.suffix("/_SUCCESS")))
+
+
+def snapshots(spark: SparkSession, root: str) -> list[str]:
+    """Versions that were written to the end, oldest first."""
+    return folders(spark, root, "v=")
 
 
 def read_state(spark: SparkSession, root: str, schema: str, before: str | None = None) -> DataFrame:
