@@ -6,8 +6,8 @@ batch holds are found by a sort-merge anti-join, for which only the batch is
 shuffled, and appended to the index.
 
 A batch that is run again, after a failure or by choice, sees only the batches
-before it and replaces what it wrote, so nothing is counted twice. Folders
-appear only once Spark commits them.
+before it and replaces what it wrote, so nothing is counted twice. A batch is
+part of the index once Spark has marked its folder as complete.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from tidemark.operators.skew import lookup_join
 from tidemark.session import checkpoint_root, materialize
+from tidemark.sources.state import folders
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _ENTRY = "digest binary, keep_id {id}, keep_row long"
@@ -40,23 +41,28 @@ class DigestIndex:
 
     def __init__(self, spark: SparkSession, path: str, id_type: str = "bigint", buckets: int | None = None):
         self.spark, self.path, self.id_type = spark, path, id_type
-        settings, opened = f"{path}/settings", True
-        try:
+        settings = f"{path}/settings"
+        if "settings" in folders(spark, path):
             self.buckets, self.id_type = spark.read.schema("buckets int, id_type string").parquet(settings).first()
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            opened = False
+        else:
             self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
             made = spark.range(1).select(F.lit(self.buckets).alias("buckets"), F.lit(id_type).alias("id_type"))
-            made.coalesce(1).write.parquet(settings)
+            made.coalesce(1).write.mode("overwrite").parquet(settings)
         self.table = f"digests_{uuid.uuid4().hex}"
-        spark.sql(
-            f"CREATE TABLE {self.table} ({_ENTRY.format(id=self.id_type)}, batch int) USING parquet OPTIONS (compression 'zstd') "
-            f"PARTITIONED BY (batch) CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}/digests'"
+        self._create(self.table, f"{path}/digests", "PARTITIONED BY (batch)")
+        for batch in folders(spark, f"{path}/digests", "batch="):
+            self._show(int(batch))
+
+    def _create(self, name: str, path: str, partitioned: str = "") -> None:
+        columns = _ENTRY.format(id=self.id_type) + (", batch int" if partitioned else "")
+        self.spark.sql(
+            f"CREATE TABLE {name} ({columns}) USING parquet OPTIONS (compression 'zstd') {partitioned} "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
         )
-        if opened:
-            spark.catalog.recoverPartitions(self.table)
+
+    def _show(self, batch: int) -> None:
+        self.spark.sql(f"ALTER TABLE {self.table} ADD IF NOT EXISTS PARTITION (batch = {batch})")
+        self.spark.catalog.refreshTable(self.table)
 
     def entries(self, before: int | None = None) -> DataFrame:
         """All entries, or those of the batches before a batch."""
@@ -70,10 +76,16 @@ class DigestIndex:
         return dealt.join(self.entries(batch).select("digest").hint("merge"), "digest", "left_anti")
 
     def append(self, best: DataFrame, batch: int) -> None:
-        """Add the digests of ``best`` (digest, keep_id, keep_row; one row each) that no earlier batch holds."""
-        new = self.unseen(best, batch).select("digest", "keep_id", "keep_row", F.lit(batch).alias("batch"))
-        new.sortWithinPartitions("digest").write.option("partitionOverwriteMode", "dynamic").insertInto(self.table, overwrite=True)
-        self.spark.catalog.refreshTable(self.table)
+        """Add the digests of ``best`` (digest, keep_id, keep_row; one row each) that no earlier batch holds.
+
+        The batch's own folder is written as a table like the whole index, and becomes part of it when it is done.
+        """
+        folder = f"digests_{uuid.uuid4().hex}"
+        self._create(folder, f"{self.path}/digests/batch={batch}")
+        new = self.unseen(best, batch).select("digest", "keep_id", "keep_row")
+        new.sortWithinPartitions("digest").write.insertInto(folder, overwrite=True)
+        self.spark.sql(f"DROP TABLE {folder}")
+        self._show(batch)
 
 
 def best_of(digests: DataFrame) -> DataFrame:
