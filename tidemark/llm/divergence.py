@@ -33,8 +33,8 @@ from tidemark.session import materialize
 
 SCALE = 1_000_000_000
 SMOOTHING = 5
-#: Counts a task holds before it passes them on.
-MAX_COUNTS = 200_000
+#: Words of groups, or rows of a skyband, that a task holds before it passes them on or thins them out.
+MAX_COUNTS = 500_000
 #: Sources in one strip of the matrix of a language.
 STRIP = 256
 #: Tasks that merge the skybands of one group.
@@ -70,9 +70,10 @@ def counted(docs: DataFrame, lang: str, source: str, text: str) -> DataFrame:
                 keys = zip(part.column("lang").to_pylist(), part.column("source").to_pylist(), strict=True)
                 for g, body in zip(keys, part.column("text").cast(pa.large_binary()).to_pylist(), strict=True):
                     groups.add(g)
-                    own = Counter(body.translate(_WORDS).split())
-                    held += len(own)
-                    counts[g].update(own)
+                    own, known = Counter(body.translate(_WORDS).split()), counts[g]
+                    held -= len(known)
+                    known.update(own)
+                    held += len(known)
                     seen[g].update(own.keys())
                 if held > MAX_COUNTS:
                     held = 0
