@@ -20,7 +20,6 @@ from tidemark.config import LEXICON, WEIGHTS, Lexicon, Term, Weights
 from tidemark.functions.common import let, stage
 
 WORD = "[A-Za-z0-9]+"
-BODY_WINDOW = 1200
 
 
 def _words_in(term: str) -> list[str]:

@@ -100,7 +100,7 @@ def dedupe_events(events: DataFrame) -> DataFrame:
 
 
 def event_order() -> list[Column]:
-    return [F.col("watched").desc(), F.col("day"), F.coalesce("ticker", F.lit("")), F.col("label"), F.col("uid")]
+    return [F.col("watched").desc(), F.col("day"), F.coalesce("ticker", F.lit("")), F.col("label"), F.col("uid"), F.col("feed_id")]
 
 
 def display_order() -> list[Column]:
@@ -126,7 +126,10 @@ def hidden_events(events: DataFrame, watched_cap: int = WATCHED_CAP, unwatched_c
 
 
 def unless_broken(events: DataFrame, health: DataFrame, keys: list[str]) -> DataFrame:
-    """A half-read calendar shows nothing at all: no events for a run with a failed or degraded feed."""
+    """A half-read calendar shows nothing at all: no events of any feed for a run with a failed or degraded one.
+
+    ``keys`` name the run, such as its date.
+    """
     broken = health.filter(F.col("status").isin("failed", "degraded")).select(*keys).distinct()
     return events.join(broken, keys, "left_anti")
 

@@ -38,11 +38,14 @@ def input_blocks(items: DataFrame, top: int = 12) -> DataFrame:
     )
 
 
-def check(candidates: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """Candidates with ``reason``: null when every number and name comes from the block.
+def verdicts(rows: DataFrame) -> DataFrame:
+    """Candidates beside their block with ``reason``: null when every number and name comes from the block.
 
     A candidate without a block has nothing to stand on: ``no-input``.
     """
-    both = candidates.join(blocks, keys, "left")
     reason = F.when(F.col("block").isNull(), "no-input").otherwise(verdict(F.col("candidate"), F.col("block")))
-    return stage(both, {"reason": reason})
+    return stage(rows, {"reason": reason})
+
+
+def check(candidates: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
+    return verdicts(candidates.join(blocks, keys, "left"))

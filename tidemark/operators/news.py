@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from tidemark.config import DEFAULT_NEWS_LANE, JOB_LANE, LEXICON, VETO_PATTERNS, WEIGHTS, Lexicon, Weights
 from tidemark.functions import scoring as S
 from tidemark.functions.common import any_match, blank, case_of, stage
-from tidemark.functions.lexicon import BODY_WINDOW, lane_scores, whole_word_hits, with_term_hits
+from tidemark.functions.lexicon import lane_scores, whole_word_hits, with_term_hits
 from tidemark.functions.pubdates import age_hours
 from tidemark.functions.text import first_sentences, title_key
 from tidemark.operators.boilerplate import (
@@ -29,10 +29,7 @@ from tidemark.operators.skew import lookup_join
 
 # Text rules.
 STRIPPED_FLOOR = 80
-RAW_FALLBACK = 700
-JOB_CHARS = 1200
 THIN_BODY = 200
-EVENT_WINDOW = 600
 OFF_TOPIC_BELOW = 0.05
 HINT_WEIGHT = 0.15
 JOB_GENETICS_SHARE = 0.8
@@ -241,12 +238,17 @@ def rank_news(
     fraction: float = REPEAT_FRACTION,
     min_items: int = MIN_ITEMS,
     min_sentence: int = MIN_SENTENCE_CHARS,
-    whole_texts: bool = False,
+    body_window: int | None = None,
+    event_window: int | None = None,
+    raw_fallback: int | None = None,
+    job_chars: int | None = None,
     materialize: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> DataFrame:
     """Every distinct item with its score and ``drop_reason``.
 
-    ``whole_texts`` lifts the character windows that bound scoring by default.
+    Whole texts are scored. ``body_window`` and ``event_window`` look for terms
+    and events in so many first characters only, ``raw_fallback`` and
+    ``job_chars`` shorten what stands in for a stripped body and what a job says.
     The deduplicated items feed five steps; ``materialize`` writes them out
     once instead of deduplicating for each, worth it on large inputs.
     """
@@ -256,10 +258,9 @@ def rank_news(
         unique = materialize(unique, "unique-items")
     unique = with_publishers(unique)
     stripped = strip_boilerplate(with_sentences(unique, "body", min_sentence), fraction, min_items).drop("sentences")
-    limits = {"raw_fallback": None, "job_chars": None} if whole_texts else {}
-    hits = with_term_hits(scorable(stripped, **limits), lexicon=lexicon, window=None if whole_texts else BODY_WINDOW)
+    hits = with_term_hits(scorable(stripped, raw_fallback, job_chars), lexicon=lexicon, window=body_window)
     classified = classify(lane_scores(hits, lexicon, w), lexicon)
-    scored = score_news(classified, now, w, None if whole_texts else EVENT_WINDOW)
+    scored = score_news(classified, now, w, event_window)
     return stage(scored, {"drop_reason": news_drop(w, lexicon)})
 
 

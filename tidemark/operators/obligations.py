@@ -293,9 +293,16 @@ def verify_reason(df: DataFrame, clock: Clock) -> DataFrame:
     return df.withColumn("needs_verification", F.col("verify_reason").isNotNull())
 
 
-def resolve(programs: DataFrame, clock: Clock, w: Weights = WEIGHTS) -> DataFrame:
-    """Every stage up to the ledgers, for the programmes that pass the status gate."""
-    df = status_gate(programs, clock).filter(F.col("drop_reason").isNull())
+def resolve(programs: DataFrame, clock: Clock, w: Weights = WEIGHTS, with_gated: bool = False) -> DataFrame:
+    """Every stage up to the ledgers, for the programmes that pass the status gate.
+
+    ``with_gated`` keeps the others too, with their reason as ``gate_reason``.
+    """
+    df = status_gate(programs, clock)
+    if with_gated:
+        df = df.withColumnRenamed("drop_reason", "gate_reason")
+    else:
+        df = df.filter(F.col("drop_reason").isNull())
     df = active_cycle(df, clock, w.grace_days)
     df = resolve_deadline(df, clock)
     df = effective_target(df, clock)
@@ -409,9 +416,9 @@ def verify_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def verify_order(rows: DataFrame) -> DataFrame:
-    """The longest unverified first, null as 0, then by label: a range-partitioned sort."""
-    return rows.orderBy(F.coalesce("stale_days", F.lit(0)).desc(), "label", "program_id")
+def verify_order() -> list[Column]:
+    """The longest unverified first, null as 0, then by label."""
+    return [F.coalesce("stale_days", F.lit(0)).desc(), F.col("label"), F.col("program_id")]
 
 
 def decide(df: DataFrame, w: Weights = WEIGHTS) -> DataFrame:
@@ -445,13 +452,17 @@ def build(
     rungs: DataFrame,
     rolling: DataFrame,
     w: Weights = WEIGHTS,
+    with_gated: bool = False,
 ) -> DataFrame:
     """All resolved programmes with score, rung and ``drop_reason``; ledgers join by key.
 
+    ``with_gated``: every programme, those that the status gate stops with its
+    reason, so that one table accounts for the whole registry.
+
     Both ledgers hold one row per key, so a join never multiplies rows; bucket
     them by ``program_id`` like the registry and neither side is shuffled.
     """
-    df = score(add_events(add_urgency(resolve(programs, clock, w), w), clock), w)
+    df = score(add_events(add_urgency(resolve(programs, clock, w, with_gated), w), clock), w)
     df = stage(
         df,
         {
@@ -464,7 +475,10 @@ def build(
     df = df.join(ledger, ["program_id", "cycle_year"], "left")
     df = df.join(rolling.select("program_id", F.col("last_delivered").alias("last_rolling")), "program_id", "left")
     df = stage(df, {"rung": S.rung_for(F.col("days_until"), F.col("last_rung"), w.rungs, w.rung_floor_days)})
-    return decide(df, w)
+    df = decide(df, w)
+    if with_gated:
+        df = df.withColumn("drop_reason", F.coalesce("gate_reason", "drop_reason"))
+    return df
 
 
 def item_rows(built: DataFrame) -> DataFrame:

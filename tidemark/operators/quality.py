@@ -15,12 +15,19 @@ from tidemark.operators.lanes import reference_problems
 RESERVED_FACTOR_PREFIXES = ("llm", "claude")  # fixed values: a model never contributes a point
 MAX_DAILY_MOVE = 60.0
 
+#: By name: whether a row breaks the rule, and what to show of it.
+Rules = dict[str, tuple[Column, Column | str]]
+
 
 def _problem(rule: str, failed: Column, detail: Column | str) -> Column:
     text = detail if isinstance(detail, Column) else F.lit(detail)
     return F.when(F.coalesce(failed, F.lit(False)), F.struct(F.lit(rule).alias("rule"), text.alias("detail")))
 
 
+def _all(rules: Rules) -> list[Column]:
+    return [_problem(name, failed, detail) for name, (failed, detail) in rules.items()]
+
+
 def _explode(df: DataFrame, key: Column, rules: list[Column]) -> DataFrame:
     """One pass over the rows, whatever the number of rules."""
     found = F.array_compact(F.array(*rules))
@@ -121,8 +128,8 @@ def registry_problems(programs: DataFrame, now: Column) -> DataFrame:
     return program_problems(programs).unionByName(cycle_problems(programs, now)).unionByName(step_problems(programs))
 
 
-def item_problems(items: DataFrame, ruled_out: DataFrame) -> DataFrame:
-    """Checks on delivered items: identity, title, kind, stamp, provenance, dates, factor names, the fence."""
+def item_rules() -> Rules:
+    """Checks on a delivered item by itself: identity, title, kind, stamp, provenance, dates, factor names."""
     factors = F.concat(F.col("factors"), F.col("penalties"))
     reserved = F.filter(
         F.transform(factors, lambda f: F.lower(f["key"])),
@@ -130,24 +137,22 @@ def item_problems(items: DataFrame, ruled_out: DataFrame) -> DataFrame:
     )
     opportunity = F.col("kind") == "opportunity"
     d = F.col("deadline")
-    rules = [
-        _problem("item-id", blank(F.col("item_id")), "missing id"),
-        _problem("item-title", blank(F.col("title")), "no title"),
-        _problem("item-kind", ~F.col("kind").isin("news", "opportunity") | F.col("kind").isNull(), _show("kind")),
-        _problem("item-weights", blank(F.col("weights_version")), "no weights version"),
-        _problem("item-status", opportunity & (F.col("status") == "ruled-out"), "ruled-out and delivered"),
-        _problem("item-provenance", opportunity & blank(d["provenance"]), "deadline without provenance"),
-        _problem(
-            "item-date",
-            opportunity & d["date"].isNotNull() & F.try_to_date(F.rpad(d["date"], 10, "-01"), "yyyy-MM-dd").isNull(),
-            d["date"],
-        ),
-        _problem("item-undated", opportunity & d["date"].isNull() & ~d["kind"].isin("rolling", "unknown"), d["kind"]),
-        _problem("factor-key", F.size(reserved) > 0, F.array_join(reserved, ",")),
-    ]
-    key = F.concat_ws("#", F.col("date").cast("string"), F.coalesce("item_id", F.lit("")))
-    found = _explode(items, key, rules)
-    twice = (
+    dated = d["date"].isNotNull() & F.try_to_date(F.rpad(d["date"], 10, "-01"), "yyyy-MM-dd").isNull()
+    return {
+        "item-id": (blank(F.col("item_id")), "missing id"),
+        "item-title": (blank(F.col("title")), "no title"),
+        "item-kind": (~F.col("kind").isin("news", "opportunity") | F.col("kind").isNull(), _show("kind")),
+        "item-weights": (blank(F.col("weights_version")), "no weights version"),
+        "item-status": (opportunity & (F.col("status") == "ruled-out"), "ruled-out and delivered"),
+        "item-provenance": (opportunity & blank(d["provenance"]), "deadline without provenance"),
+        "item-date": (opportunity & dated, d["date"]),
+        "item-undated": (opportunity & d["date"].isNull() & ~d["kind"].isin("rolling", "unknown"), d["kind"]),
+        "factor-key": (F.size(reserved) > 0, F.array_join(reserved, ",")),
+    }
+
+
+def repeated_items(items: DataFrame) -> DataFrame:
+    return (
         items.groupBy("date", "item_id")
         .count()
         .filter("count > 1")
@@ -157,7 +162,13 @@ def item_problems(items: DataFrame, ruled_out: DataFrame) -> DataFrame:
             F.col("count").cast("string").alias("detail"),
         )
     )
-    return found.unionByName(twice).unionByName(fence(items, ruled_out))
+
+
+def item_problems(items: DataFrame, ruled_out: DataFrame) -> DataFrame:
+    """The rules of an item, repeated ids and the fence."""
+    key = F.concat_ws("#", F.col("date").cast("string"), F.coalesce("item_id", F.lit("")))
+    found = _explode(items, key, _all(item_rules()))
+    return found.unionByName(repeated_items(items)).unionByName(fence(items, ruled_out))
 
 
 def fence(rows: DataFrame, ruled_out: DataFrame) -> DataFrame:
@@ -170,13 +181,26 @@ def fence(rows: DataFrame, ruled_out: DataFrame) -> DataFrame:
     )
 
 
+def countdown_rules(date: str = "deadline_date") -> Rules:
+    return {
+        "strip-date": (~F.coalesce(F.col(date).rlike(r"^\d{4}-\d{2}(-\d{2})?$"), F.lit(False)), _show(date)),
+        "strip-days": (F.col("days_until").isNull(), "no days"),
+    }
+
+
 def countdown_problems(countdown: DataFrame, ruled_out: DataFrame) -> DataFrame:
-    rules = [
-        _problem("strip-date", ~F.coalesce(F.col("deadline_date").rlike(r"^\d{4}-\d{2}(-\d{2})?$"), F.lit(False)), _show("deadline_date")),
-        _problem("strip-days", F.col("days_until").isNull(), "no days"),
-    ]
-    key = F.concat_ws("#", F.col("date").cast("string"), "program_id")
-    return _explode(countdown, key, rules).unionByName(fence(countdown, ruled_out))
+    key = F.concat_ws("#", F.col("date").cast("string"), F.col("program_id"))
+    return _explode(countdown, key, _all(countdown_rules())).unionByName(fence(countdown, ruled_out))
+
+
+def joined_problems(items: DataFrame, refs: DataFrame, countdown: DataFrame, ruled_out: DataFrame) -> DataFrame:
+    """The rules that need more than one row: repeated ids, lane references, the fence."""
+    lanes = reference_problems(refs, items).select(
+        F.col("problem").alias("rule"),
+        F.concat_ws("#", F.col("date").cast("string"), "lane", "item_id").alias("key"),
+        F.col("lane").alias("detail"),
+    )
+    return repeated_items(items).unionByName(fence(items, ruled_out)).unionByName(fence(countdown, ruled_out)).unionByName(lanes)
 
 
 def move_problems(quotes: DataFrame, limit: float = MAX_DAILY_MOVE) -> DataFrame:
@@ -193,12 +217,10 @@ def move_problems(quotes: DataFrame, limit: float = MAX_DAILY_MOVE) -> DataFrame
 def digest_problems(
     items: DataFrame, refs: DataFrame, countdown: DataFrame, stats: DataFrame, ruled_out: DataFrame
 ) -> DataFrame:
-    """Everything wrong with a delivered digest, in one table."""
-    lanes = reference_problems(refs, items).select(
-        F.col("problem").alias("rule"),
-        F.concat_ws("#", F.col("date").cast("string"), "lane", "item_id").alias("key"),
-        F.col("lane").alias("detail"),
-    )
+    """Everything wrong with delivered digests, in one table: for an archive of many days.
+
+    ``plans.daily.deliver`` finds the same for the day that it writes, without reading the rows again.
+    """
     shown = countdown.select("date").distinct()
     silent = (
         stats.filter("deadlines_tracked > 0")
@@ -209,9 +231,11 @@ def digest_problems(
             F.col("deadlines_tracked").cast("string").alias("detail"),
         )
     )
+    key = F.concat_ws("#", F.col("date").cast("string"), F.coalesce("item_id", F.lit("")))
+    strip = F.concat_ws("#", F.col("date").cast("string"), F.col("program_id"))
     return (
-        item_problems(items, ruled_out)
-        .unionByName(countdown_problems(countdown, ruled_out))
-        .unionByName(lanes)
+        _explode(items, key, _all(item_rules()))
+        .unionByName(_explode(countdown, strip, _all(countdown_rules())))
+        .unionByName(joined_problems(items, refs, countdown, ruled_out))
         .unionByName(silent)
     )

@@ -8,6 +8,7 @@ from tidemark.functions.common import instant
 from tidemark.functions.pubdates import parse_press_date
 from tidemark.operators import calendar as C
 from tidemark.operators import events as E
+from tidemark.operators.ranking import ranked
 from tidemark.plans import fixtures as X
 from tidemark.plans.text_queries import SQUISH
 from tidemark.sources.boards import parse_boards
@@ -86,12 +87,12 @@ def feed_status(spark, sf):
 
 
 def unless_broken(spark, sf):
-    """Events by feed, with one feed reported as failed."""
-    health = _entries(spark, sf).select("feed_id").distinct().withColumn(
-        "status", F.when(F.col("feed_id") == "adcomm", "failed").otherwise("ok")
-    )
-    shown = E.unless_broken(_resolved(spark, sf).filter("drop_reason IS NULL"), health, ["feed_id"])
-    return shown.groupBy("feed_id").agg(F.count("*").alias("events"))
+    """Events by month and feed; one feed was broken every third month, which hides the month's whole section."""
+    rows = _resolved(spark, sf).withColumn("month", F.date_format("day", "yyyy-MM")).filter("drop_reason IS NULL")
+    feeds = rows.select("month", "feed_id").distinct()
+    broken = (F.col("feed_id") == "adcomm") & (F.right("month", F.lit(2)).cast("int") % 3 == 0)
+    shown = E.unless_broken(rows, feeds.withColumn("status", F.when(broken, "failed").otherwise("ok")), ["month"])
+    return shown.groupBy("month", "feed_id").agg(F.count("*").alias("events"))
 
 
 def event_sources(spark, sf):
@@ -103,7 +104,8 @@ def calendar_events(spark, sf):
     rows = C.calendar_events(X.programs(spark, sf), X.CLOCK)
     return rows.select(
         "program_id", F.col("cycle_year").cast("long").alias("cycle_year"), F.coalesce("step_id", F.lit("deadline")).alias("step"),
-        "summary", "precision", "placement", "event_status", "alarm", "gating",
+        "summary", "precision", "placement", "event_status", "alarm", "gating", F.coalesce(F.col("end_day").cast("string"), F.lit("")).alias("end_day"),
+        "description",
     )
 
 
@@ -112,9 +114,14 @@ def calendar_problems(spark, sf):
 
 
 def calendar_order(spark, sf):
-    """The ordered table, checked through the first placement of each day."""
-    rows = C.calendar_order(C.calendar_events(X.programs(spark, sf), X.CLOCK))
-    return rows.groupBy(F.left("placement", F.lit(8)).alias("start")).agg(F.min("placement").alias("first"), F.count("*").alias("events"))
+    """Every row of the calendar with its place: by placement, then uid."""
+    rows = ranked(C.calendar_events(X.programs(spark, sf), X.CLOCK), [F.col("placement"), F.col("uid")])
+    return rows.select("program_id", F.col("cycle_year").cast("long").alias("cycle_year"), F.coalesce("step_id", F.lit("deadline")).alias("step"), "rank")
+
+
+def event_order(spark, sf):
+    """Every upcoming event with its place: watched ones first, then by day, ticker and label."""
+    return ranked(_upcoming(spark, sf), E.event_order()).select("uid", "feed_id", "rank")
 
 
 ICS = (
@@ -232,7 +239,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         event_horizon, event_dedupe, watched_first, hidden_events, event_lines, feed_status, unless_broken, event_sources,
-        calendar_events, calendar_problems, calendar_order, calendar_bodies, board_items, feed_items, collected_items, press_dates,
+        calendar_events, calendar_problems, calendar_order, event_order, calendar_bodies, board_items, feed_items, collected_items, press_dates,
     )
 }
 
@@ -267,6 +274,7 @@ upcoming AS (
   SELECT * FROM resolved WHERE drop_reason IS NULL
   QUALIFY row_number() OVER (PARTITION BY day, kind, coalesce(ticker, label) ORDER BY feed_rank, label, uid) = 1
 )"""
+_QUOTED = lambda text: text.replace("'", "''")
 _CAL = (
     "WITH "
     + X.SQL_OBLIGATIONS
@@ -285,19 +293,45 @@ gate AS (
 ),
 rows AS (
   SELECT program_id, year(cdue) AS cycle_year, 's' || CAST(pos AS VARCHAR) AS step, label || ' — Step ' || CAST(pos AS VARCHAR) AS base,
-    sdue AS d, 'day' AS precision, NOT done AS alarm, TRUE AS gating, kind IS NULL AND NOT confirmed AS projected, time_zone, NULL AS tod FROM gate
+    sdue AS d, 'day' AS precision, NOT done AS alarm, TRUE AS gating, kind IS NULL AND NOT confirmed AS projected, time_zone, NULL AS tod,
+    CASE WHEN kind IS NULL AND NOT confirmed THEN cdue - 60 END AS again, url FROM gate
   UNION ALL
   SELECT program_id, year(cdue), 'deadline', label || ' — deadline', cdue,
-    CASE WHEN precision = 'month' THEN 'month' WHEN time_of_day IS NULL THEN 'day' ELSE 'minute' END, TRUE, FALSE, NOT confirmed, time_zone, time_of_day
+    CASE WHEN precision = 'month' THEN 'month' WHEN time_of_day IS NULL THEN 'day' ELSE 'minute' END, TRUE, FALSE, NOT confirmed, time_zone, time_of_day,
+    CASE WHEN NOT confirmed THEN cdue - 60 END, url
   FROM cyc WHERE kind IS NULL
 ),
+timed AS (
+  SELECT *, timezone(time_zone, CAST(d AS TIMESTAMP) + CASE WHEN tod IS NULL THEN INTERVAL '23 hours 59 minutes' ELSE INTERVAL '17 hours' END) AS inst FROM rows
+),
+offsets AS (
+  SELECT *, timezone(time_zone, inst) AS here, timezone('America/New_York', inst) AS there,
+    (epoch(timezone(time_zone, inst)) - epoch(timezone('UTC', inst))) / 60 AS off,
+    (epoch(timezone('America/New_York', inst)) - epoch(timezone('UTC', inst))) / 60 AS noff FROM timed
+),
+named AS (
+  SELECT *, CASE WHEN time_zone = 'America/New_York' THEN CASE WHEN off = -240 THEN 'EDT' ELSE 'EST' END
+      WHEN time_zone = 'Europe/London' THEN CASE WHEN off = 60 THEN 'BST' ELSE 'GMT' END
+      WHEN time_zone = 'Asia/Tokyo' THEN 'GMT+9' WHEN time_zone = 'Asia/Kolkata' THEN 'GMT+5:30' ELSE 'GMT+3' END AS z,
+    CASE WHEN noff = -240 THEN 'EDT' ELSE 'EST' END AS nz FROM offsets
+),
 shown AS (
   SELECT program_id, cycle_year, step,
     CASE WHEN projected THEN '[projected] ' ELSE '' END || base || CASE WHEN precision = 'month' THEN ' (day unknown — verify)' ELSE '' END AS summary,
-    precision, CASE precision WHEN 'minute' THEN strftime(timezone('UTC', timezone(time_zone, CAST(d AS TIMESTAMP) + INTERVAL '17 hours')), '%Y%m%dT%H%M%SZ')
+    precision, CASE precision WHEN 'minute' THEN strftime(timezone('UTC', inst), '%Y%m%dT%H%M%SZ')
       WHEN 'month' THEN strftime(date_trunc('month', d), '%Y%m%d') ELSE strftime(d, '%Y%m%d') END AS placement,
-    CASE WHEN projected OR precision = 'month' THEN 'TENTATIVE' ELSE 'CONFIRMED' END AS event_status, alarm, gating
-  FROM rows
+    CASE WHEN projected OR precision = 'month' THEN 'TENTATIVE' ELSE 'CONFIRMED' END AS event_status, alarm, gating,
+    CASE precision WHEN 'minute' THEN '' WHEN 'month' THEN CAST(CAST(date_trunc('month', d) AS DATE) + 1 AS VARCHAR) ELSE CAST(d + 1 AS VARCHAR) END AS end_day,
+    concat_ws(chr(10) || chr(10),
+      'Closes ' || CASE WHEN precision = 'month' THEN strftime(here, '%B %Y') || ' (day unknown)'
+        WHEN precision = 'day' AND time_zone = 'America/New_York' THEN strftime(here, '%-d %b %Y')
+        WHEN precision = 'day' THEN strftime(here, '%-d %b %Y') || ' (' || replace(split_part(time_zone, '/', 2), '_', ' ') || ' time)'
+        WHEN time_zone = 'America/New_York' THEN strftime(here, '%-d %b %Y, %H:%M') || ' ' || z
+        ELSE strftime(here, '%-d %b %Y, %H:%M') || ' ' || z || ' (' || strftime(there, '%H:%M') || ' ' || nz || ')' END,
+      CASE WHEN precision = 'month' THEN '{_QUOTED(C.DAY_UNKNOWN)}' WHEN projected THEN '{_QUOTED(C.PROJECTED)}' END,
+      'Cycle ' || CAST(cycle_year AS VARCHAR), 'Re-confirm by ' || CAST(again AS VARCHAR), url,
+      'From the registry (' || program_id || ') — the registry is the source of truth.') AS description
+  FROM named
 )"""
 )
 _DISPLAY = "days_until, day, coalesce(ticker, label), label, uid"
@@ -323,14 +357,18 @@ ORACLES = {
         count(*) FILTER (WHERE drop_reason = 'cancelled') AS cancelled, count(*) FILTER (WHERE drop_reason = 'untitled') AS untitled,
         count(*) FILTER (WHERE drop_reason = 'undated') AS undated, 'ok' AS status FROM resolved GROUP BY feed_id""",
     "unless_broken": _ENTRIES
-    + " SELECT feed_id, count(*) AS events FROM resolved WHERE drop_reason IS NULL AND feed_id = 'pdufa' GROUP BY feed_id",
+    + """, m AS (SELECT strftime(day, '%Y-%m') AS month, feed_id, count(*) AS events FROM resolved WHERE drop_reason IS NULL GROUP BY ALL)
+      SELECT * FROM m WHERE month NOT IN (SELECT month FROM m WHERE feed_id = 'adcomm' AND CAST(right(month, 2) AS INTEGER) % 3 = 0)""",
     "event_sources": "SELECT 'Calendar adcomm + Calendar pdufa' AS sources FROM orders LIMIT 1",
     "calendar_events": _CAL + " SELECT * FROM shown",
     "calendar_problems": _CAL
     + """ SELECT 'duplicate-uid' AS rule, program_id AS key, CAST(count(*) AS VARCHAR) AS detail FROM shown
       GROUP BY program_id, cycle_year, step HAVING count(*) > 1""",
     "calendar_order": _CAL
-    + " SELECT left(placement, 8) AS start, min(placement) AS first, count(*) AS events FROM shown GROUP BY ALL",
+    + """ SELECT program_id, cycle_year, step, row_number() OVER (ORDER BY placement, program_id || '-' || CAST(cycle_year AS VARCHAR) || '-' || step || '-'
+        || left(sha256(program_id || '|' || CAST(cycle_year AS VARCHAR) || '|' || CASE WHEN step = 'deadline' THEN '' ELSE step END), 8) || '@tidemark') AS rank FROM shown""",
+    "event_order": _ENTRIES
+    + " SELECT uid, feed_id, row_number() OVER (ORDER BY watched DESC, day, coalesce(ticker, ''), label, uid, feed_id) AS rank FROM upcoming",
     "calendar_bodies": """
       WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS k, CAST(o_orderdate AS DATE) AS d, o_orderpriority AS nm FROM orders)
       SELECT k, 'a' || k AS uid, 'First, ' || nm || ' folded' AS summary, CAST(d AS VARCHAR) AS dtstart, TRUE AS all_day, '' AS status FROM o

@@ -127,7 +127,7 @@ def _sources(spark, sf):
     return d.select("source_id", F.concat(F.lit("Source "), "source_id").alias("source_name"), F.lit(True).alias("optional"))
 
 
-def source_health(spark, sf):
+def _health(spark, sf):
     """Documents as parsed entries, judged against a history that fits some sources and not others."""
     n = F.regexp_extract("source_id", "([0-9]+)", 1).cast("int")
     parsed = X.table(spark, sf, "documents").selectExpr(
@@ -139,8 +139,11 @@ def source_health(spark, sf):
         "source_id", F.lit("1998-06-01").cast("date").alias("last_success"), (n % 4).alias("streak"),
         F.when(n % 3 == 0, F.array(F.lit(100000), F.lit(200000), F.lit(4))).when(n % 3 == 1, F.array(F.lit(6), F.lit(8))).otherwise(F.array().cast("array<int>")).alias("recent_counts"),
     )
-    out = M.source_health(parsed, sources, history, _today())
-    return out.select(
+    return M.source_health(parsed, sources, history, _today())
+
+
+def source_health(spark, sf):
+    return _health(spark, sf).select(
         "source_id", "status", "items_parsed", "items_kept", "items_filtered", "warnings",
         F.coalesce("error", F.lit("")).alias("error"), F.col("last_success").cast("string").alias("last_success"),
         F.col("consecutive_failures").cast("long").alias("consecutive_failures"),

@@ -145,10 +145,12 @@ def intake_drops(spark, sf):
     return df.groupBy(F.coalesce(N.intake_drop(), F.lit("kept")).alias("outcome")).agg(F.count("*").alias("items"))
 
 
+def rank(items):
+    return N.rank_news(items, X.CLOCK.at, lexicon=FIXTURE_LEXICON, fraction=FRACTION, materialize=materialize)
+
+
 def _ranked(spark, sf):
-    return N.rank_news(
-        _items(spark, sf), X.CLOCK.at, lexicon=FIXTURE_LEXICON, fraction=FRACTION, whole_texts=True, materialize=materialize
-    )
+    return rank(_items(spark, sf))
 
 
 def news_ranked(spark, sf):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates as D
@@ -12,7 +14,10 @@ from tidemark.operators import ledgers as L
 from tidemark.operators import news as N
 from tidemark.operators import obligations as O
 from tidemark.operators import reports as R
+from tidemark.operators.ranking import ranked
 from tidemark.plans import fixtures as X
+from tidemark.session import checkpoint_root, materialize
+from tidemark.sources.buckets import BucketedState
 
 CLOCK = X.CLOCK
 NOW = X.AS_OF
@@ -108,6 +113,12 @@ def verify_queue(spark, sf):
     return rows.select("program_id", "label", "reason", F.coalesce("stale_days", F.lit(0)).cast("long").alias("stale"), "url")
 
 
+def verify_order(spark, sf):
+    """Every row of the verify queue with its place: the longest unverified first."""
+    rows = ranked(O.verify_rows(_resolved(spark, sf)), O.verify_order())
+    return rows.select("program_id", "rank")
+
+
 def urgency(spark, sf):
     return O.add_urgency(_resolved(spark, sf)).select(
         "program_id",
@@ -249,6 +260,19 @@ def rung_ledger_upsert(spark, sf):
     )
 
 
+def rung_ledger_buckets(spark, sf):
+    """The same ledger kept in buckets: the old rungs, a first half of the run, and the whole run twice over."""
+    rungs, _ = _ledgers(spark, sf)
+    now = materialize(L.rungs_delivered(_built(spark, sf)), "rungs-delivered")
+    keys = ["program_id", "cycle_year"]
+    state = BucketedState(spark, f"{checkpoint_root(spark)}/rungs-{uuid.uuid4().hex}", "program_id string, cycle_year int, rung int", keys, 16)
+    state.merge(rungs, "1998-06-13")
+    state.merge(now.filter(F.col("program_id").cast("long") % 2 == 0), "1998-06-14")
+    for _ in range(2):
+        state.merge(now, "1998-06-15")
+    return state.read().select("program_id", F.col("cycle_year").cast("long").alias("cycle_year"), F.col("rung").cast("long").alias("rung"))
+
+
 def rung_replay(spark, sf):
     """Cards fired if every dated obligation ran daily to its end."""
     o = X.obligations(spark, sf).select(
@@ -304,10 +328,10 @@ def gating_rows(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        zone_days_until, next_anchor, status_gate, active_cycle, effective_target, next_step, verify_queue, urgency,
+        zone_days_until, next_anchor, status_gate, active_cycle, effective_target, next_step, verify_queue, verify_order, urgency,
         score_obligations, countdown_strip, binding_due_soon, strip_selection, strip_fallback, strip_summary,
         escalation_pick, escalation_loose, next_unverified, verify_headline, alert_eligibility, obligation_stats,
-        staleness_by_kind, keep_decisions, rung_crossing, rung_ledger_upsert, rung_replay, rolling_cooldown,
+        staleness_by_kind, keep_decisions, rung_crossing, rung_ledger_upsert, rung_ledger_buckets, rung_replay, rolling_cooldown,
         display_when, obligation_ids, drop_accounting, gating_rows,
     )
 }
@@ -368,6 +392,11 @@ decided AS (
 )"""
 )
 
+_LEDGER = """ SELECT coalesce(d.program_id, r.program_id) AS program_id, coalesce(d.cycle_year, r.cycle_year) AS cycle_year,
+        coalesce(d.rung, r.last_rung) AS rung
+      FROM (SELECT program_id, cycle_year, rung FROM decided WHERE rung IS NOT NULL) d
+      FULL JOIN rungs r ON r.program_id = d.program_id AND r.cycle_year = d.cycle_year"""
+
 ORACLES = {
     "zone_days_until": _OBL
     + f""" SELECT program_id, {_UTC(_WALL)} AS instant_utc,
@@ -403,6 +432,9 @@ ORACLES = {
     "verify_queue": _RES
     + """ SELECT program_id, label, verify_reason AS reason, coalesce(stale_days, 0) AS stale, url
       FROM resolved WHERE verify_reason IS NOT NULL""",
+    "verify_order": _RES
+    + """ SELECT program_id, row_number() OVER (ORDER BY coalesce(stale_days, 0) DESC, label, program_id) AS rank
+      FROM resolved WHERE verify_reason IS NOT NULL""",
     "urgency": _SCO
     + """ SELECT program_id, round(urgency_raw, 6) AS urgency,
         CASE WHEN dkind = 'rolling' THEN '' WHEN dkind = 'unknown' OR days_until IS NULL THEN 'deadlineUnknown'
@@ -470,11 +502,8 @@ ORACLES = {
     + """ SELECT program_id, coalesce(CAST(rung AS VARCHAR), '') AS rung, must_show,
         coalesce(drop_reason, 'kept') AS outcome FROM decided""",
     "rung_crossing": _BUILT + " SELECT program_id, cycle_year, rung FROM decided WHERE rung IS NOT NULL",
-    "rung_ledger_upsert": _BUILT
-    + """ SELECT coalesce(d.program_id, r.program_id) AS program_id, coalesce(d.cycle_year, r.cycle_year) AS cycle_year,
-        coalesce(d.rung, r.last_rung) AS rung
-      FROM (SELECT program_id, cycle_year, rung FROM decided WHERE rung IS NOT NULL) d
-      FULL JOIN rungs r ON r.program_id = d.program_id AND r.cycle_year = d.cycle_year""",
+    "rung_ledger_upsert": _BUILT + _LEDGER,
+    "rung_ledger_buckets": _BUILT + _LEDGER,
     "rung_replay": _OBL
     + f""", ladder AS (SELECT unnest([365, 180, 90, 60, 45, 30, 21, 14, 10, 7, 6, 5, 4, 3, 2, 1, 0]) AS r),
       starts AS (SELECT program_id, date_diff('day', {_TODAY_IN_ZONE}, due) AS d FROM obligations),

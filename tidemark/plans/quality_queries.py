@@ -14,8 +14,9 @@ from tidemark.operators import obligations as O
 from tidemark.operators import proposals as P
 from tidemark.operators import quality as Q
 from tidemark.operators import reports as R
+from tidemark.operators.asof import as_of, last_of
+from tidemark.operators.ranking import ranked
 from tidemark.plans import fixtures as X
-from tidemark.plans.daily import digest_tables
 from tidemark.sources.digests import previous_rows
 
 READER_NOW = "2009-01-01 00:00:00"
@@ -89,28 +90,29 @@ def quote_containment(spark, sf):
 
 
 def _turns(spark, sf):
-    """Each assistant turn with the latest earlier turn of its conversation.
-
-    The pairing is an equality on (conversation, turn - 1), so a very long
-    conversation spreads over its turns.
-    """
+    """Each assistant turn, and all turns that may come before one; every third turn of a conversation says nothing."""
     c = X.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     reply = c.filter("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("candidate"))
-    before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("block"))
+    before = c.filter((F.col("conv_id") + F.col("turn")) % 3 != 0).select("conv_id", F.col("turn").alias("said"), F.col("text").alias("block"))
     return reply, before
 
 
+def _answered(reply, before):
+    """Replies beside the latest turn before them that says something, however many turns ago."""
+    return as_of(reply, before, ["conv_id"], "turn", "said", ["block"], width=64, strict=True)
+
+
 def number_grounding(spark, sf):
-    """Replies with numbers planted by key: in the input, spelled out, and foreign."""
+    """Whole replies with numbers planted by key: in the input, spelled out, and foreign."""
     reply, before = _turns(spark, sf)
     extra = F.element_at(
         F.array(F.lit(" See 12 items."), F.lit(" In seven days."), F.lit(" Only 99 left."), F.lit(" Visit www.example.org now."), F.lit("")),
         ((F.col("conv_id") + F.col("turn")) % 5 + 1).cast("int"),
     )
-    reply = reply.withColumn("candidate", F.concat(F.lower("candidate"), F.lower(extra)))
+    reply = reply.withColumn("candidate", F.concat("candidate", extra))
     before = before.withColumn("block", F.concat(F.lit("12 items. "), "block"))
-    out = G.check(reply, before, ["conv_id", "turn"])
-    kind = F.regexp_extract("reason", "^(empty|over|contains a URL|contains the number|says|names)", 1)
+    out = G.verdicts(_answered(reply, before))
+    kind = F.regexp_extract("reason", "^(no-input|empty|over|contains a URL|contains the number|says|names)", 1)
     return out.select("conv_id", "turn", F.coalesce(kind, F.lit("grounded")).alias("verdict"))
 
 
@@ -118,6 +120,7 @@ def name_grounding(spark, sf):
     """A name that is in the input for even conversations only."""
     reply, before = _turns(spark, sf)
     reply = reply.withColumn("candidate", F.lit("However, Rhodes and Marshall remain open."))
+    before = X.table(spark, sf, "conversations").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("block"))
     before = before.withColumn("block", F.concat(F.when(F.col("conv_id") % 2 == 0, "rhodes, marshall: ").otherwise("rhodes only: "), F.regexp_replace(F.lower("block"), "marshall", "")))
     out = G.check(reply, before, ["conv_id", "turn"])
     return out.groupBy(F.coalesce("reason", F.lit("grounded")).alias("verdict")).agg(F.count("*").alias("replies"))
@@ -129,7 +132,7 @@ def reply_name_grounding(spark, sf):
     reply = reply.withColumn("candidate", F.concat("candidate", F.lit(" However, Rhodes and Marshall remain open.")))
     before = before.withColumn("block", F.concat(F.when(F.col("conv_id") % 2 == 0, "rhodes, marshall: ").otherwise("rhodes only: "), "block"))
     names = strange_names(F.col("candidate"), F.col("block"))
-    return reply.join(before, ["conv_id", "turn"]).select("conv_id", "turn", F.array_join(names, "|").alias("names"))
+    return _answered(reply, before).select("conv_id", "turn", F.when(F.col("block").isNull(), "no-input").otherwise(F.array_join(names, "|")).alias("names"))
 
 
 def input_blocks(spark, sf):
@@ -207,36 +210,41 @@ def lane_references(spark, sf):
     return L.reference_problems(refs, items).groupBy("problem", "lane").agg(F.count("*").alias("references"))
 
 
-def silence_guard(spark, sf):
-    """Days with orders and no urgent one: tracked, and an empty strip."""
-    o = X.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("date"), "o_orderpriority")
-    stats = o.groupBy("date").agg(F.count("*").alias("deadlines_tracked"))
-    strip = o.filter("o_orderpriority = '1-URGENT'").select("date")
-    return R.silence_guard(stats, strip).select(F.col("date").cast("string").alias("date"), "deadlines_tracked")
-
-
-def digest_stats(spark, sf):
-    return digest_tables(spark, sf)["stats"].select("fetched", "kept", "deadlines_tracked", "verified_last_7d", "median_score")
+def lane_order(spark, sf):
+    """Lane lists of each order date resolved to their items, in order: pinned lane first, then as declared."""
+    o = X.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("date"), F.col("o_orderkey").alias("item_id"), "o_totalprice")
+    k = F.col("item_id")
+    lane = F.element_at(F.array(*[F.lit(x) for x in ("conferences", "deadlines", "mstp-labs", "elsewhere")]), (k % 4 + 1).cast("int"))
+    refs = o.select("date", lane.alias("lane"), F.when(k % 50 == 0, k + 10**9).otherwise(k).alias("item_id"))
+    found = L.lane_entries(refs, o.select("date", "item_id", F.col("o_totalprice").alias("score")))
+    placed = ranked(found, [F.col("lane_rank"), F.col("score").desc(), F.col("item_id")], ["date"])
+    return placed.select(F.col("date").cast("string").alias("date"), "lane", "item_id", "rank")
 
 
-def digest_drops(spark, sf):
-    stats = digest_tables(spark, sf)["stats"]
-    return stats.select(F.explode("dropped").alias("drop_reason", "dropped"))
+def previous_openers(spark, sf):
+    """The last three openers of an archive before each of its dates; on every fifth day none was written."""
+    o = X.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("archive"), F.to_date("o_orderdate").alias("date")).distinct()
+    o = o.withColumn("day", F.unix_date("date"))
+    opener = F.concat(F.col("archive"), F.lit(" opens "), F.col("date").cast("string")).alias("opener")
+    written = o.filter(F.col("day") % 5 != 0).select("archive", "day", opener)
+    out = last_of(o, written, ["archive"], "day", "day", "opener", width=90, n=3)
+    return out.select("archive", F.col("date").cast("string").alias("date"), *[F.coalesce(f"opener_{i}", F.lit("")).alias(f"opener_{i}") for i in (1, 2, 3)])
 
 
-def digest_lanes(spark, sf):
-    lanes = digest_tables(spark, sf)["lane_items"]
-    return lanes.groupBy("lane").agg(F.count("*").alias("items"), F.min("item_id").alias("first_id"))
+def ledger_as_of(spark, sf):
+    """What each user's ledger of purchases held when they did anything else: the latest purchase at or before that second."""
+    e = X.table(spark, sf, "events").select("event_id", "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "event_type", "value")
+    bought = e.filter("event_type = 'purchase'").groupBy("user_id", F.col("at").alias("bought_at")).agg(F.max("value").alias("paid"))
+    rows = as_of(e.filter("event_type <> 'purchase'"), bought, ["user_id"], "at", "bought_at", ["paid"], width=86_400, matched_at="bought")
+    return rows.select("event_id", F.coalesce("paid", F.lit(-1.0)).alias("paid"), F.coalesce("bought", F.lit(-1)).cast("long").alias("bought"))
 
 
-def digest_problems(spark, sf):
-    """The assembled day against every delivery rule: nothing may be wrong with it."""
-    t = digest_tables(spark, sf)
-    date = day(X.TODAY)
-    dated = lambda name: t[name].withColumn("date", date)
-    ruled_out = X.obligations(spark, sf).filter("status = 'ruled-out'").select("program_id")
-    countdown = t["countdown"].withColumnRenamed("date", "deadline_date").withColumn("date", date)
-    return Q.digest_problems(dated("items"), dated("lane_items"), countdown, dated("stats"), ruled_out)
+def silence_guard(spark, sf):
+    """Days with orders and no urgent one: tracked, and an empty strip."""
+    o = X.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("date"), "o_orderpriority")
+    stats = o.groupBy("date").agg(F.count("*").alias("deadlines_tracked"))
+    strip = o.filter("o_orderpriority = '1-URGENT'").select("date")
+    return R.silence_guard(stats, strip).select(F.col("date").cast("string").alias("date"), "deadlines_tracked")
 
 
 def previous_digests(spark, sf):
@@ -270,8 +278,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         deadline_reader, proposal_outcomes, proposal_report, quote_containment, number_grounding, name_grounding, reply_name_grounding,
-        input_blocks, registry_problems, resolve_bad_zones, cycle_problems, step_problems, move_problems, lane_references, silence_guard,
-        previous_digests, faulty_items, digest_stats, digest_drops, digest_lanes, digest_problems,
+        input_blocks, registry_problems, resolve_bad_zones, cycle_problems, step_problems, move_problems, lane_references, lane_order, previous_openers, ledger_as_of, silence_guard,
+        previous_digests, faulty_items,
     )
 }
 
@@ -337,6 +345,16 @@ _CYC_AS_THEY_ARE = _CYC.replace("CASE WHEN key % 20 = 0 THEN 'maybe' WHEN key %
     "CASE WHEN key % 13 = 4 THEN '2026-02-31' WHEN", "CASE WHEN"
 )
 
+#: Replies beside the latest turn before them that says something.
+_PAIRS = """pairs AS (
+        SELECT a.conv_id, a.turn, a.text, b.text AS said FROM (SELECT * FROM conversations WHERE role = 'assistant') a
+        ASOF LEFT JOIN (SELECT * FROM conversations WHERE (conv_id + turn) % 3 <> 0) b ON a.conv_id = b.conv_id AND a.turn > b.turn)"""
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(CAPITALISED_STOPWORDS))
+_NAMES = (
+    r"list_filter(list_transform(regexp_extract_all({text}, '\b[A-Z][A-Za-z0-9''’&.-]+\b'), lambda x: regexp_replace(x, '[.''’&-]+$', '')), "
+    "lambda x: length(x) >= 2 AND NOT list_contains([" + _STOP.replace("{", "{{") + "], lower(x)))"
+)
+
 ORACLES = {
     "previous_digests": f"""SELECT DISTINCT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date FROM orders
       WHERE CAST(o_orderdate AS DATE) < DATE '{X.TODAY}' ORDER BY 1 DESC LIMIT 3""",
@@ -359,26 +377,40 @@ ORACLES = {
     "proposal_report": _PROP
     + " SELECT cur = CAST(d AS VARCHAR) AS agrees, count(*) AS proposals FROM p WHERE refused IS NULL GROUP BY ALL",
     "quote_containment": "SELECT item_id, item_id % 3 <> 0 AND item_id % 4 <> 1 AS found FROM benchmark",
-    "number_grounding": """
-      WITH c AS (SELECT a.conv_id, a.turn, (a.conv_id + a.turn) % 5 AS m, lower(a.text) AS t, '12 items. ' || b.text AS block
-        FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1 WHERE a.role = 'assistant'),
-      x AS (SELECT *, t || [' see 12 items.', ' in seven days.', ' only 99 left.', ' visit www.example.org now.', ''][m + 1] AS "full" FROM c),
+    "number_grounding": f"""
+      WITH {_PAIRS}, c AS (SELECT conv_id, turn, (conv_id + turn) % 5 AS m, text, '12 items. ' || said AS block FROM pairs),
+      x AS (SELECT *, text || [' See 12 items.', ' In seven days.', ' Only 99 left.', ' Visit www.example.org now.', ''][m + 1] AS "full" FROM c),
       y AS (SELECT *, list_transform(regexp_extract_all("full", '\\d+'), lambda n: CAST(n AS HUGEINT)) AS nums,
-          list_transform(regexp_extract_all(block, '\\d+'), lambda n: CAST(n AS HUGEINT)) AS allowed FROM x)
-      SELECT conv_id, turn, CASE WHEN length(trim("full", ' ' || chr(10))) > 700 THEN 'over'
-        WHEN regexp_matches("full", '(?i)(https?://|www\\.|\\b[a-z0-9-]{2,}\\.(com|org|net|edu|gov|io|ai|co)\\b)') THEN 'contains a URL'
+          list_transform(regexp_extract_all(block, '\\d+'), lambda n: CAST(n AS HUGEINT)) AS allowed, {_NAMES.format(text='"full"')} AS found FROM x)
+      SELECT conv_id, turn, CASE WHEN block IS NULL THEN 'no-input' WHEN length(trim("full", ' ' || chr(10))) > 700 THEN 'over'
+        WHEN regexp_matches("full", '(?i)(https?://|www\\.|\\b[a-z0-9-]{{2,}}\\.(com|org|net|edu|gov|io|ai|co)\\b)') THEN 'contains a URL'
         WHEN length(list_filter(nums, lambda n: NOT list_contains(allowed, n))) > 0 THEN 'contains the number'
-        WHEN m = 1 AND NOT list_contains(allowed, 7) THEN 'says' ELSE 'grounded' END AS verdict FROM y""",
+        WHEN m = 1 AND NOT list_contains(allowed, 7) THEN 'says'
+        WHEN length(list_filter(found, lambda x: NOT contains(lower(block), lower(x)))) > 0 THEN 'names' ELSE 'grounded' END AS verdict FROM y""",
     "name_grounding": """
       SELECT CASE WHEN a.conv_id % 2 = 0 THEN 'grounded' ELSE 'names "Marshall", which is not in the input' END AS verdict, count(*) AS replies
       FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1 WHERE a.role = 'assistant' GROUP BY ALL""",
     "reply_name_grounding": f"""
-      WITH c AS (SELECT a.conv_id, a.turn, a.text || ' However, Rhodes and Marshall remain open.' AS t,
-          lower(CASE WHEN a.conv_id % 2 = 0 THEN 'rhodes, marshall: ' ELSE 'rhodes only: ' END || b.text) AS block
-        FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1 WHERE a.role = 'assistant'),
-      n AS (SELECT *, list_transform(regexp_extract_all(t, '\\b[A-Z][A-Za-z0-9''’&.-]+\\b'), lambda x: regexp_replace(x, '[.''’&-]+$', '')) AS found FROM c)
-      SELECT conv_id, turn, array_to_string(list_filter(found, lambda x: length(x) >= 2
-        AND NOT list_contains([{", ".join("'" + w.replace("'", "''") + "'" for w in sorted(CAPITALISED_STOPWORDS))}], lower(x)) AND NOT contains(block, lower(x))), '|') AS names FROM n""",
+      WITH {_PAIRS}, c AS (SELECT conv_id, turn, text || ' However, Rhodes and Marshall remain open.' AS t,
+          lower(CASE WHEN conv_id % 2 = 0 THEN 'rhodes, marshall: ' ELSE 'rhodes only: ' END || said) AS block FROM pairs)
+      SELECT conv_id, turn, CASE WHEN block IS NULL THEN 'no-input'
+        ELSE array_to_string(list_filter({_NAMES.format(text="t")}, lambda x: NOT contains(block, lower(x))), '|') END AS names FROM c""",
+    "lane_order": """
+      WITH o AS (SELECT CAST(o_orderdate AS DATE) AS date, o_orderkey AS item_id, o_totalprice AS score,
+          ['conferences', 'deadlines', 'mstp-labs', 'elsewhere'][o_orderkey % 4 + 1] AS lane FROM orders WHERE o_orderkey % 50 <> 0)
+      SELECT CAST(date AS VARCHAR) AS date, lane, item_id, row_number() OVER (PARTITION BY date
+        ORDER BY CASE lane WHEN 'deadlines' THEN 0 WHEN 'mstp-labs' THEN 1 WHEN 'conferences' THEN 2 ELSE 3 END, score DESC, item_id) AS rank FROM o""",
+    "previous_openers": """
+      WITH o AS (SELECT DISTINCT o_orderpriority AS archive, CAST(o_orderdate AS DATE) AS date FROM orders),
+      w AS (SELECT *, archive || ' opens ' || CAST(date AS VARCHAR) AS opener FROM o WHERE (date - DATE '1970-01-01') % 5 <> 0),
+      l AS (SELECT archive, date, opener, lag(opener, 1) OVER p AS two, lag(opener, 2) OVER p AS three FROM w WINDOW p AS (PARTITION BY archive ORDER BY date))
+      SELECT o.archive, CAST(o.date AS VARCHAR) AS date, coalesce(opener, '') AS opener_1, coalesce(two, '') AS opener_2, coalesce(three, '') AS opener_3
+      FROM o ASOF LEFT JOIN l ON o.archive = l.archive AND o.date > l.date""",
+    "ledger_as_of": """
+      WITH e AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events),
+      b AS (SELECT user_id, sec AS bought, max(value) AS paid FROM e WHERE event_type = 'purchase' GROUP BY ALL)
+      SELECT event_id, coalesce(paid, -1) AS paid, coalesce(bought, -1) AS bought
+      FROM (SELECT * FROM e WHERE event_type <> 'purchase') x ASOF LEFT JOIN b ON x.user_id = b.user_id AND x.sec >= b.bought""",
     "input_blocks": """
       WITH r AS (SELECT CAST(o_orderdate AS DATE) AS date, *, row_number() OVER (PARTITION BY CAST(o_orderdate AS DATE) ORDER BY o_totalprice DESC, CAST(o_orderkey AS VARCHAR)) AS rn FROM orders QUALIFY rn <= 12)
       SELECT CAST(date AS VARCHAR) AS date, left(sha256('Digest date: ' || CAST(date AS VARCHAR) || chr(10) || 'Items: ' || CAST(count(*) AS VARCHAR) || chr(10) || chr(10)

@@ -11,6 +11,7 @@ AREAS = (
     "monitoring_queries",
     "event_queries",
     "quality_queries",
+    "digest_queries",
 )
 
 
