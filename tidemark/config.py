@@ -169,21 +169,14 @@ class Term:
 class Lexicon:
     """Weighted terms per lane plus case-sensitive acronyms shared by every lane.
 
-    A lexicon is configuration: a few hundred terms at most. Sizes above
-    ``MAX_TERMS`` are refused because terms become literals of the plan.
+    A lexicon is configuration: its terms become literals of the plan. For term
+    lists of any size there is ``operators.terms``, which takes them as a table.
     """
 
     lanes: Mapping[str, tuple[Term, ...]]
     acronyms: tuple[Term, ...] = ()
     min_term_length: int = 4
 
-    MAX_TERMS = 20_000
-
-    def __post_init__(self):
-        n = sum(len(v) for v in self.lanes.values()) + len(self.acronyms)
-        if n > self.MAX_TERMS:
-            raise ValueError(f"lexicon has {n} terms, more than {self.MAX_TERMS}")
-
     def lane_terms(self, lane: str) -> tuple[Term, ...]:
         return tuple(t for t in self.lanes.get(lane, ()) if len(t.term) >= self.min_term_length)
 
@@ -438,27 +431,56 @@ CHALLENGE_MARKERS = (
     (r"<title[^>]*>\s*(403|forbidden|error)\s*<", "error page"),
 )
 
-# Sentence contexts in which a date is not a deadline, first match wins.
+# Sentence contexts in which a date is not a deadline, by the code of what it is instead; the first counts.
 REFUSE_CONTEXTS = (
-    (r"\b(were|was)\s+announced\b|\bannounced\s+on\b|\bwere\s+named\b", "an announcement, not a deadline"),
-    (r"\bclosed\s+on\b|\bhave\s+closed\b|\bhas\s+closed\b", "a past cycle that already closed"),
-    (r"\bbegin\s+their\s+studies\b|\bcommences?\b|\bstart\s+date\b", "the award start, not the application deadline"),
-    (r"\blast\s+updated\b|\bcopyright\b|©", "page metadata"),
-    (r"\bwas\s+founded\b|\bsince\s+\d{4}\b|\bhas\s+supported\b", "institutional history"),
-    (r"\binformation\s+session\b|\bwebinar\b|\bopen\s+house\b", "an event, not a deadline"),
+    (r"\b(were|was)\s+announced\b|\bannounced\s+on\b|\bwere\s+named\b", "announcement"),
+    (r"\bclosed\s+on\b|\bhave\s+closed\b|\bhas\s+closed\b", "closed-cycle"),
+    (r"\bbegin\s+their\s+studies\b|\bcommences?\b|\bstart\s+date\b", "award-start"),
+    (r"\blast\s+updated\b|\bcopyright\b|©", "page-metadata"),
+    (r"\bwas\s+founded\b|\bsince\s+\d{4}\b|\bhas\s+supported\b", "history"),
+    (r"\binformation\s+session\b|\bwebinar\b|\bopen\s+house\b", "event"),
     (
         r"\bnotifications?\s+(?:go|are)\b|\bdecisions?\s+(?:will\s+be\s+)?announced\b|\baward\s+notifications?\b",
-        "a notification date",
+        "notification",
     ),
-    (r"\bcouncil\s+round\b|\breview\s+(?:meets|panel)\b", "a review milestone, not a submission deadline"),
-    (r"\breviewed\s+annually\b|\btypically\s+held\b", "a recurring habit, not a dated deadline"),
-    (r"\boffice\s+is\s+closed\b|\bholiday\b", "an office closure"),
-    (r"\bif\s+you\s+require\b|\baccommodations?\b", "an accessibility notice"),
+    (r"\bcouncil\s+round\b|\breview\s+(?:meets|panel)\b", "review"),
+    (r"\breviewed\s+annually\b|\btypically\s+held\b", "habit"),
+    (r"\boffice\s+is\s+closed\b|\bholiday\b", "office-closed"),
+    (r"\bif\s+you\s+require\b|\baccommodations?\b", "accessibility"),
 )
 DEADLINE_CUE = (
     r"\b(deadline|closes?|closing|due|apply\s+by|applications?\s+(?:close|are\s+due)|submissions?\s+close"
     r"|submit\s+by|must\s+be\s+(?:received|submitted)|no\s+later\s+than)\b"
 )
+#: What the codes of the reader say to a person.
+READER_WORDING = {
+    "empty": "nothing was quoted",
+    "too-long": "longer than a sentence",
+    "announcement": "tells of an announcement",
+    "closed-cycle": "tells of a cycle that is over",
+    "award-start": "tells when the award begins",
+    "page-metadata": "belongs to the page, not to the programme",
+    "history": "tells of the past",
+    "event": "invites to an event",
+    "notification": "tells when answers come",
+    "review": "tells when reviewers meet",
+    "habit": "tells what is usual",
+    "office-closed": "tells when the office is shut",
+    "accessibility": "offers help with access",
+    "no-cue": "does not say that anything is due",
+    "no-year": "names no year",
+    "no-date": "names no whole date",
+    "no-such-day": "names a day that does not exist or lies too far off",
+    "other-cycle": "names a year of another cycle",
+}
+# Lead-ins of abstracts (journal names and status phrases), and first words of lines that say nothing.
+JOURNAL_NAMES = ("nature", "science", "cell")
+JOURNAL_STATUS = ("published online", "advance online publication", "available online")
+EMPTY_LINE_STARTS = (
+    "sign up", "subscribe", "read more", "continue reading", "follow us", "share this", "editor's note", "editors note",
+    "editor’s note", "this article", "photo", "image", "credit", "advertisement", "©", "all rights reserved", "get the latest",
+    "listen to", "watch:",
+)
 # Accepted month names.
 MONTH_NAMES = {
     "january": 1, "jan": 1, "february": 2, "feb": 2, "march": 3, "mar": 3, "april": 4, "apr": 4,

@@ -40,6 +40,12 @@ def case_of(key: Column, table: Mapping[str, object], default: object) -> Column
     return default if out is None else out.otherwise(default)
 
 
+def literal_map(table: Mapping[str, str]) -> Column:
+    """A fixed table as one map literal, however many entries: one call to build, folded once by the planner."""
+    quoted = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.expr(f"map({', '.join(quoted(x) for kv in table.items() for x in kv)})")
+
+
 def round2(value: Column) -> Column:
     """Two decimals, halves up, computed the same way in every engine."""
     return F.floor(value * 100 + 0.5) / 100

@@ -113,10 +113,10 @@ def _parsed(
     )
     warning = (
         F.when(at.isNotNull() | raw.isNull() | (raw == ""), F.lit(None).cast("string"))
-        .when(~(raw.rlike(FULL_DATE) | is_month), F.concat(F.lit("unrecognised deadline format: "), raw))
-        .when(date.isNull(), F.concat(F.lit("out of range: "), raw))
-        .when(~time_ok, F.lit("unrecognised timeOfDay"))
-        .when(exists, F.concat(F.lit("deadline more than 8 years out ("), raw, F.lit(") — likely a year typo")))
+        .when(~(raw.rlike(FULL_DATE) | is_month), F.concat(F.lit("not a date layout: "), raw))
+        .when(date.isNull(), F.concat(F.lit("no such day: "), raw))
+        .when(~time_ok, F.lit("not a time of day"))
+        .when(exists, F.concat(F.lit("over 8 years ahead ("), raw, F.lit("): check the year")))
     )
     return F.struct(
         at.alias("instant"),

@@ -68,22 +68,35 @@ def _weight_map(terms: Iterable[Term], fold: bool) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
 
-def _sum_hits(hits: Column, in_title: Column, terms: tuple[Term, ...], fold: bool) -> tuple[Column, Column]:
-    """``(points, distinct hits)``: weight x (1 + ln count), doubled for a title hit."""
+def _counts(hits: Column) -> Column:
+    """``array<struct<term, n>>`` of a list of hits: sorted once, counted by where the next term begins."""
+
+    def runs(ordered: Column) -> Column:
+        n = F.size(ordered)
+        starts = F.filter(
+            F.transform(ordered, lambda h, i: F.when((i == 0) | (F.get(ordered, i - 1) != h), i)), lambda i: i.isNotNull()
+        )
+        ends = lambda s: F.transform(s, lambda at, j: F.struct(at.alias("at"), F.coalesce(F.get(s, j + 1), n).alias("end")))
+        spans = let(starts, ends)
+        return F.transform(spans, lambda x: F.struct(F.get(ordered, x["at"]).alias("term"), (x["end"] - x["at"]).alias("n")))
+
+    return let(F.sort_array(hits), runs)
+
+
+def _sum_hits(counts: Column, hits: Column, in_title: Column, terms: tuple[Term, ...], fold: bool) -> tuple[Column, Column]:
+    """``(points, distinct hits)``: weight x (1 + ln count), doubled for a title hit. ``counts`` are those of ``hits``."""
     names = [t.term.lower() if fold else t.term for t in terms]
     mine = F.filter(F.array_distinct(hits), lambda h: h.isin(*names))
+    counted = F.filter(counts, lambda c: c["term"].isin(*names))
     weights = _weight_map(terms, fold)
 
-    def points(h: Column) -> Column:
-        count = F.size(F.filter(hits, lambda x: x == h))
-        return (
-            F.try_element_at(weights, h)
-            * (1 + F.log(count.cast("double")))
-            * F.when(F.array_contains(in_title, h), 2.0).otherwise(1.0)
-        )
+    def points(c: Column) -> Column:
+        twice = F.when(F.array_contains(in_title, c["term"]), 2.0).otherwise(1.0)
+        return F.try_element_at(weights, c["term"]) * (1 + F.log(c["n"].cast("double"))) * twice
 
-    total = F.aggregate(mine, F.lit(0.0), lambda acc, h: acc + points(h))
-    return total, mine
+    # the order of first occurrence, so that sums of doubles do not depend on the sort
+    in_order = F.transform(mine, lambda h: F.get(F.filter(counted, lambda c: c["term"] == h), F.lit(0)))
+    return F.aggregate(in_order, F.lit(0.0), lambda acc, c: acc + points(c)), mine
 
 
 def with_term_hits(df, title: str = "title", body: str = "scorable", lexicon: Lexicon = LEXICON, window: int | None = None):
@@ -110,6 +123,8 @@ def with_term_hits(df, title: str = "title", body: str = "scorable", lexicon: Le
             "_title_acronyms": F.col("_title_acronyms"),
             "_all_terms": F.concat("_title_terms", "_body_terms"),
             "_all_acronyms": F.concat("_title_acronyms", "_body_acronyms"),
+            "_term_counts": _counts(F.concat("_title_terms", "_body_terms")),
+            "_acronym_counts": _counts(F.concat("_title_acronyms", "_body_acronyms")),
         },
     ).drop("_body_terms", "_body_acronyms")
 
@@ -122,7 +137,7 @@ def lane_scores(df, lexicon: Lexicon = LEXICON, weights: Weights = WEIGHTS):
     k = F.lit(weights.lexicon_saturation)
     if lexicon.acronyms:
         acronym_points, acronym_hits = _sum_hits(
-            F.col("_all_acronyms"), F.col("_title_acronyms"), lexicon.acronyms, fold=False
+            F.col("_acronym_counts"), F.col("_all_acronyms"), F.col("_title_acronyms"), lexicon.acronyms, fold=False
         )
     else:
         acronym_points, acronym_hits = F.lit(0.0), F.array().cast("array<string>")
@@ -133,7 +148,7 @@ def lane_scores(df, lexicon: Lexicon = LEXICON, weights: Weights = WEIGHTS):
         terms = lexicon.lane_terms(lane)
         if not terms:
             continue
-        points, hits = _sum_hits(F.col("_all_terms"), F.col("_title_terms"), terms, fold=True)
+        points, hits = _sum_hits(F.col("_term_counts"), F.col("_all_terms"), F.col("_title_terms"), terms, fold=True)
         totals[f"_points_{lane}"] = points
         totals[f"_hits_{lane}"] = hits
         lanes.append(lane)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.common import let, squish
 from tidemark.functions.dates import wall_clock_to_utc
 
+# Layouts of dates in feeds.
 ISO_INSTANT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$"
 ISO_DAY = r"^\d{4}-\d{2}-\d{2}$"
 MAIL_DATE = r"(?i)^(?:[A-Za-z]{3,9},\s*)?(\d{1,2}\s[A-Za-z]{3})[a-z]*\s(\d{4})\s(\d{2}:\d{2})(:\d{2})?\s?([A-Za-z]{2,4}|[+-]\d{4})$"

@@ -1,85 +1,105 @@
-"""Reading a deadline out of one sentence, and checking a quote against its page."""
+"""Reading a deadline out of one sentence, and checking a quote against its page.
+
+A sentence is read word by word: a year is looked for, then the two words before
+it, so a date is always day, month and year as they stand. Everything that speaks
+against the sentence is collected as short codes; ``config.READER_WORDING`` has
+the words for them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.config import DEADLINE_CUE, MONTH_NAMES, REFUSE_CONTEXTS
+from tidemark.config import DEADLINE_CUE, MONTH_NAMES, READER_WORDING, REFUSE_CONTEXTS
 from tidemark.functions.common import case_of, let, squish
 from tidemark.functions.dates import parse_deadline
 
-ISO = r"\b(20\d{2})-(\d{2})-(\d{2})\b"
-DAY_FIRST = r"\b(\d{1,2})(?:st|nd|rd|th)?\s+([A-Za-z]{3,9})\.?,?\s+(20\d{2})\b"
-MONTH_FIRST = r"\b([A-Za-z]{3,9})\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(20\d{2})\b"
 MAX_SENTENCE = 400
+#: Typographic quotes and dashes, and what they are compared as.
+_TYPOGRAPHIC, _PLAIN = "‘’‛“”‐‑‒–—―", "'''\"\"------"
 
 
-def _iso(text: Column, pattern: str, year: int, month: int, day: int) -> Column:
-    number = case_of(F.lower(F.regexp_extract(text, pattern, month)), MONTH_NAMES, F.lit(None).cast("int"))
-    return F.when(
-        number.isNotNull(),
-        F.concat(
-            F.regexp_extract(text, pattern, year),
-            F.lit("-"),
-            F.lpad(number.cast("string"), 2, "0"),
-            F.lit("-"),
-            F.lpad(F.regexp_extract(text, pattern, day), 2, "0"),
-        ),
-    )
+def _words(text: Column) -> Column:
+    """The words of a sentence without the punctuation around them."""
+    return F.transform(F.split(text, " "), lambda w: F.regexp_replace(w, r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", ""))
+
+
+def _year(word: Column) -> Column:
+    return F.when(word.rlike(r"^20\d\d\b"), F.left(word, F.lit(4)))
+
+
+def _day(word: Column) -> Column:
+    digits = F.regexp_extract(word, r"^(\d\d?)(?:st|nd|rd|th)?$", 1)
+    return F.when(digits != "", F.lpad(digits, 2, "0"))
+
+
+def _month(word: Column) -> Column:
+    return F.lpad(case_of(F.lower(word), MONTH_NAMES, F.lit(None).cast("int")).cast("string"), 2, "0")
 
 
 def quoted_date(text: Column) -> Column:
-    """The one written-out date, as ``YYYY-MM-DD``; null without day, month and year."""
-    return F.when(text.rlike(ISO), F.regexp_extract(text, ISO, 0)).when(
-        text.rlike(DAY_FIRST), _iso(text, DAY_FIRST, 3, 2, 1)
-    ).when(text.rlike(MONTH_FIRST), _iso(text, MONTH_FIRST, 3, 1, 2))
+    """The written-out date, as ``YYYY-MM-DD``; null without day, month and year.
+
+    Of several, a date in figures counts before one with the day in front, and
+    that before one with the month in front.
+    """
+
+    def dates(words: Column) -> Column:
+        def at(word: Column, i: Column) -> Column:
+            year, before, first = _year(word), F.get(words, i - 1), F.get(words, i - 2)
+            dashed = lambda month, day: F.concat_ws("-", year, month, day)
+            figures = F.when(word.rlike(r"^20\d\d-\d\d-\d\d$"), word)
+            day_month = F.when(_day(first).isNotNull() & _month(before).isNotNull(), dashed(_month(before), _day(first)))
+            month_day = F.when(_month(first).isNotNull() & _day(before).isNotNull(), dashed(_month(first), _day(before)))
+            ranked = [F.struct(F.lit(k).alias("kind"), i.alias("at"), d.alias("date")) for k, d in enumerate((figures, day_month, month_day))]
+            return F.when(year.isNotNull(), F.array_min(F.filter(F.array(*ranked), lambda r: r["date"].isNotNull())))
+
+        return F.array_min(F.array_compact(F.transform(words, at)))["date"]
+
+    return let(_words(text), dates)
 
 
 def read_deadline(quote: Column, zone: Column, now: Column, cycle_year: Column | None = None) -> Column:
-    """``struct(ok, date, reason)``. Refuses rather than guesses; a year is never inferred."""
-    return let(squish(quote), lambda text: _read(text, quoted_date(text), zone, now, cycle_year))
+    """``struct(ok, date, reason, faults)``. Refuses rather than guesses; a year is never inferred.
 
+    ``faults`` are the codes of everything that speaks against the sentence,
+    ``reason`` is the first of them.
+    """
 
-def _read(text: Column, date: Column, zone: Column, now: Column, cycle_year: Column | None) -> Column:
-    return let(
-        F.struct(date.alias("date"), parse_deadline(date, zone, now).alias("parsed")),
-        lambda found: _judge(text, found["date"], found["parsed"], cycle_year),
-    )
+    def judged(text: Column) -> Column:
+        dated = let(quoted_date(text), lambda d: F.struct(d.alias("date"), parse_deadline(d, zone, now)["instant"].alias("at")))
+        return let(dated, lambda found: _result(text, found["date"], found["at"], cycle_year))
 
+    return let(squish(quote), judged)
 
-def _judge(text: Column, date: Column, parsed: Column, cycle_year: Column | None) -> Column:
-    reason = F.when(text.isNull() | (text == ""), "empty quote").when(
-        F.length(text) > MAX_SENTENCE, "quote too long to be one sentence"
-    )
-    for pattern, why in REFUSE_CONTEXTS:
-        reason = reason.when(text.rlike("(?i)" + pattern), why)
-    reason = reason.when(~text.rlike("(?i)" + DEADLINE_CUE), "no deadline cue (a date alone is not a deadline)")
-    reason = reason.when(
-        ~text.rlike(r"\b20\d{2}\b"), "no 4-digit year in the quote — a year is never inferred"
-    )
-    reason = reason.when(date.isNull(), "no full day-month-year date in the quote")
-    reason = reason.when(parsed["instant"].isNull(), parsed["warning"])
+
+def _result(text: Column, date: Column, at: Column, cycle_year: Column | None) -> Column:
+    no_year = ~text.rlike(r"\b20\d{2}\b")
+    against = [("empty", F.coalesce(text, F.lit("")) == ""), ("too-long", F.length(text) > MAX_SENTENCE)]
+    against += [(code, text.rlike("(?i)" + pattern)) for pattern, code in REFUSE_CONTEXTS]
+    against += [("no-cue", ~text.rlike("(?i)" + DEADLINE_CUE)), ("no-year", no_year), ("no-date", date.isNull()), ("no-such-day", at.isNull())]
     if cycle_year is not None:
-        year = F.left(date, F.lit(4)).try_cast("int")
-        reason = reason.when(
-            cycle_year.isNotNull() & ~((year == cycle_year) | (year == cycle_year - 1)),
-            F.concat(
-                F.lit("year "), year.cast("string"), F.lit(" is inconsistent with cycle "), cycle_year.cast("string")
-            ),
-        )
+        # a cycle may close in the year before the one it is named after
+        early = cycle_year - F.left(date, F.lit(4)).try_cast("int")
+        against.append(("other-cycle", ~early.isin(0, 1)))
+    faults = F.array_compact(F.array(*[F.when(F.coalesce(is_so, F.lit(False)), code) for code, is_so in against]))
     return let(
-        reason,
-        lambda r: F.struct(r.isNull().alias("ok"), F.when(r.isNull(), date).alias("date"), r.alias("reason")),
+        faults,
+        lambda f: F.struct(
+            (F.size(f) == 0).alias("ok"), F.when(F.size(f) == 0, date).alias("date"), F.get(f, F.lit(0)).alias("reason"), f.alias("faults")
+        ),
     )
 
 
+def in_words(code: Column) -> Column:
+    """What a code of the reader says; other texts stay as they are."""
+    return case_of(code, READER_WORDING, code)
+
+
 def fold_quote(text: Column) -> Column:
-    """Straight quotes, plain hyphens, single spaces, lower case."""
-    text = F.regexp_replace(text, "[‘’‛]", "'")
-    text = F.regexp_replace(text, "[“”]", '"')
-    text = F.regexp_replace(text, "[‐-―]", "-")
-    return F.lower(squish(text))
+    """Lower case, single spaces, plain quotes and dashes."""
+    return F.translate(F.lower(squish(text)), _TYPOGRAPHIC, _PLAIN)
 
 
 def quote_appears_in(quote: Column, page: Column, min_chars: int = 8) -> Column:

@@ -44,14 +44,14 @@ def urgency(
         )
     )
     evidence = (
-        F.when(kind == "rolling", F.array(F.lit("rolling — no deadline")))
-        .when(unknown, F.array(F.lit("deadline unknown — needs a human")))
+        F.when(kind == "rolling", F.array(F.lit("rolling: no date")))
+        .when(unknown, F.array(F.lit("no date is known: ask the organiser")))
         .otherwise(
             F.array_compact(
                 F.array(
-                    F.concat(days.cast("string"), F.lit("d until "), F.coalesce(date, F.lit("?"))),
-                    F.when(projected, f"projected (x{w.projected_confidence:g})"),
-                    F.when(monthly, f"month precision (x{w.month_confidence:g})"),
+                    F.concat(days.cast("string"), F.lit(" days to "), F.coalesce(date, F.lit("?"))),
+                    F.when(projected, f"projected, times {w.projected_confidence:g}"),
+                    F.when(monthly, f"day unknown, times {w.month_confidence:g}"),
                 )
             )
         )

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.config import NAMED_ENTITIES, TOKEN_STOPWORDS
-from tidemark.functions.common import let, squish
+from tidemark.functions.common import let, literal_map, squish
 
 ENTITY_HEAD = r"^(#x?[0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]{1,31});"
 
@@ -30,8 +30,7 @@ def _decode_named(piece: Column, name: Column) -> Column:
     code = F.when(hex_digits != "", F.conv(hex_digits, 16, 10).try_cast("long")).when(
         digits != "", digits.try_cast("long")
     )
-    names = F.create_map(*[F.lit(x) for kv in NAMED_ENTITIES.items() for x in kv])
-    named = F.try_element_at(names, F.lower(name))
+    named = F.try_element_at(literal_map(NAMED_ENTITIES), F.lower(name))
     value = F.when(name.startswith("#"), F.when(code > 0, code_point(code))).otherwise(named)
     return F.when((name != "") & value.isNotNull(), F.concat(value, rest)).otherwise(F.concat(F.lit("&"), piece))
 

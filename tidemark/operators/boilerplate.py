@@ -11,6 +11,8 @@ from tidemark.operators.skew import lookup_join
 MIN_ITEMS = 4
 REPEAT_FRACTION = 0.5
 MIN_SENTENCE_CHARS = 40
+#: Buckets that a source's sentences are first counted in.
+SKETCH_BUCKETS = 1024
 
 
 def _digest(key: Column) -> Column:
@@ -32,6 +34,11 @@ def _thresholds(items: DataFrame, fraction: float, min_items: int) -> DataFrame:
     return sizes.filter(F.col("source_items") >= min_items).withColumn("needed", needed)
 
 
+def _distinct(digests: Column) -> Column:
+    """The digests of an item, each once."""
+    return F.array_distinct(F.transform(digests, lambda s: s["h"]))
+
+
 def sentence_counts(items: DataFrame) -> DataFrame:
     """Items per (source, sentence digest).
 
@@ -39,19 +46,41 @@ def sentence_counts(items: DataFrame) -> DataFrame:
     feeds straight into a partial count: a sentence shared by a third of all
     items leaves each task as one row.
     """
-    distinct = F.array_distinct(F.transform("sentences", lambda s: s["h"]))
     return (
-        items.select("source_id", F.explode(distinct).alias("h"))
+        items.select("source_id", F.explode(_distinct(F.col("sentences"))).alias("h"))
         .groupBy("source_id", F.col("h.a").alias("a"), F.col("h.b").alias("b"))
         .agg(F.count("*").alias("n"))
     )
 
 
-def find_boilerplate(items: DataFrame, fraction: float = REPEAT_FRACTION, min_items: int = MIN_ITEMS) -> DataFrame:
-    """``(source_id, a, b, n)`` for sentences in enough of their source's items."""
-    found = sentence_counts(items).filter("n >= 2")
+def _bucket(digest: Column) -> Column:
+    return F.pmod(digest["a"], F.lit(SKETCH_BUCKETS)).cast("int")
+
+
+def possible_buckets(items: DataFrame, limits: DataFrame) -> DataFrame:
+    """``(source_id, buckets, source_items)``: buckets of digests whose sentences can be frequent enough, per source.
+
+    A bucket counts all its sentences together, so it reaches the threshold if
+    one of them does. What other sentences put into a bucket is (sentences per
+    item) / ``SKETCH_BUCKETS`` of the items, far below a fixed share of them
+    however many items there are. A task sends on a count per source and bucket.
+    """
+    rows = items.select("source_id", F.explode(F.transform(_distinct(F.col("sentences")), _bucket)).alias("bucket"))
+    counts = rows.groupBy("source_id", "bucket").agg(F.count("*").alias("n"))
+    reached = counts.join(limits, "source_id").filter("n >= needed")
+    return reached.groupBy("source_id").agg(F.collect_list("bucket").alias("buckets"), F.max("source_items").alias("source_items"))
+
+
+def find_boilerplate(items: DataFrame, fraction: float = REPEAT_FRACTION, min_items: int = MIN_ITEMS, row_id: str = "item_id") -> DataFrame:
+    """``(source_id, a, b, n)`` for sentences in enough of their source's items.
+
+    Sentences are exactly counted only where their bucket reaches the threshold.
+    """
     limits = _thresholds(items, fraction, min_items)
-    return found.join(limits, "source_id").filter("n >= needed").select("source_id", "a", "b", "n", "source_items")
+    known = lookup_join(items.select(row_id, "source_id", "sentences"), possible_buckets(items, limits), ["source_id"], "source_items", F.col(row_id))
+    possible = F.filter("sentences", lambda s: F.array_contains(F.col("buckets"), _bucket(s["h"])))
+    found = sentence_counts(known.select("source_id", possible.alias("sentences")).filter(F.size("sentences") > 0))
+    return found.filter("n >= 2").join(limits, "source_id").filter("n >= needed").select("source_id", "a", "b", "n", "source_items")
 
 
 def boilerplate_sentences(
@@ -86,7 +115,7 @@ def strip_boilerplate(
     to strip keeps its body as it is.
     """
     per_source = (
-        find_boilerplate(items, fraction, min_items)
+        find_boilerplate(items, fraction, min_items, row_id)
         .groupBy("source_id")
         .agg(F.collect_list(F.struct("a", "b")).alias("boiler"), F.max("source_items").alias("source_items"))
     )

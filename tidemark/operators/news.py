@@ -91,8 +91,9 @@ def corroboration(items: DataFrame) -> DataFrame:
     headline that a third of all items share arrives as one row per publisher
     and task.
     """
+    key = F.col("title_key") if "title_key" in items.columns else title_key(F.col("title")).alias("title_key")
     pairs = (
-        items.select(title_key(F.col("title")).alias("title_key"), "publisher_group")
+        items.select(key, "publisher_group")
         .groupBy("title_key", "publisher_group")
         .agg(F.count("*").alias("n"))
     )
@@ -102,7 +103,7 @@ def corroboration(items: DataFrame) -> DataFrame:
 
 
 def with_publishers(items: DataFrame) -> DataFrame:
-    keyed = items.withColumn("title_key", title_key(F.col("title")))
+    keyed = items if "title_key" in items.columns else items.withColumn("title_key", title_key(F.col("title")))
     return lookup_join(keyed, corroboration(items), ["title_key"], "titles", F.col("item_id"))
 
 
@@ -253,11 +254,12 @@ def rank_news(
     once instead of deduplicating for each, worth it on large inputs.
     """
     survivors = items.filter(intake_drop().isNull())
-    unique = dedupe_by_url(survivors)
+    # what later steps read again and again is computed once: headline keys, sentences and their digests
+    unique = with_sentences(dedupe_by_url(survivors), "body", min_sentence).withColumn("title_key", title_key(F.col("title")))
     if materialize is not None:
         unique = materialize(unique, "unique-items")
     unique = with_publishers(unique)
-    stripped = strip_boilerplate(with_sentences(unique, "body", min_sentence), fraction, min_items).drop("sentences")
+    stripped = strip_boilerplate(unique, fraction, min_items).drop("sentences")
     hits = with_term_hits(scorable(stripped, raw_fallback, job_chars), lexicon=lexicon, window=body_window)
     classified = classify(lane_scores(hits, lexicon, w), lexicon)
     scored = score_news(classified, now, w, event_window)

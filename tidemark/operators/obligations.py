@@ -273,19 +273,19 @@ def verify_reason(df: DataFrame, clock: Clock) -> DataFrame:
     d = F.col("deadline")
     stale = F.col("stale_days")
     reason = (
-        F.when(F.col("undated_gating").isNotNull(), F.concat(F.lit("GATING step has no date: "), F.col("undated_gating")))
-        .when(d["kind"] == "unknown", "deadline unknown")
-        .when(d["precision"] == "month", "only known to the month — cannot alert")
+        F.when(F.col("undated_gating").isNotNull(), F.concat(F.lit("gating step without a date: "), F.col("undated_gating")))
+        .when(d["kind"] == "unknown", "no date known")
+        .when(d["precision"] == "month", "month known, day missing: no alert")
         .when(
             d["verify_by"] <= clock.today,
             F.concat(
-                F.lit("verifyBy "), d["verify_by"].cast("string"), F.lit(" has passed — confirm this cycle's date")
+                F.lit("to be confirmed by "), d["verify_by"].cast("string"), F.lit(", which is past")
             ),
         )
-        .when(stale > F.col("verify_every"), F.concat(F.lit("unverified for "), stale.cast("string"), F.lit(" days")))
+        .when(stale > F.col("verify_every"), F.concat(F.lit("not checked for "), stale.cast("string"), F.lit(" days")))
         .when(
             F.col("verified_on").isNull() & d["kind"].isin("confirmed", "projected"),
-            "never verified — no verifiedOn date",
+            "never checked",
         )
     )
     df = df.withColumn("stale_days", D.stale_days(F.col("verified_on"), clock.today))
@@ -349,7 +349,7 @@ def score(df: DataFrame, w: Weights = WEIGHTS) -> DataFrame:
                     "Gating step",
                     F.lit(1.0),
                     w.points["gating"],
-                    F.array(F.lit("missing this ends the application")),
+                    F.array(F.lit("nothing can be submitted without it")),
                 ),
             ),
             S.event_factor(F.col("events"), w),

@@ -77,7 +77,7 @@ def escalation(rows: DataFrame, days: int = WEIGHTS.escalation_days, strict: boo
         F.when(F.col("alarm").isNotNull(), short("alarm"))
         .when(F.col("closing_soon") > 0, F.concat(F.col("closing_soon").cast("string"), F.lit(" closing soon")))
         .when(F.col("nearest").isNotNull(), F.concat(F.lit("next "), short("nearest")))
-        .otherwise("no dated programs tracked")
+        .otherwise("nothing with a date")
         .alias("headline"),
         F.col("closing_soon").cast("long").alias("closing_soon"),
     )

@@ -198,6 +198,43 @@ def feed_items(spark, sf):
     )
 
 
+_N = "CAST(doc_id AS STRING)"
+# three layouts in turn, three entries each: whole, with markup and another choice of fields, and incomplete
+FEED_KINDS = (
+    "doc_id", "source AS source_id", "'news' AS source_kind", "false AS paywalled", "CAST(NULL AS STRING) AS date_style", "'UTC' AS time_zone",
+    "CAST(NULL AS INT) AS max_items",
+    f"""CASE doc_id % 3 WHEN 0 THEN concat('<?xml version="1.0"?><!-- a --><feed xmlns="http://www.w3.org/2005/Atom"><title>c</title>',
+        '<entry><title type="html">&lt;b&gt;Story&lt;/b&gt; ', {_N}, '</title><link rel="self" href="https://feed.example.org/self/', {_N},
+        '"/><link rel="alternate" href="https://feed.example.org/', {_N}, '/?rss=1"/><id>tag:', {_N}, '</id><published>2024-01-15T08:30:00Z</published>',
+        '<updated>2024-01-16T08:30:00Z</updated><author><name>Ann ', {_N}, '</name></author><author><name>Bo</name></author><category term="alpha"/>',
+        '<category term="beta"/><content type="html">', {ESCAPED}, '</content></entry><entry><title>Mine: <a href="x">linked</a> ', {_N},
+        '</title><link rel="related" href="https://feed.example.org/b/', {_N}, '"/><updated>2024-01-17T10:00:00Z</updated><summary>Short</summary></entry>',
+        '<entry><title>Nowhere</title></entry></feed>')
+      WHEN 1 THEN concat('<rdf:RDF xmlns:rdf="r"><channel rdf:about="c"><title>c</title></channel><item rdf:about="i"><title>Story ', {_N},
+        '</title><link>https://feed.example.org/', {_N}, '</link><dc:date>2024-01-15T08:30:00Z</dc:date><dc:creator><a href="y">Cy ', {_N},
+        '</a></dc:creator><prism:doi>10.1000/x', {_N}, '</prism:doi><description>', {ESCAPED}, '</description></item><item><title>Mine: <a href="x">linked</a> ',
+        {_N}, '</title><link>https://feed.example.org/b/', {_N}, '</link><prism:publicationDate>2024-01-17T10:00:00Z</prism:publicationDate>',
+        '<description>Short</description></item><item><link>https://feed.example.org/c</link></item></rdf:RDF>')
+      ELSE CASE WHEN doc_id % 4 = 0 THEN '<rss><channel><title>c</title></channel></rss>' WHEN doc_id % 4 = 1 THEN '<html><body>gone</body></html>'
+        ELSE concat('<rss><channel><item><title>Story ', {_N}, '</title><link>https://feed.example.org/', {_N}, '</link><guid>g', {_N},
+        '</guid><pubDate>Mon, 15 Jan 2024 08:30:00 GMT</pubDate><dc:creator>Di</dc:creator><category>alpha</category><category></category><category>beta</category>',
+        '<description>', {ESCAPED}, '</description></item><item><title>Mine: <a href="x">linked</a> ', {_N}, '</title><link>https://feed.example.org/b/', {_N},
+        '</link><dc:date>2024-01-17T10:00:00Z</dc:date><description>Short</description></item><item/></channel></rss>') END END AS body""",
+)
+
+
+def feed_kinds(spark, sf):
+    """Atom, RDF and RSS bodies of several entries, all fields; whole bodies."""
+    rows = parse_feeds(X.table(spark, sf, "documents").selectExpr(*FEED_KINDS), instant("2024-02-01 00:00:00"))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return rows.groupBy(
+        "outcome", text("title").alias("title"), text("canonical_url").alias("url"), text("guid").alias("guid"),
+        text(F.date_format("published_at", "yyyy-MM-dd HH:mm:ss")).alias("published"), text("body_provenance").alias("provenance"),
+        F.left(F.sha2(text("body"), 256), F.lit(16)).alias("digest"), text(F.array_join("categories", "|")).alias("categories"),
+        text(F.array_join("authors", "|")).alias("authors"), text("doi").alias("doi"),
+    ).agg(F.count("*").alias("entries"))
+
+
 # four documents to a body, feeds and boards in turn; the fourth entry is over the cap
 COLLECTED = """
 WITH g AS (
@@ -239,7 +276,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         event_horizon, event_dedupe, watched_first, hidden_events, event_lines, feed_status, unless_broken, event_sources,
-        calendar_events, calendar_problems, calendar_order, event_order, calendar_bodies, board_items, feed_items, collected_items, press_dates,
+        calendar_events, calendar_problems, calendar_order, event_order, calendar_bodies, board_items, feed_items, feed_kinds, collected_items, press_dates,
     )
 }
 
@@ -394,6 +431,19 @@ ORACLES = {
         NOT bad AND doc_id % 3 = 0 AS paywalled,
         CASE WHEN length(body) = 0 THEN 'none' WHEN length(body) >= 400 THEN 'description' ELSE 'dek' END AS provenance,
         left(sha256(body), 16) AS digest FROM d""",
+    "feed_kinds": f"""
+      WITH d AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS k, doc_id % 3 AS m, {SQUISH("text")} AS body,
+          CASE WHEN doc_id % 3 < 2 OR doc_id % 4 > 1 THEN 'kept' WHEN doc_id % 4 = 0 THEN 'empty' ELSE 'unparseable' END AS outcome FROM documents),
+      e AS (
+        SELECT outcome, 'Story ' || k AS title, 'https://feed.example.org/' || k AS url, CASE m WHEN 0 THEN 'tag:' || k WHEN 1 THEN '' ELSE 'g' || k END AS guid,
+          '2024-01-15 08:30:00' AS published, body, CASE m WHEN 1 THEN '' ELSE 'alpha|beta' END AS categories,
+          CASE m WHEN 0 THEN 'Ann ' || k || '|Bo' WHEN 1 THEN 'Cy ' || k ELSE 'Di' END AS authors, CASE m WHEN 1 THEN '10.1000/x' || k ELSE '' END AS doi
+        FROM d WHERE outcome = 'kept'
+        UNION ALL SELECT outcome, 'Mine: linked ' || k, 'https://feed.example.org/b/' || k, '', '2024-01-17 10:00:00', 'Short', '', '', '' FROM d WHERE outcome = 'kept'
+        UNION ALL SELECT 'incomplete', CASE m WHEN 0 THEN 'Nowhere' ELSE '' END, CASE m WHEN 1 THEN 'https://feed.example.org/c' ELSE '' END, '', '', '', '', '', '' FROM d WHERE outcome = 'kept'
+        UNION ALL SELECT outcome, '', '', '', '', '', '', '', '' FROM d WHERE outcome <> 'kept')
+      SELECT outcome, title, url, guid, published, CASE WHEN length(body) = 0 THEN 'none' WHEN length(body) >= 400 THEN 'description' ELSE 'dek' END AS provenance,
+        left(sha256(body), 16) AS digest, categories, authors, doi, count(*) AS entries FROM e GROUP BY ALL""",
     "collected_items": f"""
       WITH d AS (SELECT doc_id, doc_id // 4 AS b, row_number() OVER (PARTITION BY doc_id // 4 ORDER BY doc_id) - 1 AS pos, text FROM documents),
       s AS (SELECT *, b % 2 = 0 AS feed, CASE WHEN b % 2 = 0 THEN b % 7 ELSE b % 5 END AS k FROM d)

@@ -311,13 +311,13 @@ resolved AS (
   SELECT *, date_diff('day', CAST(timezone(time_zone, TIMESTAMPTZ '{AS_OF}+00') AS DATE),
                              CAST(timezone(time_zone, inst) AS DATE)) AS days_until,
     DATE '{TODAY}' - verified_on AS stale_days,
-    CASE WHEN undated_pos IS NOT NULL THEN 'GATING step has no date: ' || undated_gating
-         WHEN dkind = 'unknown' THEN 'deadline unknown'
-         WHEN fprecision = 'month' THEN 'only known to the month — cannot alert'
-         WHEN verify_by <= DATE '{TODAY}' THEN 'verifyBy ' || CAST(verify_by AS VARCHAR) || ' has passed — confirm this cycle''s date'
+    CASE WHEN undated_pos IS NOT NULL THEN 'gating step without a date: ' || undated_gating
+         WHEN dkind = 'unknown' THEN 'no date known'
+         WHEN fprecision = 'month' THEN 'month known, day missing: no alert'
+         WHEN verify_by <= DATE '{TODAY}' THEN 'to be confirmed by ' || CAST(verify_by AS VARCHAR) || ', which is past'
          WHEN DATE '{TODAY}' - verified_on > verify_every
-           THEN 'unverified for ' || CAST(DATE '{TODAY}' - verified_on AS VARCHAR) || ' days'
-         WHEN verified_on IS NULL AND dkind IN ('confirmed', 'projected') THEN 'never verified — no verifiedOn date'
+           THEN 'not checked for ' || CAST(DATE '{TODAY}' - verified_on AS VARCHAR) || ' days'
+         WHEN verified_on IS NULL AND dkind IN ('confirmed', 'projected') THEN 'never checked'
     END AS verify_reason
   FROM resolved0
 )

@@ -256,8 +256,8 @@ ORACLES = {
     + ", "
     + X.SQL_OBLIGATIONS
     + """ SELECT d.program_id, coalesce(label, d.program_id) AS label,
-        CASE change WHEN 'changed' THEN 'page changed — verify the date (' || detail || ')'
-          WHEN 'suspicious' THEN 'page looks broken — ' || detail ELSE 'page unreachable — ' || detail END AS reason, d.url
+        CASE change WHEN 'changed' THEN 'the page differs: check the date (' || detail || ')'
+          WHEN 'suspicious' THEN 'the page seems broken: ' || detail ELSE 'the page did not load: ' || detail END AS reason, d.url
       FROM d LEFT JOIN obligations o ON o.program_id = d.program_id WHERE change IN ('changed', 'suspicious', 'failed')""",
     "page_history": f"""
       WITH o AS (

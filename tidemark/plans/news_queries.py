@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.config import LANES, Lexicon, Term
+from tidemark.config import LANES, LEXICON, Lexicon, Term
 from tidemark.functions.common import stage
 from tidemark.functions.ids import item_id
 from tidemark.functions.lexicon import lane_scores, with_term_hits
@@ -12,6 +12,7 @@ from tidemark.functions.urls import canonical_url
 from tidemark.operators import boilerplate as B
 from tidemark.operators import lanes as L
 from tidemark.operators import news as N
+from tidemark.operators import terms as T
 from tidemark.plans import fixtures as X
 from tidemark.plans.text_queries import ITEMS, KEY, SENTENCE_KEY, SENTENCES
 from tidemark.session import materialize
@@ -73,13 +74,18 @@ def boilerplate_sentences(spark, sf):
     return B.boilerplate_sentences(df, FRACTION)
 
 
+def _with_sentences(spark, sf):
+    """Items with their sentences, written once: several steps read them."""
+    return materialize(B.with_sentences(_items(spark, sf).select("doc_id", "source_id", "item_id", "body")), "sentences")
+
+
 def boilerplate_size(spark, sf):
-    df = B.with_sentences(_items(spark, sf).select("source_id", "item_id", "body"))
+    df = _with_sentences(spark, sf)
     return B.boilerplate_size(B.find_boilerplate(df, FRACTION))
 
 
 def strip_boilerplate(spark, sf):
-    df = B.with_sentences(_items(spark, sf).select("doc_id", "source_id", "item_id", "body"))
+    df = _with_sentences(spark, sf)
     out = B.strip_boilerplate(df, FRACTION)
     return out.select("doc_id", F.length("stripped").cast("long").alias("chars"), F.left(F.sha2("stripped", 256), F.lit(16)).alias("digest"))
 
@@ -97,13 +103,24 @@ def lexicon_scores(spark, sf):
     )
 
 
+#: Every term of the full word lists, to be planted by key.
+_WORD_LISTS = list(dict.fromkeys([t.term for lane in LEXICON.lanes for t in LEXICON.lane_terms(lane)] + [t.term for t in LEXICON.acronyms]))
+
+
 def reference_lexicon(spark, sf):
-    """The full word lists over whole documents: how many items each lane can claim."""
-    df = _items(spark, sf).withColumn("scorable", F.col("body"))
-    scored = lane_scores(with_term_hits(df, window=None))
-    return scored.select(F.inline("lane_scores")).groupBy("lane").agg(
-        F.count("*").alias("items"), F.count_if(F.col("raw") > 0).alias("matched")
-    )
+    """The full word lists, as a table, over whole documents with a term planted in each: how many items each lane can claim."""
+    planted = F.element_at(F.array(*[F.lit(t) for t in _WORD_LISTS]), (F.col("doc_id") % len(_WORD_LISTS) + 1).cast("int"))
+    planted = F.when(F.col("doc_id") % 2 == 0, F.upper(planted)).otherwise(planted)
+    items = _items(spark, sf).withColumn("body", F.concat("body", F.lit(" ("), planted, F.lit(")")))
+    hits = T.term_hits(items, T.term_table(spark), "doc_id", "title", "body")
+    return T.lane_points(hits).groupBy("lane").agg(F.count("*").alias("matched"), F.sum(F.size("hits")).alias("terms"))
+
+
+def term_scores(spark, sf):
+    """``lexicon_scores`` from terms in a table: the same lists, the same scores."""
+    hits = T.term_hits(_items(spark, sf), T.term_table(spark, FIXTURE_LEXICON), "doc_id", "title", "body")
+    rows = T.lane_points(hits)
+    return rows.select(F.col("key").alias("doc_id"), "lane", F.round("raw", 6).alias("raw"), F.array_join(F.array_sort("hits"), ",").alias("hits"))
 
 
 def lane_argmax(spark, sf):
@@ -193,7 +210,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         url_dedupe, corroboration, boilerplate_sentences, boilerplate_size, strip_boilerplate, lexicon_scores,
-        reference_lexicon, lane_argmax, event_detection, source_filters, intake_drops, news_ranked,
+        reference_lexicon, term_scores, lane_argmax, event_detection, source_filters, intake_drops, news_ranked,
         news_drop_accounting, topk_per_lane, over_cap, news_daily_cap, hint_lanes,
     )
 }
@@ -341,6 +358,8 @@ final AS (
 )"""
 )
 
+_SCORED = [lane for lane in LEXICON.lanes if LEXICON.lane_terms(lane)]
+
 ORACLES = {
     "url_dedupe": ITEMS
     + """, c AS (
@@ -361,6 +380,20 @@ ORACLES = {
     + ","
     + _lexicon_sql("body").replace("{source}", "items")
     + " SELECT doc_id, lane, round(raw, 6) AS raw, array_to_string(list_sort(hits), ',') AS hits FROM lane_points",
+    "term_scores": ITEMS
+    + ","
+    + _lexicon_sql("body").replace("{source}", "items")
+    + " SELECT doc_id, lane, round(raw, 6) AS raw, array_to_string(list_sort(hits), ',') AS hits FROM lane_points",
+    "reference_lexicon": ITEMS
+    + f""", t AS (SELECT unnest({_LIST([x for lane in _SCORED for x in [lane] * (len(LEXICON.lane_terms(lane)) + len(LEXICON.acronyms))])}) AS lane,
+        unnest({_LIST([x for lane in _SCORED for x in [*(t.term.lower() for t in LEXICON.lane_terms(lane)), *(t.term for t in LEXICON.acronyms)]])}) AS term,
+        unnest([{", ".join(str(x) for lane in _SCORED for x in [*[False] * len(LEXICON.lane_terms(lane)), *[True] * len(LEXICON.acronyms)])}]) AS exact),
+      p AS (SELECT *, {_LIST(_WORD_LISTS)}[doc_id % {len(_WORD_LISTS)} + 1] AS planted FROM items),
+      w AS (SELECT doc_id, ' ' || title || ' | ' || body || ' (' || CASE WHEN doc_id % 2 = 0 THEN upper(planted) ELSE planted END || ')' AS cased FROM p),
+      d AS (SELECT *, lower(cased) AS folded FROM w),
+      h AS (SELECT DISTINCT doc_id, lane, term FROM d JOIN t ON contains(CASE WHEN exact THEN cased ELSE folded END, term)
+        AND regexp_matches(CASE WHEN exact THEN cased ELSE folded END, '[^A-Za-z0-9]' || regexp_escape(term) || '[^A-Za-z0-9]'))
+      SELECT lane, count(DISTINCT doc_id) AS matched, count(*) AS terms FROM h GROUP BY lane""",
     "lane_argmax": ITEMS
     + ","
     + _lexicon_sql("body").replace("{source}", "items")

@@ -290,13 +290,13 @@ WITH s AS (
 ),
 r AS (
   SELECT *, year(d) AS y, year(d) + key % 3 AS cy,
-    CASE m WHEN 3 THEN 'an announcement, not a deadline' WHEN 4 THEN 'a past cycle that already closed' WHEN 5 THEN 'page metadata'
-      WHEN 6 THEN 'an event, not a deadline' WHEN 7 THEN 'no deadline cue (a date alone is not a deadline)'
-      WHEN 8 THEN 'no 4-digit year in the quote — a year is never inferred' WHEN 9 THEN 'no full day-month-year date in the quote'
-      WHEN 10 THEN 'out of range: ' || CAST(year(d) AS VARCHAR) || '-02-31' WHEN 11 THEN 'an office closure' END AS why FROM s
+    CASE m WHEN 3 THEN 'announcement' WHEN 4 THEN 'closed-cycle' WHEN 5 THEN 'page-metadata'
+      WHEN 6 THEN 'event' WHEN 7 THEN 'no-cue'
+      WHEN 8 THEN 'no-year' WHEN 9 THEN 'no-date'
+      WHEN 10 THEN 'no-such-day' WHEN 11 THEN 'office-closed' END AS why FROM s
 ),
 read AS (
-  SELECT *, coalesce(why, CASE WHEN key % 3 = 2 THEN 'year ' || CAST(y AS VARCHAR) || ' is inconsistent with cycle ' || CAST(cy AS VARCHAR) END) AS reason FROM r
+  SELECT *, coalesce(why, CASE WHEN key % 3 = 2 THEN 'other-cycle' END) AS reason FROM r
 )"""
 _PROP = (
     _S

@@ -20,6 +20,45 @@ def _text(c: Column) -> Column:
     return squish(F.coalesce(c, F.lit("")))
 
 
+def _entry(kind: str, e: Column) -> Column:
+    """An item or entry of any layout in the same fields; markup inside a text field comes as text, tags and all."""
+    none = F.lit(None).cast("string")
+    if kind == "atom":
+        links = F.filter(e["link"], lambda x: ~blank(x["_href"]))
+        page = F.filter(links, lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+        fields = {
+            "link": F.coalesce(F.get(page, F.lit(0))["_href"], F.get(links, F.lit(0))["_href"]),
+            "guid": e["id"],
+            "press_date": e["published"],
+            "dates": F.array(e["published"], e["updated"]),
+            "content": none,
+            "description": F.when(blank(e["content"]), e["summary"]).otherwise(e["content"]),
+            "authors": F.concat(F.coalesce(F.transform(e["author"], lambda x: x["name"]), F.array().cast("array<string>")), F.array(e["dc:creator"])),
+            "category": F.transform(e["category"], lambda x: x["_term"]),
+        }
+    else:
+        fields = {
+            "link": e["link"],
+            "guid": e["guid"],
+            "press_date": e["pubDate"],
+            "dates": F.array(e["pubDate"], e["dc:date"], e["prism:publicationDate"]),
+            "content": e["content:encoded"],
+            "description": e["description"],
+            "authors": F.array(e["dc:creator"]),
+            "category": e["category"],
+        }
+    fields |= {"title": e["title"], "doi": e["prism:doi"]}
+    return F.struct(*[fields[k].alias(k) for k in sorted(fields)])
+
+
+def _entries(feed: Column) -> Column:
+    """All entries of a feed, whatever its root; an empty list for a feed without any, null for another document."""
+    of = lambda kind, xs: F.coalesce(F.transform(xs, lambda e: _entry(kind, e)), F.array())
+    found = F.concat(of("rss", feed["channel"]["item"]), of("rss", feed["item"]), of("atom", feed["entry"]))
+    known = feed["channel"].isNotNull() | feed["item"].isNotNull() | feed["entry"].isNotNull()
+    return F.when(known | F.col("body").rlike(r"^(?s:\s*(<[?!][^>]*>\s*)*)<(rss|feed|rdf:RDF)\b"), found)
+
+
 def _pick_body(e: Column, journal: Column) -> Column:
     """``struct(text, provenance)``: the full content if it says anything, else the description."""
     plain = lambda c: let(html_to_text(_text(c)), lambda t: F.when(journal, strip_journal_prefix(t)).otherwise(t))
@@ -33,7 +72,7 @@ def _pick_body(e: Column, journal: Column) -> Column:
         )
         .otherwise(F.struct(F.lit("").alias("text"), F.lit("none").alias("provenance")))
     )
-    return let(plain(e["content:encoded"]), lambda full: let(plain(e["description"]), lambda short: choose(full, short)))
+    return let(plain(e["content"]), lambda full: let(plain(e["description"]), lambda short: choose(full, short)))
 
 
 def _pick_date(e: Column, style: Column, zone: Column, now: Column) -> Column:
@@ -44,11 +83,11 @@ def _pick_date(e: Column, style: Column, zone: Column, now: Column) -> Column:
         F.lit(True).alias("confident"),
         F.lit(None).cast("string").alias("warning"),
     )
-    fields = F.filter(F.array(e["pubDate"], e["dc:date"], e["prism:publicationDate"]), lambda c: ~blank(c))
+    fields = F.filter(e["dates"], lambda c: ~blank(c))
     tried = F.transform(fields, lambda c: parse_feed_date(c, now, zone))
-    styled = F.when(style == "fierce", F.filter(F.array(press(e["pubDate"])), lambda d: d["at"].isNotNull()))
+    styled = F.when(style == "fierce", F.filter(F.array(press(e["press_date"])), lambda d: d["at"].isNotNull()))
     all_dates = F.concat(
-        F.coalesce(styled, F.filter(F.array(press(e["pubDate"])), lambda d: F.lit(False))),
+        F.coalesce(styled, F.filter(F.array(press(e["press_date"])), lambda d: F.lit(False))),
         F.filter(tried, lambda d: d["at"].isNotNull()),
         F.slice(tried, 1, 1),
     )
@@ -56,14 +95,16 @@ def _pick_date(e: Column, style: Column, zone: Column, now: Column) -> Column:
 
 
 def parse_feeds(bodies: DataFrame, now: Column, body_cap: int | None = None) -> DataFrame:
-    """One row per feed entry with its fields settled; ``outcome`` says why one is not an item.
+    """One row per entry of RSS, RDF and Atom feeds with its fields settled; ``outcome`` says why one is not an item.
 
     ``bodies``: source_id, source_kind, paywalled, date_style, time_zone,
     max_items, body. A feed is one response, parsed inside its row; entries from ``max_items`` on, if it is not
-    null, are ``over-cap``; a body that is not XML gives a single ``unparseable`` row, never a failed job.
+    null, are ``over-cap``; a body that is no feed gives a single ``unparseable`` row, never a failed job.
+    An Atom entry's address is its alternate link, else its first; its body is its content, else its summary.
     """
-    df = bodies.withColumn("_feed", F.from_xml("body", FEED))
-    entries = F.col("_feed.channel.item")
+    df = stage(bodies, {"_feed": F.from_xml("body", FEED)})
+    df = stage(df, {"_entries": _entries(F.col("_feed"))}).drop("_feed")
+    entries = F.col("_entries")
     df = df.select(
         "source_id",
         "source_kind",
@@ -100,7 +141,8 @@ def parse_feeds(bodies: DataFrame, now: Column, body_cap: int | None = None) ->
         },
     )
     text = F.col("picked.text")
-    doi = _text(F.col("e")["prism:doi"])
+    doi = _text(F.col("e.doi"))
+    named = F.transform(F.col("e.authors"), lambda c: squish(F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", " ")))
     return df.select(
         "source_id",
         "pos",
@@ -116,9 +158,7 @@ def parse_feeds(bodies: DataFrame, now: Column, body_cap: int | None = None) ->
         F.col("picked.provenance").alias("body_provenance"),
         (F.col("source_paywalled") | paywall_prefix(F.col("full_title"))).alias("paywalled"),
         F.filter(F.transform(F.col("e.category"), _text), lambda c: c != "").alias("categories"),
-        F.when(_text(F.col("e")["dc:creator"]) != "", F.array(_text(F.col("e")["dc:creator"])))
-        .otherwise(F.array().cast("array<string>"))
-        .alias("authors"),
+        F.coalesce(F.filter(named, lambda c: c != ""), F.array().cast("array<string>")).alias("authors"),
         F.when(doi != "", doi).otherwise(extract_doi(F.concat_ws(" ", "url", text))).alias("doi"),
         extract_trial_ids(F.concat_ws(" ", "title", text)).alias("trial_ids"),
         "outcome",

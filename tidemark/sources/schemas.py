@@ -57,8 +57,15 @@ ASHBY = """
     struct<jobs:array<struct<id:string,title:string,jobUrl:string,location:string,publishedAt:string,
     descriptionPlain:string,isListed:boolean>>>
 """
-FEED = """
-    struct<channel:struct<item:array<struct<title:string,link:string,guid:string,pubDate:string,
+_ITEM = """
+    array<struct<title:string,link:string,guid:string,pubDate:string,
     `dc:date`:string,`prism:publicationDate`:string,`content:encoded`:string,description:string,
-    `dc:creator`:string,`prism:doi`:string,category:array<string>>>>>
+    `dc:creator`:string,`prism:doi`:string,category:array<string>>>
 """
+_ENTRY = """
+    array<struct<title:string,link:array<struct<_href:string,_rel:string>>,id:string,published:string,updated:string,
+    content:string,summary:string,author:array<struct<name:string>>,`dc:creator`:string,`prism:doi`:string,
+    category:array<struct<_term:string>>>>
+"""
+#: The children of three roots at once: items in a channel, items beside it, and entries.
+FEED = f"struct<channel:struct<title:string,item:{_ITEM}>,item:{_ITEM},entry:{_ENTRY}>"
