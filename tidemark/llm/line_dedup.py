@@ -23,22 +23,28 @@ from tidemark.functions.common import stage
 from tidemark.session import materialize
 
 SPACES = r"[\x20\x09-\x0D]+"
-_BUCKETS = 20
+_BUCKETS = 16
 _HASH_BITS = 58
-#: Words of a bucket with 2^8 words or more are common.
-COMMON = 8
+#: A class is the logarithm of a bucket's share of all words, from 2^-27 on.
+_LEAST_SHARE = 27
+#: Buckets that hold a 2^-14th of all words or more, four times the average, are common: a share, so the same sets at every size.
+COMMON = _LEAST_SHARE - 14
 MAX_BROADCAST_LINES = 500_000
 
 
 def word_classes(docs: DataFrame, text: str) -> bytes:
-    """How common the words of each of 2^20 hash buckets are over all documents: a digit-like byte, 48 plus log2 of the count."""
+    """How common the words of each of 2^16 hash buckets are among all words: one byte each, 48 plus the class.
+
+    The counts of all buckets reach the driver, half a megabyte whatever the table.
+    """
     words = docs.select(F.explode(F.split(F.col(f"`{text}`").cast("string"), SPACES)).alias("w")).filter("w <> ''")
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit((1 << _BUCKETS) - 1)).alias("id")).count()
-    size = F.floor(F.log2(F.coalesce("count", F.lit(0)) + 1)).cast("int")
-    every = docs.sparkSession.range(1 << _BUCKETS).join(counts, "id", "left")
-    parts = every.select("id", F.char(48 + F.least(size, F.lit(31))).alias("c")).groupBy(F.shiftright("id", 10).alias("part"))
-    rows = parts.agg(F.sort_array(F.collect_list(F.struct("id", "c"))).alias("all")).select("part", F.array_join("all.c", "").alias("line"))
-    return "".join(r["line"] for r in sorted(rows.collect())).encode()
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit((1 << _BUCKETS) - 1)).cast("int").alias("id")).count()
+    parts = counts.groupBy(F.shiftright("id", 10)).agg(F.collect_list(F.struct("id", "count")).alias("all"))
+    found = {id: n for row in parts.select("all").collect() for id, n in row["all"]}
+    total = sum(found.values())
+    # the largest c with n / total >= 2^(c - 27)
+    classes = [max(0, min(31, ((n << _LEAST_SHARE) // total).bit_length() - 1)) if n else 0 for n in (found.get(i, 0) for i in range(1 << _BUCKETS))]
+    return bytes(48 + c for c in classes)
 
 
 def _keys(line: Column, classes: bytes) -> Column:
@@ -92,20 +98,31 @@ def _few(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= MAX_BROADCAST_LINES else table
 
 
-def near_copies(sets: DataFrame) -> DataFrame:
+def near_copies(sets: DataFrame, threshold: float) -> DataFrame:
     """a, b: each set that has common words in its prefix, and the earliest ones with the same least hashes of it.
 
-    Other sets meet few others at any word of their prefix.
+    Other sets meet few others at any word of their prefix. Pairs that cannot be
+    similar by their sizes and sketches are left to the prefix join.
     """
     seeded = lambda i: lambda w: F.xxhash64(F.lit(i), w)
     least = [F.array_min(F.transform("prefix", seeded(i))) for i in range(12)]
-    hot = sets.filter(F.col("top") >= COMMON).select("set", "d", F.array(*least).alias("least"))
+    hot = sets.filter(F.col("top") >= COMMON).select("set", "d", "n", "sketch", F.array(*least).alias("least"))
     at = lambda i: F.get("least", F.lit(i))
     bands = [F.xxhash64(F.lit(i), at(i)) for i in range(4)] + [F.xxhash64(F.lit(i), at(i), at(i + 1)) for i in range(4, 12, 2)]
-    rows = stage(hot, {"least": F.col("least")}).select("set", "d", F.explode(F.array(*bands)).alias("band"))
+    rows = stage(hot, {"least": F.col("least")}).select("set", "d", "n", "sketch", F.explode(F.array(*bands)).alias("band"))
     # the least is found before the shuffle, and the join can split a band that very many sets share
-    first = rows.groupBy("band").agg(F.min(F.struct(F.col("d").isNull().alias("no_id"), "d", "set")).alias("first"))
-    return rows.join(first, "band").select(F.col("first.set").alias("a"), F.col("set").alias("b")).filter("a <> b").distinct()
+    earliest = F.min(F.struct(F.col("d").isNull().alias("no_id"), "d", "set", "n", "sketch")).alias("first")
+    first = rows.groupBy("band").agg(earliest, F.count("*").alias("members")).filter("members > 1")
+    first = first.select("band", F.col("first.set").alias("a"), F.col("first.n").alias("a_n"), F.col("first.sketch").alias("a_sketch"))
+    similar = _sizes_allow(F.col("n"), F.col("a_n"), F.col("sketch"), F.col("a_sketch"), threshold)
+    pairs = rows.alias("x").join(first.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("a") != F.col("set")) & similar)
+    return pairs.select("a", F.col("set").alias("b")).distinct()
+
+
+def _sizes_allow(nx: Column, ny: Column, sx: Column, sy: Column, t: float) -> Column:
+    """Whether sets of these sizes and sketches can be similar."""
+    apart = F.bit_count(sx.bitwiseXOR(sy))
+    return (F.least(nx, ny) + 1e-9 >= t * F.greatest(nx, ny)) & (apart * (1 + t) <= (1 - t) * (nx + ny) + 1e-9)
 
 
 _SETTLED, _PLACE = 1 << 60, (1 << 24) - 1
@@ -118,12 +135,8 @@ def _may_match(x: str, y: str, threshold: float) -> Column:
     size = lambda s: F.shiftright(at(s).bitwiseAND(F.lit(_SETTLED - 1)), 24)
     nx, ny = size(x), size(y)
     most = F.least(nx - at(x).bitwiseAND(F.lit(_PLACE)), ny - at(y).bitwiseAND(F.lit(_PLACE)))
-    apart = F.bit_count(F.col(f"{x}.sketch").bitwiseXOR(F.col(f"{y}.sketch")))
-    return (
-        (F.least(nx, ny) + 1e-9 >= t * F.greatest(nx, ny))
-        & (most * (1 + t) + 1e-9 >= t * (nx + ny))
-        & (apart * (1 + t) <= (1 - t) * (nx + ny) + 1e-9)
-    )
+    can_reach = most * (1 + t) + 1e-9 >= t * (nx + ny)
+    return can_reach & _sizes_allow(nx, ny, F.col(f"{x}.sketch"), F.col(f"{y}.sketch"), t)
 
 
 def similar_pairs(sets: DataFrame, settled: DataFrame, threshold: float) -> DataFrame:
@@ -173,7 +186,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     keep = docs.columns if keep is None else keep
     found = line_sets(docs, doc_id, text, threshold).select("first.*")
     sets = materialize(found.withColumn("set", F.monotonically_increasing_id()), "line-sets")
-    pairs = materialize(near_copies(sets), "line-copies")
+    pairs = materialize(near_copies(sets, threshold), "line-copies")
     settled = materialize(verified(docs, sets, pairs, doc_id, text, threshold), "settled-lines")
     pairs = materialize(similar_pairs(sets, settled, threshold), "line-pairs")
     later = materialize(settled.unionByName(verified(docs, sets, pairs, doc_id, text, threshold)).distinct(), "later-lines")
