@@ -8,10 +8,9 @@ Two sets that are similar share a word among their first few (prefix filter);
 where they meet, their sizes, the places of the shared word and a 64-bit sketch
 bound what they can share, and the pairs that remain are verified on all their words.
 
-Only whether an earlier match exists is asked, so near copies need not all meet: a
-set whose prefix reaches into common words is first compared with the earliest sets
-that agree on the least hashes of the prefix, and two sets that this settles no
-longer meet.
+Only whether an earlier match exists is asked, so near copies need not all meet: each
+set is first compared with the earliest sets that agree on the least hashes of its
+prefix, and two sets that this settles no longer meet.
 """
 
 from __future__ import annotations
@@ -27,8 +26,6 @@ _BUCKETS = 16
 _HASH_BITS = 58
 #: A class is the logarithm of a bucket's share of all words, from 2^-27 on.
 _LEAST_SHARE = 27
-#: Buckets that hold a 2^-14th of all words or more, four times the average, are common: a share, so the same sets at every size.
-COMMON = _LEAST_SHARE - 14
 MAX_BROADCAST_LINES = 500_000
 
 
@@ -86,7 +83,6 @@ def line_sets(docs: DataFrame, doc_id: str, text: str, threshold: float) -> Data
             "no",
             n.alias("n"),
             sketch.alias("sketch"),
-            F.shiftright(F.get("keys", prefix - 1), _HASH_BITS).cast("int").alias("top"),
             F.transform(F.slice("keys", 1, prefix), lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("prefix"),
         ).alias("first"),
     )
@@ -99,17 +95,18 @@ def _few(table: DataFrame) -> DataFrame:
 
 
 def near_copies(sets: DataFrame, threshold: float) -> DataFrame:
-    """a, b: each set that has common words in its prefix, and the earliest ones with the same least hashes of it.
+    """a, b: each set and the earliest ones that agree on least hashes of its prefix.
 
-    Other sets meet few others at any word of their prefix. Pairs that cannot be
-    similar by their sizes and sketches are left to the prefix join.
+    Near copies agree on some of them, so nearly all of a group is compared with
+    a few sets each, and what that settles need not meet any more. Pairs that
+    cannot be similar by their sizes and sketches are left to the prefix join.
     """
     seeded = lambda i: lambda w: F.xxhash64(F.lit(i), w)
-    least = [F.array_min(F.transform("prefix", seeded(i))) for i in range(12)]
-    hot = sets.filter(F.col("top") >= COMMON).select("set", "d", "n", "sketch", F.array(*least).alias("least"))
+    least = F.array(*[F.array_min(F.transform("prefix", seeded(i))) for i in range(8)])
     at = lambda i: F.get("least", F.lit(i))
-    bands = [F.xxhash64(F.lit(i), at(i)) for i in range(4)] + [F.xxhash64(F.lit(i), at(i), at(i + 1)) for i in range(4, 12, 2)]
-    rows = stage(hot, {"least": F.col("least")}).select("set", "d", "n", "sketch", F.explode(F.array(*bands)).alias("band"))
+    bands = [F.xxhash64(F.lit(i), at(i)) for i in range(4)] + [F.xxhash64(F.lit(i), at(i), at(i + 1)) for i in range(4, 8, 2)]
+    rows = stage(sets.select("set", "d", "n", "sketch", "prefix"), {"least": least}).drop("prefix")
+    rows = rows.select("set", "d", "n", "sketch", F.explode(F.array(*bands)).alias("band"))
     # the least is found before the shuffle, and the join can split a band that very many sets share
     earliest = F.min(F.struct(F.col("d").isNull().alias("no_id"), "d", "set", "n", "sketch")).alias("first")
     first = rows.groupBy("band").agg(earliest, F.count("*").alias("members")).filter("members > 1")
@@ -157,6 +154,17 @@ def similar_pairs(sets: DataFrame, settled: DataFrame, threshold: float) -> Data
     return entry.alias("x").join(entry.alias("y"), meet).select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
 
 
+#: Longs of the sketch that pairs are tried by before their words are.
+_WIDE = 4
+
+
+def _sketch(words: str, part: int) -> Column:
+    """64 of the sketch's bits: each of a set's words flips one bit of the whole sketch."""
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
+    mine = F.filter(F.col(words), lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(_WIDE - 1)) == part)
+    return F.aggregate(mine, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(bit(k)))
+
+
 def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
     """set: of each pair that is similar, the one whose first line comes later."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
@@ -168,7 +176,13 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, doc_id: str, te
     )
     # words as 64-bit hashes: a line is compared by all its words, at a third of their bytes
     words = F.array_distinct(F.transform(F.array_remove(F.split("line", SPACES), ""), lambda w: F.xxhash64(w)))
-    texts = materialize(lines.select("set", "place", words.alias("words")).dropDuplicates(["set"]), "lines-verified")
+    texts = stage(lines.select("set", "place", words.alias("words")).dropDuplicates(["set"]), {"words": F.col("words")})
+    texts = materialize(texts.withColumn("wide", F.array(*[_sketch("words", i) for i in range(_WIDE)])), "lines-verified")
+    # most pairs fall to a wider sketch, before their words travel
+    x, y = (texts.select(F.col("set").alias(s), F.col("wide").alias(f"{s}_wide"), F.size("words").alias(f"{s}_n")) for s in "ab")
+    apart = sum((F.bit_count(F.get("a_wide", F.lit(i)).bitwiseXOR(F.get("b_wide", F.lit(i)))) for i in range(_WIDE)), F.lit(0))
+    close = apart * (1 + threshold) <= (1 - threshold) * (F.col("a_n") + F.col("b_n")) + 1e-9
+    pairs = pairs.join(x, "a").join(y, "b").filter(close).select("a", "b")
     x, y = (texts.select(F.col("set").alias(s), F.col("place").alias(f"{s}_place"), F.col("words").alias(f"{s}_words")) for s in "ab")
     both = stage(pairs.join(x, "a").join(y, "b"), {"shared": F.size(F.array_intersect("a_words", "b_words"))})
     alike = F.col("shared") + 1e-9 >= threshold * (F.size("a_words") + F.size("b_words") - F.col("shared"))
