@@ -135,6 +135,11 @@ def test_simhash(docs, empty):
     stay = [r for r in got if r["stays"]]
     assert len(stay) == len(set(groups)) and all(r["doc_id"] == r["component_id"] for r in stay)
     assert simhash.near_duplicates(empty).count() == 0
+    odd = docs.withColumnsRenamed({"doc_id": "a.b", "lang": "first", "source": "component", "k0": "simhash_bits", "set": "node"})
+    names = ["a.b", "first", "component", "simhash_bits", "node"]
+    clash = simhash.near_duplicates(odd, "a.b", keep=names)
+    assert clash.columns == [*names, "fingerprint", "component_id", "stays"] and clash.count() == len(got)
+    assert packing.pack(odd, word_tokenizer(), "a.b").columns[0] == "a.b"
 
 
 @pytest.mark.parametrize("size", [300, 6000])

@@ -170,7 +170,7 @@ def pack(
 
         return run
 
-    made = materialize(docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(first_pass, schema), "packed")
+    made = materialize(docs.select(F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(first_pass, schema), "packed")
     done = [made.filter("ids is null")]
     left = made.filter("ids is not null")
     group = F.shiftright("sequence_id", _LOCAL).bitwiseAND(F.lit((1 << _GROUP) - 1))

@@ -66,7 +66,7 @@ def text_fingerprints(column: pa.Array, shingle: int = 3) -> np.ndarray:
 def with_fingerprints(df: DataFrame, text: str = "text", keep: list[str] | None = None, shingle: int = 3) -> DataFrame:
     """The kept columns and ``simhash_bits``, the fingerprint as a signed long. A null text has no words: zero."""
     keep = df.columns if keep is None else keep
-    columns = [F.col(c).alias(f"c{i}") for i, c in enumerate(keep)]
+    columns = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
     schema = T.StructType(
         [T.StructField(f"c{i}", df.schema[c].dataType) for i, c in enumerate(keep)] + [T.StructField("simhash_bits", T.LongType())]
     )
@@ -76,7 +76,7 @@ def with_fingerprints(df: DataFrame, text: str = "text", keep: list[str] | None
             values = text_fingerprints(part.column("t"), shingle).view(np.int64)
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(values)], schema.names)
 
-    return df.select(*columns, F.col(text).cast("string").alias("t")).mapInArrow(run, schema).toDF(*keep, "simhash_bits")
+    return df.select(*columns, F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(run, schema).toDF(*keep, "simhash_bits")
 
 
 def _neighbours(bits: int, most: int) -> np.ndarray:
@@ -161,12 +161,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ``component_id``: the smallest id reachable over links, itself included
     (null ids are larger than all others). One row of a component stays: that
     of the smallest id, of several the first as they were read. Texts without
-    words have fingerprint zero and link like any other.
+    words have fingerprint zero and link like any other. A kept column named as
+    one of the three new ones is left out.
     """
-    keep = [doc_id] if keep is None else keep
-    tagged = with_fingerprints(docs, text, keep).withColumn("simhash_row", F.monotonically_increasing_id())
+    keep = [c for c in ([doc_id] if keep is None else keep) if c not in ("fingerprint", "component_id", "stays")]
+    # kept columns go by numbers inside, so that no name clashes and none needs quotes
+    names = [f"k{i}" for i in range(len(keep))]
+    plain = docs.select(
+        *[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")
+    )
+    tagged = with_fingerprints(plain, "text", [*names, "id"]).withColumn("simhash_row", F.monotonically_increasing_id())
     tagged = materialize(tagged, "fingerprints")
-    least = F.min(F.struct(F.col(doc_id).isNull().alias("no"), F.col(doc_id).alias("id"), F.col("simhash_row").alias("row")))
+    least = F.min(F.struct(F.col("id").isNull().alias("no"), "id", F.col("simhash_row").alias("row")))
     prints = materialize(tagged.groupBy("simhash_bits").agg(least.alias("least")), "distinct-fingerprints")
     linked = components(fingerprint_links(prints, most=most))
     classes = prints.join(linked, F.col("simhash_bits") == F.col("node"), "left").select(
@@ -175,7 +181,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = classes.groupBy("component").agg(F.min("least").alias("first"))
     named = classes.join(first, "component").select("simhash_bits", "first")
     return tagged.join(named, "simhash_bits").select(
-        *keep,
+        *[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)],
         F.lower(F.lpad(F.hex("simhash_bits"), 16, "0")).alias("fingerprint"),
         F.col("first.id").alias("component_id"),
         (F.col("first.row") == F.col("simhash_row")).alias("stays"),
