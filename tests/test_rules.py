@@ -21,6 +21,7 @@ from tidemark.operators import monitoring as M
 from tidemark.operators.news import classify
 from tidemark.operators.skew import lookup_join
 from tidemark.plans import daily
+from tidemark.plans import fixtures as X
 
 
 def values(spark, *columns):
@@ -67,7 +68,7 @@ def test_impossible_and_far_dates_are_unknown(spark):
         parse("soon")["warning"],
     )
     assert got[:3] == ("unknown", "unknown", "month")
-    assert got[3] == dt.datetime(2026, 10, 1, 22, 59) and got[4] is None and "unrecognised" in got[5]
+    assert got[3] == dt.datetime(2026, 10, 1, 22, 59) and got[4] is None and got[5] == "not a date layout: soon"
 
 
 def test_clock_change(spark):
@@ -209,22 +210,18 @@ def test_weights_are_pinned():
 
 
 def test_news_over_the_days_cap_is_counted(spark):
-    from tidemark.plans import fixtures as X
-    from tidemark.plans import news_queries, obligation_queries
-    from tidemark.operators import obligations as O
+    from tidemark.plans import digest_queries, news_queries
 
     sf = "/root/testdata/sf0.001"
-    built = obligation_queries._built(spark, sf).drop("cycles", "cycle")
-    gated = O.status_gate(X.programs(spark, sf), X.CLOCK)
-    ranked = news_queries._ranked(spark, sf).drop("lane_scores", "scorable", "stripped")
-    news = ranked.drop(*[c for c in ranked.columns if c.startswith("_")]).withColumn("drop_reason", F.when(F.col("drop_reason") != "below-threshold", F.col("drop_reason"))).cache()
-    n, kept = news.count(), news.filter("drop_reason IS NULL").count()
-    assert kept > WEIGHTS.max_items_per_day
-    out = daily.assemble(built, gated, news, X.CLOCK)
-    stats = out["stats"].collect()[0]
-    assert stats.dropped["over-cap"] == kept - WEIGHTS.max_items_per_day
-    assert stats.fetched == gated.count() + n
-    assert out["items"].filter("kind = 'news'").count() == WEIGHTS.max_items_per_day
+    keep_all = F.when(F.col("drop_reason") != "below-threshold", F.col("drop_reason"))
+    items = digest_queries._collected(spark, sf).cache()
+    obligations = digest_queries._obligations(spark, sf)
+    best, counts = daily.news_half(items, lambda rows: news_queries.rank(rows).withColumn("drop_reason", keep_all))
+    day = daily.assemble(spark, obligations, (best, counts), X.CLOCK)
+    stats = day.parts["stats"].collect()[0]
+    assert stats.dropped["over-cap"] > 0 and counts["kept"] == WEIGHTS.max_items_per_day
+    assert stats.fetched == obligations[1]["rows"] + items.count() == stats.kept + sum(stats.dropped.values())
+    assert day.parts["items"].filter("kind = 'news'").count() == WEIGHTS.max_items_per_day
 
 
 def test_source_health_keeps_every_warning_in_order(spark):
