@@ -244,8 +244,10 @@ def test_line_dedup(docs, empty):
 
 def test_near_copies_take_the_earliest_set_without_sorting_a_band(spark):
     rows = [(10, 7, [1, 2]), (11, 3, [1, 2]), (12, None, [1, 2]), (13, 3, [1, 2]), (14, None, [8, 9]), (15, 5, [8, 9]), (16, 1, [5])]
-    table = [(s, d, line_dedup.COMMON, p) for s, d, p in rows]
-    got = line_dedup.near_copies(spark.createDataFrame(table, "set long, d long, top int, prefix array<int>"))
+    table = [(s, d, len(p), 0, p) for s, d, p in rows]
+    # the same prefix and a size or a sketch that cannot be similar
+    table += [(17, 9, 40, 0, [1, 2]), (18, 9, 2, 255, [1, 2])]
+    got = line_dedup.near_copies(spark.createDataFrame(table, "set long, d long, n int, sketch long, prefix array<int>"), 0.8)
     assert sorted(map(tuple, got.collect())) == [(11, 10), (11, 12), (11, 13), (15, 14)]
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
 
