@@ -59,6 +59,11 @@ def test_ledgers_answer_by_cycle_and_keep_every_match(spark, small_tables):
     ]
 
 
+def test_delivered_rungs_are_made_once_for_the_upsert(spark, small_tables):
+    plan = _plan(Q.rung_ledger_upsert(spark, small_tables))
+    assert "rungs-delivered" in plan and "lineitem.parquet" not in plan
+
+
 def test_instant_alone_is_the_parsed_instant(spark):
     days = ["2024-03-01", " 2024-03-01 ", "2024-02-30", "2024-03", "2024-13", "2024-3-1", "2040-01-01", "", None, "soon", "2024-03-01\n"]
     times = ["17:00", " 9:30 ", "24:00", "9", "", " ", None]
