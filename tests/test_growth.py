@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates as D
+from tidemark.operators import calendar as C
 from tidemark.operators import obligations as O
 from tidemark.plans import fixtures as X
 from tidemark.plans import obligation_queries as Q
@@ -64,6 +65,19 @@ def test_delivered_rungs_are_made_once_for_the_upsert(spark, small_tables):
     assert "rungs-delivered" in plan and "lineitem.parquet" not in plan
 
 
+def test_calendar_problems_make_the_events_once(spark):
+    rows = [("a", "day"), ("a", "day"), ("b", "unknown"), ("b", "unknown"), ("c", "day"), (None, "day"), (None, None)]
+    events = spark.createDataFrame(rows, "uid string, precision string")
+    found = C.calendar_problems(events)
+    assert sorted(map(tuple, found.collect()), key=str) == [
+        ("duplicate-uid", "a", "2"), ("duplicate-uid", "b", "2"), ("duplicate-uid", None, "2"),
+        ("unknown-precision", "b", "cannot be placed"), ("unknown-precision", "b", "cannot be placed"),
+    ]
+    assert [tuple(r) for r in C.calendar_problems(events.limit(0)).collect()] == [("no-events", "calendar", "zero events")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 2 and "LocalLimit 1" in plan
+
+
 def test_instant_alone_is_the_parsed_instant(spark):
     days = ["2024-03-01", " 2024-03-01 ", "2024-02-30", "2024-03", "2024-13", "2024-3-1", "2040-01-01", "", None, "soon", "2024-03-01\n"]
     times = ["17:00", " 9:30 ", "24:00", "9", "", " ", None]
