@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates as D
+from tidemark.operators import boilerplate as B
 from tidemark.operators import calendar as C
 from tidemark.operators import obligations as O
+from tidemark.operators.skew import lookup_join
 from tidemark.plans import fixtures as X
 from tidemark.plans import obligation_queries as Q
 
@@ -89,3 +91,33 @@ def test_instant_alone_is_the_parsed_instant(spark):
         )
         assert both.filter("NOT a <=> b").count() == 0
         assert both.filter("a IS NOT NULL").count() > 0
+
+
+@pytest.fixture()
+def shuffled(spark):
+    """Joins are planned as for large tables, and partitions stay as they were dealt."""
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for key, value in keys.items():
+        spark.conf.set(key, value)
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_lookup_join_scatters_heavy_and_null_keys(spark, shuffled):
+    left = spark.range(400).select("id", F.when(F.col("id") % 2 == 0, "heavy").alias("k"))
+    right = spark.createDataFrame([("heavy", 200, "x"), ("rare", 1, "y")], "k string, n long, v string")
+    got = lookup_join(left, right, ["k"], "n", F.col("id"))
+    assert {(r.k, r.v) for r in got.select("k", "v").distinct().collect()} == {("heavy", "x"), (None, None)}
+    tasks = got.select("k", F.spark_partition_id().alias("task")).groupBy("k").agg(F.countDistinct("task").alias("n"), F.count("*").alias("rows"))
+    assert {(r.k, r.n, r.rows) for r in tasks.collect()} == {("heavy", 8, 200), (None, 8, 200)}
+
+
+def test_items_of_a_source_without_boilerplate_are_spread(spark, shuffled):
+    body = F.concat(F.lit("A sentence of this one item and of no other, number "), F.col("id").cast("string"), F.lit("."))
+    items = spark.range(200).select(F.col("id").cast("string").alias("item_id"), F.lit("s").alias("source_id"), body.alias("body"))
+    items = items.unionByName(items.select("item_id", F.lit(None).cast("string").alias("source_id"), "body"))
+    out = B.strip_boilerplate(B.with_sentences(items))
+    assert out.filter("stripped <=> body").count() == 400
+    tasks = out.select("source_id", F.spark_partition_id().alias("task")).groupBy("source_id").agg(F.countDistinct("task").alias("n"))
+    assert {(r.source_id, r.n) for r in tasks.collect()} == {("s", 8), (None, 8)}

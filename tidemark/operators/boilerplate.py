@@ -28,8 +28,17 @@ def with_sentences(items: DataFrame, body: str = "body", min_chars: int = MIN_SE
     ).drop("_raw")
 
 
+def _sizes(items: DataFrame) -> DataFrame:
+    return items.groupBy("source_id").agg(F.count("*").alias("source_items"))
+
+
+def _of_every_source(items: DataFrame, found: DataFrame) -> DataFrame:
+    """What was found, and a row of nulls for each source without it: ``lookup_join`` spreads only keys that it knows."""
+    return _sizes(items).join(found, "source_id", "left")
+
+
 def _thresholds(items: DataFrame, fraction: float, min_items: int) -> DataFrame:
-    sizes = items.groupBy("source_id").agg(F.count("*").alias("source_items"))
+    sizes = _sizes(items)
     needed = F.greatest(F.lit(2), F.ceil(F.col("source_items") * fraction))
     return sizes.filter(F.col("source_items") >= min_items).withColumn("needed", needed)
 
@@ -58,7 +67,7 @@ def _bucket(digest: Column) -> Column:
 
 
 def possible_buckets(items: DataFrame, limits: DataFrame) -> DataFrame:
-    """``(source_id, buckets, source_items)``: buckets of digests whose sentences can be frequent enough, per source.
+    """``(source_id, buckets)``: buckets of digests whose sentences can be frequent enough, per source.
 
     A bucket counts all its sentences together, so it reaches the threshold if
     one of them does. What other sentences put into a bucket is (sentences per
@@ -68,7 +77,7 @@ def possible_buckets(items: DataFrame, limits: DataFrame) -> DataFrame:
     rows = items.select("source_id", F.explode(F.transform(_distinct(F.col("sentences")), _bucket)).alias("bucket"))
     counts = rows.groupBy("source_id", "bucket").agg(F.count("*").alias("n"))
     reached = counts.join(limits, "source_id").filter("n >= needed")
-    return reached.groupBy("source_id").agg(F.collect_list("bucket").alias("buckets"), F.max("source_items").alias("source_items"))
+    return reached.groupBy("source_id").agg(F.collect_list("bucket").alias("buckets"))
 
 
 def find_boilerplate(items: DataFrame, fraction: float = REPEAT_FRACTION, min_items: int = MIN_ITEMS, row_id: str = "item_id") -> DataFrame:
@@ -77,7 +86,8 @@ def find_boilerplate(items: DataFrame, fraction: float = REPEAT_FRACTION, min_it
     Sentences are exactly counted only where their bucket reaches the threshold.
     """
     limits = _thresholds(items, fraction, min_items)
-    known = lookup_join(items.select(row_id, "source_id", "sentences"), possible_buckets(items, limits), ["source_id"], "source_items", F.col(row_id))
+    buckets = _of_every_source(items, possible_buckets(items, limits))
+    known = lookup_join(items.select(row_id, "source_id", "sentences"), buckets, ["source_id"], "source_items", F.col(row_id))
     possible = F.filter("sentences", lambda s: F.array_contains(F.col("buckets"), _bucket(s["h"])))
     found = sentence_counts(known.select("source_id", possible.alias("sentences")).filter(F.size("sentences") > 0))
     return found.filter("n >= 2").join(limits, "source_id").filter("n >= needed").select("source_id", "a", "b", "n", "source_items")
@@ -117,9 +127,9 @@ def strip_boilerplate(
     per_source = (
         find_boilerplate(items, fraction, min_items, row_id)
         .groupBy("source_id")
-        .agg(F.collect_list(F.struct("a", "b")).alias("boiler"), F.max("source_items").alias("source_items"))
+        .agg(F.collect_list(F.struct("a", "b")).alias("boiler"))
     )
-    joined = lookup_join(items, per_source, ["source_id"], "source_items", F.col(row_id))
+    joined = lookup_join(items, _of_every_source(items, per_source), ["source_id"], "source_items", F.col(row_id))
     kept = F.filter("sentences", lambda s: ~F.array_contains(F.col("boiler"), s["h"]))
     text = F.trim(F.array_join(F.transform(kept, lambda s: s["text"]), " "))
     return joined.withColumn("stripped", F.when(F.col("boiler").isNull(), F.col("body")).otherwise(text)).drop("boiler")

@@ -22,7 +22,9 @@ def lookup_join(
     heaviest keys are broadcast, a bounded number of rows; every other key goes
     through an ordinary shuffle join. Left rows already answered by the
     broadcast are given a key of their own (``spread``) so they scatter over
-    the shuffle instead of meeting in one task.
+    the shuffle instead of meeting in one task, and so are rows with a null
+    key. Rows whose key ``right`` lacks meet by that key: a key that many left
+    rows may have belongs into ``right``, with null values.
     """
     values = [c for c in right.columns if c not in key and c != weight]
     hot = right.orderBy(F.col(weight).desc(), *key).limit(max_hot)
@@ -33,8 +35,11 @@ def lookup_join(
         hot_match = one if hot_match is None else hot_match & one
     marked = left.join(F.broadcast(hot), hot_match, "left")
     cold = F.col(f"_hot_{key[0]}").isNull()
-    marked = marked.withColumn("_spread", F.when(cold, F.lit(-1).cast("long")).otherwise(F.xxhash64(spread)))
-    rest = right.select(*key, F.lit(-1).cast("long").alias("_spread"), *[F.col(v).alias(f"_cold_{v}") for v in values])
+    for k in key:
+        cold = cold & F.col(k).isNotNull()
+    # a constant on the right would be moved into the join's condition, and the rows would meet by the key alone
+    marked = marked.withColumn("_spread", F.when(cold, F.xxhash64(*key)).otherwise(F.xxhash64(spread)))
+    rest = right.select(*key, F.xxhash64(*key).alias("_spread"), *[F.col(v).alias(f"_cold_{v}") for v in values])
     joined = marked.join(rest, [*key, "_spread"], "left")
     return joined.select(
         *[F.col(f"`{c}`") for c in left.columns],
