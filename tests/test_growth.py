@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates as D
+from tidemark.functions.text import title_key
 from tidemark.operators import boilerplate as B
 from tidemark.operators import calendar as C
+from tidemark.operators import news as N
 from tidemark.operators import obligations as O
 from tidemark.operators.skew import lookup_join
 from tidemark.plans import fixtures as X
@@ -121,3 +123,29 @@ def test_items_of_a_source_without_boilerplate_are_spread(spark, shuffled):
     assert out.filter("stripped <=> body").count() == 400
     tasks = out.select("source_id", F.spark_partition_id().alias("task")).groupBy("source_id").agg(F.countDistinct("task").alias("n"))
     assert {(r.source_id, r.n) for r in tasks.collect()} == {("s", 8), (None, 8)}
+
+
+def test_title_key_cleans_the_first_words_only(spark):
+    titles = [
+        "", " ", None, "One", "  a-b  c\td  é e f' g h i j k", "ÉCOLE K ß x", "!! ?? a !! b", "a b c d e f g h", "a b c d e f g h i",
+        "-a- .b. ,c, d\ne f g h i j k l", "İstanbul 1 2 3 4 5 6 7 8 9", " ".join("w%d !" % i for i in range(30)), "日本 語 a",
+    ]
+    df = spark.createDataFrame([(t,) for t in titles], "title string")
+    plain = F.regexp_replace(F.lower("title"), "[^a-z0-9 ]", "")
+    whole = F.array_join(F.slice(F.filter(F.split(plain, r"\s+"), lambda t: t != ""), 1, 8), " ")
+    rows = df.select(title_key(F.col("title")).alias("key"), whole.alias("whole"))
+    assert rows.filter("NOT key <=> whole").count() == 0
+    assert "{0,8}" in _plan(rows.select("key"))
+
+
+def test_event_rules_run_where_their_words_are(spark):
+    texts = [
+        "Raises  $3m", "RAISE $1", "series D", "series e", "Financing", "refinancing", "seed round", "Acquired", "acquire", "to buy", "into buys",
+        "FDA CLEARS it", "fda clearing", "approvals", "Approved", "met the primary", "missed the primary", "the primary", "Topline", "", None,
+    ]
+    df = spark.createDataFrame([(k, t, b) for k in ("jobs", "news") for t in texts for b in ("x", "buy a K", None, "a merger")], "source_kind string, title string, body string")
+    text = F.concat(F.col("title"), F.lit(" "), F.coalesce("body", F.lit("")))
+    plain = F.array_compact(F.array(F.when(F.col("source_kind") == "jobs", "personnel"), *[F.when(text.rlike("(?i)" + r), n) for n, r, _ in N.EVENT_RULES]))
+    rows = df.select(N.detect_events().alias("events"), plain.alias("plain"))
+    assert rows.filter("NOT events <=> plain").count() == 0
+    assert "contains(" in _plan(rows.select("events")).lower()
