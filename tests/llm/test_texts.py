@@ -157,6 +157,18 @@ def brute_removed(rows, min_words):
     return out
 
 
+def test_windows_of_passages_are_written_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(passages, "materialize", lambda df, name: (written.append((name, df.columns)), df)[1])
+    shared = " ".join("w%d" % i for i in range(60))
+    rows = [(2, "a " + shared), (1, shared + " b"), (None, "c d " + shared), (3, "e f")]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    # the null id is no earlier document, and has none before it
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, 0, 60, 0), (2, 1, 60, 11), (None, 2, 60, 0)]
+    assert [n for n, _ in written] == ["suffixes", "candidate-suffixes", "candidate-windows"]
+    assert written[-1][1] == ["h", "doc", "id", "pos"]
+
+
 def test_removal_of_passages(spark, empty):
     r = random.Random(12)
     make = lambda n: " ".join("w%d" % r.randrange(5000) for _ in range(n))

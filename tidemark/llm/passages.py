@@ -72,7 +72,9 @@ def repeated_suffixes(table: DataFrame) -> DataFrame:
 
 
 def candidate_windows(keyed: DataFrame, candidates: DataFrame, min_words: int, width: int) -> DataFrame:
-    """h, doc, pos: the windows of which a candidate can be the first minimiser."""
+    """h, doc, id where the documents have it, pos: the windows of which a candidate can be the first minimiser."""
+    own = [f for f in keyed.schema if f.name in ("doc", "id")]
+    schema = T.StructType([T.StructField("h", T.LongType()), *own, T.StructField("pos", T.IntegerType())])
     places = candidates.groupBy("doc").agg(F.collect_list("pos").alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,12 +90,12 @@ def candidate_windows(keyed: DataFrame, candidates: DataFrame, min_words: int, w
             begin = np.flatnonzero(np.cumsum(wanted[:-1]) > 0)
             begin = begin[begin + min_words <= X.row_ends(first)[begin]]
             doc = np.searchsorted(first, begin, "right") - 1
+            taken = [part.column(f.name).take(pa.array(doc)) for f in own]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(windows[begin].view(np.int64)), part.column("doc").take(pa.array(doc)), pa.array(begin - first[doc], pa.int32())],
-                ["h", "doc", "pos"],
+                [pa.array(windows[begin].view(np.int64)), *taken, pa.array(begin - first[doc], pa.int32())], schema.names
             )
 
-    return keyed.join(places, "doc").select("doc", "text", "places").mapInArrow(run, "h long, doc long, pos int")
+    return keyed.join(places, "doc").select(*[f.name for f in own], "text", "places").mapInArrow(run, schema)
 
 
 def repeated_passages(
@@ -115,9 +117,8 @@ def repeated_passages(
     keyed_once = keyed.select("doc", "text")
     table = materialize(suffixes(keyed_once, min_words, k, width).distinct(), "suffixes")
     candidates = materialize(repeated_suffixes(table), "candidate-suffixes")
-    windows = materialize(candidate_windows(keyed_once, candidates, min_words, width), "candidate-windows")
-    ids = materialize(windows.select("doc").distinct().join(keyed.select("doc", "id"), "doc").distinct(), "passage-documents")
-    return passages_of(windows, ids, doc_id, min_words)
+    windows = materialize(candidate_windows(keyed, candidates, min_words, width), "candidate-windows")
+    return passages_of(windows, doc_id, min_words)
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -203,14 +204,14 @@ def without_repeats(
     return joined.mapInArrow(run, schema).withColumnRenamed("id", doc_id)
 
 
-def passages_of(windows: DataFrame, ids: DataFrame, doc_id: str, min_words: int) -> DataFrame:
-    """Join windows that two documents hold to passages."""
-    known = windows.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a <> b").select("h")
-    held = materialize(windows.join(known, "h").distinct(), "repeated-windows")
-    first = held.join(ids, "doc").groupBy("h").agg(F.min("id").alias("first"))
-    marked = held.join(first, "h").join(ids, "doc").select("doc", "id", "pos", (F.col("first") < F.col("id")).alias("seen"))
+def passages_of(windows: DataFrame, doc_id: str, min_words: int) -> DataFrame:
+    """Join windows (h, doc, id, pos) that two documents hold to passages."""
+    # windows bring their document's id, so that they travel by their hash once
+    known = windows.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.min("id").alias("first")).filter("a <> b").select("h", "first")
+    held = windows.join(known, "h").select("h", "doc", "id", "pos", (F.col("first") < F.col("id")).alias("seen"))
+    marked = held.distinct().select("doc", "id", "pos", "seen")
 
-    kind = ids.schema["id"].dataType
+    kind = windows.schema["id"].dataType
     schema = T.StructType(
         [T.StructField("id", kind)] + [T.StructField(c, T.LongType()) for c in ("start", "n_words", "n_seen_before")]
     )
