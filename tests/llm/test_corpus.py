@@ -308,6 +308,26 @@ def test_odd_texts_have_the_ids_of_the_tokenizer():
             assert ids[low:high].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids, t
 
 
+def test_words_of_letters_are_encoded_without_marks(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from tidemark.llm.tokens import MARK, WordEncoder
+
+    encoder, tokenizer = WordEncoder(word_tokenizer(), per_call=3), Tokenizer.from_file(word_tokenizer())
+    calls, run = [], encoder._run
+    monkeypatch.setattr(encoder, "_run", lambda rows: (calls.extend(rows), run(rows))[1])
+    texts = ["Plain words of letters, " + "q" * 300, "don't 12 plain of new wordsss"]
+    ids, bounds = encoder.encode(pa.array(texts))
+    for t, low, high in zip(texts, bounds, bounds[1:]):
+        assert ids[low:high].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    assert "plain words of" in calls and not any(MARK in c for c in calls if "letters" in c)
+    # a tokenizer whose tokens do not tell a word's end gets marks
+    encoder = WordEncoder(word_tokenizer())
+    encoder.ends = np.zeros_like(encoder.ends)
+    assert encoder.encode(pa.array(texts))[0].tolist() == ids.tolist()
+
+
 def test_pipeline(spark, tmp_path):
     got = corpus_pipeline.run(spark, SF)
     docs = spark.read.parquet(f"{SF}/documents.parquet")

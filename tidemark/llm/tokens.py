@@ -2,8 +2,9 @@
 
 The pre-tokenizer of the word-level file never lets a token reach over white
 space, so the ids of a text are those of its words in order. Words repeat, so a
-batch is split into distinct words; those not seen before are encoded together,
-joined by a mark, in calls of the tokenizers library.
+batch is split into distinct words; those not seen before are encoded together
+in calls of the tokenizers library. Words of ASCII letters alone are joined by
+spaces where the tokenizer's tokens tell a word's end, all others by a mark.
 """
 
 from __future__ import annotations
@@ -43,6 +44,12 @@ class WordEncoder:
         self.cache_words, self.per_call = cache_words, per_call
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        suffix, vocab = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab()
+        #: By id: whether a token ends a word. None where the tokens do not tell.
+        self.ends = None
+        if suffix and vocab:
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
         self._reset()
 
     def _reset(self) -> None:
@@ -52,12 +59,14 @@ class WordEncoder:
         self.lengths = np.zeros(1 << 14, np.int64)
         self.used = 0
 
+    def _run(self, rows: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)]
+
     def _encode(self, words: list[str]) -> list[list[int]]:
-        run = lambda rows: [e.ids for e in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)]
         plain = [i for i, w in enumerate(words) if self.mark is not None and MARK not in w]
         out: list[list[int]] = [[]] * len(words)
         groups = [plain[i : i + self.per_call] for i in range(0, len(plain), self.per_call)]
-        for group, ids in zip(groups, run([f" {MARK} ".join(words[i] for i in g) for g in groups]), strict=True):
+        for group, ids in zip(groups, self._run([f" {MARK} ".join(words[i] for i in g) for g in groups]), strict=True):
             ids = np.array(ids, np.uint32)
             cuts = [-1, *np.flatnonzero(ids == self.mark).tolist(), len(ids)]
             if len(cuts) != len(group) + 1:
@@ -65,23 +74,42 @@ class WordEncoder:
             for i, low, high in zip(group, cuts, cuts[1:], strict=False):
                 out[i] = ids[low + 1 : high]
         rest = sorted(set(range(len(words))) - set(plain))
-        for i, ids in zip(rest, run([words[i] for i in rest]), strict=True):
+        for i, ids in zip(rest, self._run([words[i] for i in rest]), strict=True):
             out[i] = ids
         return out
 
+    def _by_ends(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of words of ASCII letters, one after the other, and each word's number; None if ends do not tell."""
+        groups = [b" ".join(words[i : i + self.per_call]).decode() for i in range(0, len(words), self.per_call)]
+        rows = [np.array(ids, np.uint32) for ids in self._run(groups)]
+        # each word is one run of letters, so it has one end: a group with another number of ends is not read by them
+        counts = [int(np.count_nonzero(self.ends[r])) if len(r) and self.ends[r[-1]] else 0 for r in rows]
+        if counts != [len(words[i : i + self.per_call]) for i in range(0, len(words), self.per_call)]:
+            return None
+        ids = np.concatenate(rows)
+        return ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+
     def _learn(self, words: list[bytes]) -> None:
+        if self.ends is not None:
+            letters = [w for w in words if w.isalpha()]
+            if letters and (found := self._by_ends(letters)) is not None:
+                self._keep(letters, *found)
+                words = [w for w in words if not w.isalpha()]
+        if not words:
+            return
         encoded = self._encode([w.decode("utf-8", "replace") for w in words])
-        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        self._keep(words, np.concatenate([np.asarray(e, np.uint32) for e in encoded]), np.fromiter(map(len, encoded), np.int64, len(encoded)))
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
         first, n = len(self.known), len(self.known) + len(words)
-        total = self.used + int(lengths.sum())
+        total = self.used + len(ids)
         if n > len(self.starts):
             self.starts, self.lengths = (np.resize(a, 2 * n) for a in (self.starts, self.lengths))
         if total > len(self.ids):
             self.ids = np.resize(self.ids, 2 * total)
         self.starts[first:n] = self.used + np.cumsum(lengths) - lengths
         self.lengths[first:n] = lengths
-        if len(encoded):
-            self.ids[self.used : total] = np.concatenate([np.asarray(e, np.uint32) for e in encoded])
+        self.ids[self.used : total] = ids
         self.used = total
         self.known.update(zip(words, range(first, n), strict=True))
 
