@@ -328,6 +328,25 @@ def test_words_of_letters_are_encoded_without_marks(monkeypatch):
     assert encoder.encode(pa.array(texts))[0].tolist() == ids.tolist()
 
 
+def test_words_of_latin_letters_are_encoded_without_marks(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from tidemark.llm.tokens import MARK, WordEncoder
+
+    encoder, tokenizer = WordEncoder(word_tokenizer()), Tokenizer.from_file(word_tokenizer())
+    calls, run = [], encoder._run
+    monkeypatch.setattr(encoder, "_run", lambda rows: (calls.extend(rows), run(rows))[1])
+    r = random.Random(3)
+    letters = [chr(c) for c in range(0xC0, 0x100) if chr(c) not in "×÷"] + list("abcdenrst")
+    texts = [" ".join("".join(r.choices(letters, k=r.randint(1, 9))) for _ in range(60)) for _ in range(40)]
+    texts += ["façade naïve", "naïve façade × ÷ été"]
+    ids, bounds = encoder.encode(pa.array(texts))
+    for t, low, high in zip(texts, bounds, bounds[1:]):
+        assert ids[low:high].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+    assert not any(MARK in c for c in calls if "façade" in c)
+
+
 def test_pipeline(spark, tmp_path):
     got = corpus_pipeline.run(spark, SF)
     docs = spark.read.parquet(f"{SF}/documents.parquet")

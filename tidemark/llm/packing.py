@@ -148,7 +148,7 @@ def pack(
         encoder = WordEncoder(tokenizer)
         packer = Packer(capacity, windows, TaskContext.get().partitionId())
         kind = None
-        for part in X.slices(batches, "text"):
+        for part in X.slices(batches, "text", 1 << 22):
             ids, bounds = encoder.encode(part.column("text"))
             kind = part.schema.field("doc").type
             for doc, low, high in zip(part.column("doc").to_pylist(), bounds.tolist(), bounds[1:].tolist(), strict=False):

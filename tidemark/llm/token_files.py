@@ -145,7 +145,7 @@ def shards(
                 number += 1
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, arrow, strict=True)], schema=arrow)
 
-        for part in X.slices(batches, "text"):
+        for part in X.slices(batches, "text", 1 << 22):
             encoder = encoder or WordEncoder(tokenizer)
             ids, bounds = encoder.encode(part.column("text"))
             if len(ids) and int(ids.max()) >> (8 * id_bytes):

@@ -3,13 +3,15 @@
 The pre-tokenizer of the word-level file never lets a token reach over white
 space, so the ids of a text are those of its words in order. Words repeat, so a
 batch is split into distinct words; those not seen before are encoded together
-in calls of the tokenizers library. Words of ASCII letters alone are joined by
+in calls of the tokenizers library. Words of letters up to U+00FF are joined by
 spaces where the tokenizer's tokens tell a word's end, all others by a mark.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,8 @@ from tidemark.llm import texts as X
 MARK = "¶"
 #: Bytes that begin a new part after a letter. No apostrophe: it begins contractions. No bar: it is in special tokens.
 _BREAKS = np.isin(np.arange(256), np.frombuffer(b".,!?;:#$%&*", np.uint8))
+#: Words of ASCII letters and of those from U+00C0 to U+00FF.
+_LATIN = re.compile(rb"(?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+").fullmatch
 _ASCII_LETTER = (np.arange(256) >= 0x61) & (np.arange(256) <= 0x7A)
 
 
@@ -79,7 +83,7 @@ class WordEncoder:
         return out
 
     def _by_ends(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
-        """The ids of words of ASCII letters, one after the other, and each word's number; None if ends do not tell."""
+        """The ids of words of letters, one after the other, and each word's number; None if ends do not tell."""
         groups = [b" ".join(words[i : i + self.per_call]).decode() for i in range(0, len(words), self.per_call)]
         rows = [np.array(ids, np.uint32) for ids in self._run(groups)]
         # each word is one run of letters, so it has one end: a group with another number of ends is not read by them
@@ -91,10 +95,15 @@ class WordEncoder:
 
     def _learn(self, words: list[bytes]) -> None:
         if self.ends is not None:
-            letters = [w for w in words if w.isalpha()]
-            if letters and (found := self._by_ends(letters)) is not None:
-                self._keep(letters, *found)
-                words = [w for w in words if not w.isalpha()]
+            kinds = plain, latin, others = [], [], []
+            for w in words:
+                kinds[0 if w.isalpha() else 1 if _LATIN(w) else 2].append(w)
+            words = others
+            for letters in (plain, latin):
+                if letters and (found := self._by_ends(letters)) is not None:
+                    self._keep(letters, *found)
+                else:
+                    words = words + letters
         if not words:
             return
         encoded = self._encode([w.decode("utf-8", "replace") for w in words])
@@ -124,17 +133,20 @@ class WordEncoder:
         starts = _parts(data, starts)
         first = np.searchsorted(starts, offsets)
         inside = X.NOT_SPACE[data]
-        bounds = np.append((np.cumsum(inside) - 1)[starts], int(inside.sum())).astype(np.int64)
+        before = np.cumsum(inside, dtype=np.int32 if len(data) < 1 << 31 else np.int64)
+        bounds = np.append(before[starts] - 1, before[-1]).astype(np.int64)
         words = pa.LargeBinaryArray.from_buffers(
             pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data[inside])]
         ).dictionary_encode()
         distinct = words.dictionary.to_pylist()
         if len(self.known) + len(distinct) > self.cache_words:
             self._reset()
-        new = [w for w in distinct if w not in self.known]
-        if new:
+        slots = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        missing = np.flatnonzero(slots < 0)
+        if len(missing):
+            new = [distinct[i] for i in missing.tolist()]
             self._learn(new)
-        slots = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+            slots[missing] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
         slots = slots[np.asarray(words.indices)]
         lengths = self.lengths[slots]
         stops = np.concatenate([[0], np.cumsum(lengths)])
