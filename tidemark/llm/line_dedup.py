@@ -5,36 +5,46 @@ similarity of at least the threshold. Lines with the same set of words are one
 entry, that of the earliest. The words of a set are ordered by rarity: words are
 counted over all documents, in a fixed number of hash buckets, and rare buckets come first.
 Two sets that are similar share a word among their first few (prefix filter);
-where they meet, their sizes, the places of the shared word and a 64-bit sketch
-bound what they can share, and the pairs that remain are verified on all their words.
+where they meet, their sizes, the places of the shared word and a sketch of 64 bits,
+256 for long lines, bound what they can share, and the pairs that remain are verified
+on all their words.
 
 Only whether an earlier match exists is asked, so near copies need not all meet: each
 set is first compared with the earliest sets that agree on the least hashes of its
-prefix, and two sets that this settles no longer meet.
+prefix; two sets that this settles no longer meet, nor does one with a set that is known to come later.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.common import stage
 from tidemark.session import materialize
 
 SPACES = r"[\x20\x09-\x0D]+"
-_BUCKETS = 16
+_BUCKETS = 18
 _HASH_BITS = 58
 #: A class is the logarithm of a bucket's share of all words, from 2^-27 on.
 _LEAST_SHARE = 27
 MAX_BROADCAST_LINES = 500_000
+#: Longs of the wide sketch, and the words from which on a set's entries bring it: 64 bits of that many words tell little.
+_WIDE, _LONG = 4, 96
+
+
+def _split(text: Column) -> Column:
+    """The words of a text and empty strings. Without white space other than spaces no pattern is run."""
+    return F.when(text.rlike(r"[\x09-\x0D]"), F.split(text, SPACES)).otherwise(F.split(text, " "))
 
 
 def word_classes(docs: DataFrame, text: str) -> bytes:
-    """How common the words of each of 2^16 hash buckets are among all words: one byte each, 48 plus the class.
+    """How common the words of each of 2^18 hash buckets are among all words: one byte each, 48 plus the class.
 
-    The counts of all buckets reach the driver, half a megabyte whatever the table.
+    The counts of all buckets reach the driver, two megabytes whatever the table.
     """
-    words = docs.select(F.explode(F.split(F.col(f"`{text}`").cast("string"), SPACES)).alias("w")).filter("w <> ''")
+    value = F.replace(F.col(f"`{text}`").cast("string"), F.lit("\n"), F.lit(" "))
+    words = docs.select(F.explode(_split(value)).alias("w")).filter("w <> ''")
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit((1 << _BUCKETS) - 1)).cast("int").alias("id")).count()
     parts = counts.groupBy(F.shiftright("id", 10)).agg(F.collect_list(F.struct("id", "count")).alias("all"))
     found = {id: n for row in parts.select("all").collect() for id, n in row["all"]}
@@ -46,14 +56,13 @@ def word_classes(docs: DataFrame, text: str) -> bytes:
 
 def _keys(line: Column, classes: bytes) -> Column:
     """A line's distinct words as sorted numbers: the rarest classes first, then by their hash."""
-    table = F.lit(classes)
+    table = F.split(F.lit(",".join(str(c - 48) for c in classes)), ",").cast("array<tinyint>")  # the planner folds it
 
     def key(h: Column) -> Column:
-        at = h.bitwiseAND(F.lit((1 << _BUCKETS) - 1)) + 1
-        common = F.ascii(F.substr(table, at.cast("int"), F.lit(1)).cast("string")) - 48
+        common = F.get(table, h.bitwiseAND(F.lit((1 << _BUCKETS) - 1)).cast("int"))
         return F.shiftleft(common.cast("long"), _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
 
-    words = F.array_remove(F.split(line, SPACES), "")
+    words = F.array_remove(_split(line), "")
     return F.sort_array(F.transform(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), key))
 
 
@@ -64,8 +73,19 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
+def _sketch(words: str, part: int) -> Column:
+    """64 of the wide sketch's bits: each of a set's words flips one bit of the whole sketch."""
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
+    mine = F.filter(F.col(words), lambda k: k.bitwiseAND(F.lit((_WIDE - 1) << 6)) == part << 6)
+    return F.aggregate(mine, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(bit(k)))
+
+
 def line_sets(docs: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
-    """One row per distinct set of words: its number, first line, size, sketch and prefix."""
+    """One row per distinct set of words: its number, first line, size, sketches and prefix.
+
+    The sketch is what the parts of the wide one fold to by XOR; ``wide1`` to ``wide3`` are
+    its parts but the first, 0 for sets that are not long.
+    """
     common = word_classes(docs, text)
     keyed = stage(_lines(docs, doc_id, text), {"keys": _keys(F.col("line"), common)}).drop("line")
     n = F.size("keys")
@@ -83,6 +103,7 @@ def line_sets(docs: DataFrame, doc_id: str, text: str, threshold: float) -> Data
             "no",
             n.alias("n"),
             sketch.alias("sketch"),
+            *[F.when(n >= _LONG, _sketch("keys", i)).otherwise(0).alias(f"wide{i}") for i in range(1, _WIDE)],
             F.transform(F.slice("keys", 1, prefix), lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("prefix"),
         ).alias("first"),
     )
@@ -101,7 +122,8 @@ def near_copies(sets: DataFrame, threshold: float) -> DataFrame:
     a few sets each, and what that settles need not meet any more. Pairs that
     cannot be similar by their sizes and sketches are left to the prefix join.
     """
-    seeded = lambda i: lambda w: F.xxhash64(F.lit(i), w)
+    # words are hashes: the one nearest to a number, by XOR, is any of them with equal odds
+    seeded = lambda i: lambda w: w.bitwiseXOR(F.lit(i << 28 | 0x5BD1E995 * (i + 1) & 0xFFFFFFF))
     least = F.array(*[F.array_min(F.transform("prefix", seeded(i))) for i in range(8)])
     at = lambda i: F.get("least", F.lit(i))
     bands = [F.xxhash64(F.lit(i), at(i)) for i in range(4)] + [F.xxhash64(F.lit(i), at(i), at(i + 1)) for i in range(4, 8, 2)]
@@ -133,38 +155,48 @@ def _may_match(x: str, y: str, threshold: float) -> Column:
     nx, ny = size(x), size(y)
     most = F.least(nx - at(x).bitwiseAND(F.lit(_PLACE)), ny - at(y).bitwiseAND(F.lit(_PLACE)))
     can_reach = most * (1 + t) + 1e-9 >= t * (nx + ny)
-    return can_reach & _sizes_allow(nx, ny, F.col(f"{x}.sketch"), F.col(f"{y}.sketch"), t)
+    parts = [F.col(f"{x}.wide{i}").bitwiseXOR(F.col(f"{y}.wide{i}")) for i in range(1, _WIDE)]
+    first = F.col(f"{x}.sketch").bitwiseXOR(F.col(f"{y}.sketch"))
+    for part in parts:
+        first = first.bitwiseXOR(part)
+    apart = sum((F.bit_count(p) for p in parts), F.bit_count(first))
+    far = (F.least(nx, ny) >= _LONG) & (apart * (1 + t) > (1 - t) * (nx + ny) + 1e-9)
+    return can_reach & _sizes_allow(nx, ny, F.col(f"{x}.sketch"), F.col(f"{y}.sketch"), t) & ~far
+
+
+def _order(sets: DataFrame) -> Column:
+    """A number that does not fall with a set's place; the same for all where ids are not whole numbers."""
+    whole = isinstance(sets.schema["d"].dataType, T.IntegralType)
+    return F.coalesce(F.col("d").cast("long"), F.lit((1 << 63) - 1)) if whole else F.lit(0).cast("long")
 
 
 def similar_pairs(sets: DataFrame, settled: DataFrame, threshold: float) -> DataFrame:
-    """a, b: pairs of sets that share a prefix word and may be similar, unless both are settled.
+    """a, b: pairs of sets that share a prefix word and may be similar, unless it is known that the later one is settled.
 
     ``at`` of an entry: whether its set is settled, its size, and the word's place in it.
     """
     known = sets.join(_few(settled.withColumn("done", F.lit(_SETTLED))), "set", "left")
     size = F.shiftleft(F.col("n").cast("long"), 24)
-    entry = known.select("set", "sketch", (F.coalesce("done", F.lit(0)) + size).alias("size"), F.posexplode("prefix").alias("place", "word"))
-    entry = entry.select("word", "set", (F.col("size") + F.col("place")).alias("at"), "sketch")
+    wide = [f"wide{i}" for i in range(1, _WIDE)]
+    # never null, so that the join tries pairs without asking for nulls
+    own = [F.coalesce(c, F.lit(0)).alias(c) for c in ("set", "sketch", *wide)]
+    size = F.coalesce(F.coalesce("done", F.lit(0)) + size, F.lit(0)).alias("size")
+    entry = known.select(*own, _order(sets).alias("order"), size, F.posexplode("prefix").alias("place", "word"))
+    entry = entry.select("word", "set", F.coalesce(F.col("size") + F.col("place"), F.lit(0)).alias("at"), "sketch", *wide, "order")
+    # both settled, or the one that is settled surely comes later
+    needless = lambda x, y: (F.col(f"{x}.at") >= _SETTLED) & (
+        (F.col(f"{y}.at") >= _SETTLED) | (F.col(f"{x}.order") > F.col(f"{y}.order"))
+    )
     meet = (
         (F.col("x.word") == F.col("y.word"))
         & (F.col("x.set") < F.col("y.set"))
-        & ((F.col("x.at") < _SETTLED) | (F.col("y.at") < _SETTLED))
+        & ~needless("x", "y")
+        & ~needless("y", "x")
         & _may_match("x", "y", threshold)
     )
     return entry.alias("x").join(entry.alias("y"), meet).select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
 
 
-#: Longs of the sketch that pairs are tried by before their words are.
-_WIDE = 4
-
-
-def _sketch(words: str, part: int) -> Column:
-    """64 of the sketch's bits: each of a set's words flips one bit of the whole sketch."""
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
-    mine = F.filter(F.col(words), lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(_WIDE - 1)) == part)
-    return F.aggregate(mine, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(bit(k)))
-
-
 def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
     """set: of each pair that is similar, the one whose first line comes later."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
@@ -175,7 +207,7 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, doc_id: str, te
         F.col("d").eqNullSafe(F.col("place.wd")) & (F.col("h") == F.col("place.wh")) & (F.col("no") == F.col("place.wno")),
     )
     # words as 64-bit hashes: a line is compared by all its words, at a third of their bytes
-    words = F.array_distinct(F.transform(F.array_remove(F.split("line", SPACES), ""), lambda w: F.xxhash64(w)))
+    words = F.array_distinct(F.transform(F.array_remove(_split(F.col("line")), ""), lambda w: F.xxhash64(w)))
     texts = stage(lines.select("set", "place", words.alias("words")).dropDuplicates(["set"]), {"words": F.col("words")})
     texts = materialize(texts.withColumn("wide", F.array(*[_sketch("words", i) for i in range(_WIDE)])), "lines-verified")
     # most pairs fall to a wider sketch, before their words travel
