@@ -242,6 +242,20 @@ def test_line_dedup(docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_classes_of_words_reach_the_driver_as_few_short_strings(spark, monkeypatch):
+    text = "\n".join([" ".join(["often"] * 1000), "twice\ttwice  once", ""])
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    rows, kind = [], type(docs)
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: rows.extend(got := collect(self)) or got)
+    classes = line_dedup.word_classes(docs, "text").split(",")
+    assert len(rows) == 256 and all(isinstance(v, (int, str)) and len(str(v)) < 4096 for r in rows for v in r)
+    at = lambda w: int(classes[xxhash.xxh64_intdigest(w.encode(), 42) & ((1 << 18) - 1)])
+    # logarithms of the counts, a bucket counting one more
+    assert [at(w) for w in ("often", "twice", "once")] == [9, 1, 1]
+    assert len(classes) == 1 << 18 and sum(map(int, classes)) == 11
+
+
 def test_near_copies_take_the_earliest_set_without_sorting_a_band(spark):
     rows = [(10, 7, [1, 2]), (11, 3, [1, 2]), (12, None, [1, 2]), (13, 3, [1, 2]), (14, None, [8, 9]), (15, 5, [8, 9]), (16, 1, [5])]
     table = [(s, d, len(p), 0, p) for s, d, p in rows]

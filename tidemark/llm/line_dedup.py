@@ -26,8 +26,7 @@ from tidemark.session import materialize
 SPACES = r"[\x20\x09-\x0D]+"
 _BUCKETS = 18
 _HASH_BITS = 58
-#: A class is the logarithm of a bucket's share of all words, from 2^-27 on.
-_LEAST_SHARE = 27
+_MOST_CLASS = 31
 MAX_BROADCAST_LINES = 500_000
 #: Longs of the wide sketch, and the words from which on a set's entries bring it: 64 bits of that many words tell little.
 _WIDE, _LONG = 4, 96
@@ -38,25 +37,26 @@ def _split(text: Column) -> Column:
     return F.when(text.rlike(r"[\x09-\x0D]"), F.split(text, SPACES)).otherwise(F.split(text, " "))
 
 
-def word_classes(docs: DataFrame, text: str) -> bytes:
-    """How common the words of each of 2^18 hash buckets are among all words: one byte each, 48 plus the class.
+def word_classes(docs: DataFrame, text: str) -> str:
+    """How common the words of each of 2^18 hash buckets are: the logarithm of their count, comma-joined.
 
-    The counts of all buckets reach the driver, two megabytes whatever the table.
+    Classes are made and joined on the cluster, so the driver gets 256 strings of a few kilobytes, whatever the table.
     """
     value = F.replace(F.col(f"`{text}`").cast("string"), F.lit("\n"), F.lit(" "))
     words = docs.select(F.explode(_split(value)).alias("w")).filter("w <> ''")
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit((1 << _BUCKETS) - 1)).cast("int").alias("id")).count()
-    parts = counts.groupBy(F.shiftright("id", 10)).agg(F.collect_list(F.struct("id", "count")).alias("all"))
-    found = {id: n for row in parts.select("all").collect() for id, n in row["all"]}
-    total = sum(found.values())
-    # the largest c with n / total >= 2^(c - 27)
-    classes = [max(0, min(31, ((n << _LEAST_SHARE) // total).bit_length() - 1)) if n else 0 for n in (found.get(i, 0) for i in range(1 << _BUCKETS))]
-    return bytes(48 + c for c in classes)
+    ids = words.select(F.xxhash64("w").bitwiseAND(F.lit((1 << _BUCKETS) - 1)).alias("id"))
+    # each bucket once more, so that none is missing
+    ids = ids.unionByName(docs.sparkSession.range(1 << _BUCKETS))
+    common = F.least(F.floor(F.log2("count")), F.lit(_MOST_CLASS)).cast("string")
+    rows = ids.groupBy("id").count().select(F.shiftright("id", 10).alias("part"), F.struct("id", common.alias("c")).alias("bucket"))
+    each = F.transform(F.sort_array(F.collect_list("bucket")), lambda x: x["c"])
+    parts = rows.groupBy("part").agg(F.array_join(each, ",").alias("classes"))
+    return ",".join(c for _, c in sorted(map(tuple, parts.collect())))
 
 
-def _keys(line: Column, classes: bytes) -> Column:
+def _keys(line: Column, classes: str) -> Column:
     """A line's distinct words as sorted numbers: the rarest classes first, then by their hash."""
-    table = F.split(F.lit(",".join(str(c - 48) for c in classes)), ",").cast("array<tinyint>")  # the planner folds it
+    table = F.split(F.lit(classes), ",").cast("array<tinyint>")  # the planner folds it
 
     def key(h: Column) -> Column:
         common = F.get(table, h.bitwiseAND(F.lit((1 << _BUCKETS) - 1)).cast("int"))
