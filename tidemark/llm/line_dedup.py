@@ -202,10 +202,15 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, doc_id: str, te
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
     wanted = materialize(sets.join(wanted, "set", "left_semi").select("set", "no_id", "d", "h", "no"), "lines-to-verify")
     place = F.struct("no_id", F.col("d").alias("wd"), F.col("h").alias("wh"), F.col("no").alias("wno"))
-    lines = _lines(docs, doc_id, text).join(
-        _few(wanted.select("set", place.alias("place"))),
-        F.col("d").eqNullSafe(F.col("place.wd")) & (F.col("h") == F.col("place.wh")) & (F.col("no") == F.col("place.wno")),
-    )
+    # only documents that hold a wanted line are taken apart
+    held = wanted.select(F.col("d").alias("wd"), F.col("h").alias("wh"), F.struct("set", place.alias("place")).alias("line"))
+    held = held.groupBy("wd", "wh").agg(F.collect_list("line").alias("wanted"))
+    value = F.col(f"`{text}`").cast("string")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("d"), F.xxhash64(value).alias("h"), value.alias("t"))
+    held = F.broadcast(held) if wanted.count() <= MAX_BROADCAST_LINES else held
+    rows = rows.join(held, F.col("d").eqNullSafe(F.col("wd")) & (F.col("h") == F.col("wh"))).select("wanted", F.split("t", "\n").alias("lines"))
+    found = F.transform("wanted", lambda w: F.struct(w["set"].alias("set"), w["place"].alias("place"), F.get("lines", w["place"]["wno"]).alias("line")))
+    lines = rows.select(F.inline(found))
     # words as 64-bit hashes: a line is compared by all its words, at a third of their bytes
     words = F.array_distinct(F.transform(F.array_remove(_split(F.col("line")), ""), lambda w: F.xxhash64(w)))
     texts = stage(lines.select("set", "place", words.alias("words")).dropDuplicates(["set"]), {"words": F.col("words")})
