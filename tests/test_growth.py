@@ -6,14 +6,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates as D
-from tidemark.functions.text import title_key
+from tidemark.functions.text import slug, title_key
 from tidemark.operators import boilerplate as B
 from tidemark.operators import calendar as C
 from tidemark.operators import news as N
 from tidemark.operators import obligations as O
 from tidemark.operators.skew import lookup_join
+from tidemark.plans import event_queries as E
 from tidemark.plans import fixtures as X
 from tidemark.plans import obligation_queries as Q
+from tidemark.sources.schemas import CYCLE
+
+E_RANKED = E.ranked
 
 
 def _plan(df) -> str:
@@ -149,3 +153,71 @@ def test_event_rules_run_where_their_words_are(spark):
     rows = df.select(N.detect_events().alias("events"), plain.alias("plain"))
     assert rows.filter("NOT events <=> plain").count() == 0
     assert "contains(" in _plan(rows.select("events")).lower()
+
+
+def test_dates_read_in_columns_are_the_parsed_ones(spark):
+    days = ["2024-03-01", " 2024-03-01 ", "2024-02-30", "2024-03", "2024-13", "2024-3-1", "2040-01-01", "", None, "soon", "2024-03-01\n"]
+    times = ["17:00", " 9:30 ", "24:00", "9", "", " ", None]
+    hints = ["month", "unknown", "day", None]
+    df = spark.createDataFrame([(d, t, h) for d in days for t in times for h in hints], "d string, t string, h string")
+    zone, now = F.lit("America/New_York"), F.lit("2024-01-01 00:00:00").cast("timestamp")
+    df = D.with_instant(df, F.col("d"), zone, F.col("t"))
+    at = F.when(F.col("_at") <= D.latest(now), F.col("_at"))
+    precision = D.precision_of(F.col("_raw"), at, F.coalesce(F.col("_tod") != "", F.lit(False)), F.col("h"))
+    whole = D.parse_deadline(F.col("d"), zone, now, F.col("t"), F.col("h"))
+    rows = df.select(at.alias("at"), precision.alias("p"), whole.alias("w"))
+    assert rows.filter("NOT at <=> w.instant OR NOT p <=> w.precision").count() == 0
+    assert rows.filter("p = 'minute'").count() > 0 and rows.filter("p = 'month'").count() > 0
+
+
+def test_calendar_events_of_odd_cycles(spark):
+    """A headline gives way to a gating step of its day, and unknown dates have no event."""
+    step = lambda i, due, gating=True, status="open", tod=None: (i, "S" + i, due, tod, None, "portal", gating, status, None)
+    cycle = lambda year, deadline, kind=None, precision=None, steps=None, confirmed=True: (
+        year, deadline, confirmed, kind, "17:00", precision, None, None, steps, None
+    )
+    cycles = [
+        cycle(1, "1998-07-01", steps=[step("a", "1998-07-01"), step("b", "1998-06-20", False), step("c", None), step("d", "soon")]),
+        cycle(2, "1998-08-01", precision="month", steps=[step("a", "1998-08-01", status="done"), step("b", "1998-07-15", status=None), step("c", "1998-07", tod="9:00")]),
+        cycle(3, "1998-09-01", precision="unknown", steps=[step("a", "1998-09-01"), step("b", "2040-01-01"), step("c", "1998-08-20", None)]),
+        cycle(4, "1998-10-01", kind="rolling", steps=[step("a", "1998-10-01", tod="9:00")]),
+        cycle(5, None, confirmed=False), cycle(6, "1998-11-01", confirmed=None, steps=[]), cycle(7, "1998-12-01", steps=[None, step("a", "1998-11-30", None)]),
+    ]
+    programs = spark.range(1).select(
+        F.lit("P 1").alias("program_id"), F.lit("L").alias("label"), F.lit("active").alias("status"), F.lit("UTC").alias("time_zone"),
+        *[F.lit(None).cast("string").alias(c) for c in ("org", "lane", "url", "note")],
+        F.lit(None).cast("date").alias("watch_from"), F.lit(None).cast("struct<notes:string>").alias("eligibility"),
+    )
+    made = spark.createDataFrame([(cycles,)], f"cycles array<{CYCLE}>")
+    events = C.calendar_events(programs.crossJoin(made), X.CLOCK).select("cycle_year", "step_id", "precision", "alarm", "placement", "gating", "uid")
+    assert sorted(((r[0], r[1] or "-", *r[2:6]) for r in events.collect()), key=str) == [
+        (1, "a", "day", True, "19980701", True), (2, "a", "month", False, "19980801", True), (2, "b", "day", None, "19980715", True),
+        (2, "c", "month", True, "19980701", True), (4, "a", "minute", True, "19981001T090000Z", True), (6, "-", "minute", True, "19981101T170000Z", False),
+        (7, "-", "minute", True, "19981201T170000Z", False),
+    ]
+    assert all(r.uid.startswith(f"p-1-{r.cycle_year}-") for r in events.collect())
+    # no date is read inside a lambda, which is interpreted
+    assert all("try_cast" not in line for line in _plan(events).splitlines() if "lambdafunction" in line)
+
+
+def test_calendar_order_makes_narrow_events_once(spark, small_tables, monkeypatch):
+    """Dealing out by ranges reads its rows twice: they must lie ready, and without what has no part in the order."""
+    seen = []
+    monkeypatch.setattr(E, "ranked", lambda df, by: (seen.append(df), E_RANKED(df, by))[1])
+    rows = E.calendar_order(spark, small_tables).collect()
+    assert sorted(r["rank"] for r in rows) == list(range(1, len(rows) + 1)) and rows
+    assert "lineitem.parquet" not in _plan(seen[0])
+    assert set(seen[0].columns) == {"program_id", "cycle_year", "step_id", "placement", "uid"}
+
+
+def test_lines_are_shuffled_once_for_the_registry(spark, small_tables):
+    plan = _plan(X.programs(spark, small_tables))
+    lines = [line for line in plan.splitlines() if "Exchange hashpartitioning(l_orderkey" in line or "Exchange hashpartitioning(step_program" in line or "_groupingexpression" in line and "Exchange" in line]
+    assert len(lines) == 1
+
+
+def test_slug_of_plain_text_is_itself(spark):
+    texts = ["a", "A b", "s1", "s1\n", "\ns1", "-x-", "", " ", None, "É1", "İ", "1999", "a_b", "ab--c "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    whole = F.regexp_replace(F.regexp_replace(F.lower("t"), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    assert df.select(slug(F.col("t")).alias("s"), whole.alias("w")).filter("NOT s <=> w").count() == 0
