@@ -11,6 +11,7 @@ from tidemark.operators import boilerplate as B
 from tidemark.operators import calendar as C
 from tidemark.operators import news as N
 from tidemark.operators import obligations as O
+from tidemark.operators import terms as T
 from tidemark.operators.skew import lookup_join
 from tidemark.plans import event_queries as E
 from tidemark.plans import fixtures as X
@@ -221,3 +222,26 @@ def test_slug_of_plain_text_is_itself(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     whole = F.regexp_replace(F.regexp_replace(F.lower("t"), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     assert df.select(slug(F.col("t")).alias("s"), whole.alias("w")).filter("NOT s <=> w").count() == 0
+
+
+TERM_TEXTS = [
+    (1, "In the seed round", "a Seed  round, seed round. MR mr seed\nround"), (2, None, "seedround seed"), (3, "", None),
+    (4, "MR", "x-y x-y-z x y 10x genomics"), (None, "seed round", "MR"), (5, "no", "none of it"),
+]
+
+
+def test_few_terms_shuffle_no_places(spark):
+    docs = spark.createDataFrame(TERM_TEXTS, "id long, title string, body string")
+    rows = [("a", "seed round", 1.0, False), ("a", "seed round", 2.0, False), ("b", "seed", 1.0, False), ("a", "x-y", 1.0, False), ("a", "MR", 1.0, True), ("b", "10x", 3.0, False)]
+    terms = spark.createDataFrame(rows, T.TERMS)
+    few, many = T.term_hits(docs, terms, "id", "title", "body"), T.term_hits(docs, terms, "id", "title", "body", most_sent=0)
+    got = sorted(map(tuple, few.collect()), key=str)
+    assert got == sorted(map(tuple, many.collect()), key=str)
+    assert got == sorted([
+        (1, "a", "seed round", 2.0, 2, True), (1, "b", "seed", 1.0, 4, True), (1, "a", "MR", 1.0, 1, False), (2, "b", "seed", 1.0, 1, False),
+        (4, "a", "MR", 1.0, 1, True), (4, "a", "x-y", 1.0, 2, False), (4, "b", "10x", 3.0, 1, False),
+        (None, "a", "seed round", 2.0, 1, True), (None, "b", "seed", 1.0, 1, True), (None, "a", "MR", 1.0, 1, False),
+    ], key=str)
+    assert "BroadcastHashJoin" in _plan(few) and "SortMergeJoin" not in _plan(few)
+    one = spark.createDataFrame([("a", "seed", 1.0, False)], T.TERMS)
+    assert T.term_hits(docs, one, "id", "title", "body").count() == 3 and T.term_hits(docs, one.limit(0), "id", "title", "body").count() == 0
